@@ -1,0 +1 @@
+"""Kept for the package layout: no operator in scope is a streaming one."""
