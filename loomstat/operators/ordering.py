@@ -9,7 +9,7 @@ so one hot series or one repeated timestamp cannot create a hot task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,15 +78,15 @@ def chunk_window(by: Sequence[str] = (), position: str = POSITION) -> Window:
 def over_order(
     df: DataFrame,
     order_by: Sequence[str],
-    columns: dict[str, Column],
+    add: Callable[[DataFrame], DataFrame],
     before: int,
     by: Sequence[str] = (),
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add window ``columns`` (built on ``chunk_window(by)``) that look back at
-    most ``before`` rows; drops the helper columns and the copied rows."""
+    """Apply ``add``, which may use windows on ``chunk_window(by)`` that look
+    back at most ``before`` rows; drops the helper columns and copied rows."""
     out = chunked(numbered(df, [*by, *order_by]), before, chunk_rows)
-    return out.withColumns(columns).where(_REAL).drop(_CHUNK, _REAL, POSITION)
+    return add(out).where(_REAL).drop(_CHUNK, _REAL, POSITION)
 
 
 def rolling_mean(
@@ -100,11 +100,25 @@ def rolling_mean(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Trailing mean over ``rows`` rows, the current one included; null until
-    ``min_periods`` non-null readings are in the frame."""
-    frame = chunk_window(by).rowsBetween(-(rows - 1), 0)
-    value = F.nullif(q(col).cast("double"), F.lit(float("nan")))
-    mean = F.when(F.count(value).over(frame) >= min_periods, F.avg(value).over(frame))
-    return over_order(df, order_by, {output: mean}, rows - 1, by, chunk_rows)
+    ``min_periods`` finite readings are in the frame.
+
+    A sliding frame would add up ``rows`` values for every row. Running totals
+    of the chunk cost one addition each; a frame is the difference of two."""
+    value = q(col).cast("double")
+    value = F.when(F.abs(value) < float("inf"), value)  # false for NaN, too
+    window = chunk_window(by)
+    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def frame(total: str) -> Column:
+        return F.coalesce(F.col(total), F.lit(0)) - F.coalesce(F.lag(total, rows).over(window), F.lit(0))
+
+    def add(chunks: DataFrame) -> DataFrame:
+        totals = chunks.withColumns({"_sum": F.sum(value).over(running), "_n": F.count(value).over(running)})
+        framed = totals.withColumns({"_frame_sum": frame("_sum"), "_frame_n": frame("_n")})
+        mean = F.when(F.col("_frame_n") >= max(min_periods, 1), F.col("_frame_sum") / F.col("_frame_n"))
+        return framed.withColumn(output, mean).drop("_sum", "_n", "_frame_sum", "_frame_n")
+
+    return over_order(df, order_by, add, rows - 1, by, chunk_rows)
 
 
 def lagged(
@@ -116,7 +130,8 @@ def lagged(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Previous row's value in the order."""
-    return over_order(df, order_by, {output: F.lag(q(col), 1).over(chunk_window(by))}, 1, by, chunk_rows)
+    previous = F.lag(q(col), 1).over(chunk_window(by))
+    return over_order(df, order_by, lambda chunks: chunks.withColumn(output, previous), 1, by, chunk_rows)
 
 
 def ntile(df: DataFrame, order_by: Sequence[str], buckets: int, output: str = "tile") -> DataFrame:

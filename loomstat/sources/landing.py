@@ -14,6 +14,8 @@ from loomstat.functions.exprs import q
 from loomstat.session import local_rows
 
 log = logging.getLogger(__name__)
+# the CSV default keeps milliseconds only
+_STAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -39,9 +41,8 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType | str | Non
     schema every CSV column is text; types are given, never sampled."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True)
-    if timestamp_format:
-        reader = reader.option("timestampFormat", timestamp_format).option("timestampNTZFormat", timestamp_format)
+    stamp = timestamp_format or _STAMP
+    reader = spark.read.option("header", True).option("timestampFormat", stamp).option("timestampNTZFormat", stamp)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
@@ -82,7 +83,8 @@ def read_tiered_csv(spark: SparkSession, path: str, n_header: int = 2) -> tuple[
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    writer = df.write.mode("overwrite").option("header", True)
+    writer.option("timestampFormat", _STAMP).option("timestampNTZFormat", _STAMP).csv(path)
     return path
 
 
