@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,12 +135,52 @@ def assert_no_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> None:
         raise ValueError(f"missing values remain: {left}")
 
 
+@dataclass(frozen=True)
+class Spread:
+    """Count, range, mean and squared deviations of one column."""
+
+    n: int = 0
+    lo: float | None = None
+    hi: float | None = None
+    mean: float = 0.0
+    m2: float = 0.0
+
+    def __add__(self, other: "Spread") -> "Spread":
+        if not self.n or not other.n:
+            return self if self.n else other
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        return Spread(
+            n, min(self.lo, other.lo), max(self.hi, other.hi), self.mean + gap * other.n / n,
+            self.m2 + other.m2 + gap * gap * self.n * other.n / n,
+        )
+
+    def is_constant(self, std_tol: float) -> bool:
+        if self.n <= 1 or self.lo == self.hi:
+            return True
+        return (self.m2 / (self.n - 1)) ** 0.5 <= std_tol
+
+
+def spread_by(df: DataFrame, cols: Sequence[str], flag: Column) -> tuple[dict[str, Spread], dict[str, Spread]]:
+    """Column spreads of the flagged rows and of the others, in one pass; their
+    sum is the whole table's."""
+    marked = df.select(F.coalesce(flag, F.lit(False)).alias("_flag"), *[q(c) for c in cols])
+    stats = long_values(marked, cols, "_flag").groupBy("_flag", "pos").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"),
+        (F.var_pop("value") * F.count("*")).alias("m2"),
+    )
+    got = {(r["_flag"], r["pos"]): Spread(r["n"], r["lo"], r["hi"], r["mean"], r["m2"]) for r in stats.collect()}
+    side = lambda f: {c: got.get((f, i), Spread()) for i, c in enumerate(cols)}
+    return side(True), side(False)
+
+
 # ---------------------------------------------------------------- impute / scale
 
 
-def fit_median(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+def fit_median(df: DataFrame, cols: Sequence[str], spans: Mapping[str, Spread] | None = None) -> dict[str, float | None]:
     """Exact medians of the fitting rows; null for an all-missing column."""
-    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+    known = None if spans is None else {c: (spans[c].n, spans[c].lo, spans[c].hi) for c in cols}
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5], spans=known).items()}
 
 
 def impute(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:

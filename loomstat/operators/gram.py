@@ -54,6 +54,33 @@ class Moments:
             list(features), self.label, {g: m[np.ix_(at, at)] for g, m in self.groups.items()}, self.shift
         )
 
+    def merged(self) -> "Moments":
+        """The same sums over all groups together."""
+        return Moments(self.features, self.label, {0: self.total}, self.shift)
+
+    def scale(self) -> dict[str, tuple[float, float]]:
+        """Mean and population standard deviation of each feature."""
+        t = self.total
+        mean = t[0, 1:-1] / t[0, 0]
+        var = np.maximum(np.diag(t)[1:-1] / t[0, 0] - mean * mean, 0.0)
+        # what is left of a constant column's squares is rounding
+        var[var <= 1e-14 * np.diag(t)[1:-1] / t[0, 0]] = 0.0
+        return {f: (self.shift.get(f, 0.0) + float(m), float(v) ** 0.5) for f, m, v in zip(self.features, mean, var)}
+
+    def standardised(self) -> "Moments":
+        """The sums of the standardised features and the centred label: an
+        affine change of columns needs no new pass over the rows."""
+        t, size = self.total, len(self.features) + 2
+        change = np.eye(size)
+        mean = t[0] / t[0, 0]
+        for j, (_, std) in enumerate(self.scale().values(), start=1):
+            change[j, j] = 1.0 / (std or 1.0)
+            change[j, 0] = -mean[j] * change[j, j]
+        change[-1, 0] = -mean[-1]
+        label_mean = self.shift.get(self.label, 0.0) + float(mean[-1])
+        shift = {**{f: 0.0 for f in self.features}, self.label: label_mean}
+        return Moments(self.features, self.label, {g: change @ m @ change.T for g, m in self.groups.items()}, shift)
+
     def intercept(self, shifted: float, coefs: Mapping[str, float]) -> float:
         """Undo the shifts in a fitted constant."""
         back = sum(coefs[f] * self.shift.get(f, 0.0) for f in coefs)

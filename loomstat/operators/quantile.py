@@ -10,7 +10,7 @@ few enough rows, their order is taken exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,7 +20,7 @@ from loomstat.functions.exprs import q
 from loomstat.session import local_rows
 
 BINS = 4096
-DIRECT_ROWS = 20_000
+DIRECT_ROWS = 200_000
 _FLOAT_MAX = 1.7976931348623157e308
 
 
@@ -36,11 +36,11 @@ class _Bracket:
     n: int
 
 
-def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(pos, value)`` rows, missing values left out; ``pos`` is the place of
-    the column in ``cols`` (grouping by a small integer beats grouping by name)."""
+def long_values(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
+    """``(keep, pos, value)`` rows, missing values left out; ``pos`` is the place
+    of the column in ``cols`` (a small integer groups faster than a name)."""
     doubles = F.array(*[q(c).cast("double") for c in cols])
-    rows = df.select(F.posexplode(doubles).alias("pos", "value"))
+    rows = df.select(*keep, F.posexplode(doubles).alias("pos", "value"))
     return rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
@@ -50,13 +50,21 @@ def exact_quantiles(
     probs: Sequence[float],
     bins: int = BINS,
     direct_rows: int = DIRECT_ROWS,
+    spans: Mapping[str, tuple[int, float, float]] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of each column, nulls and NaN ignored."""
+    """Linear-interpolated quantiles of each column, nulls and NaN ignored.
+
+    ``spans`` gives the count, minimum and maximum of each column when an
+    earlier pass already took them.
+    """
     if not cols:
         return {}
     values = long_values(df, cols)
-    spans = values.groupBy("pos").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    live = [_Bracket(i, r["pos"], r["lo"], r["hi"], 0, r["n"]) for i, r in enumerate(spans.collect())]
+    if spans is None:
+        ends = values.groupBy("pos").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        live = [_Bracket(i, r["pos"], r["lo"], r["hi"], 0, r["n"]) for i, r in enumerate(ends.collect())]
+    else:
+        live = [_Bracket(i, i, spans[c][1], spans[c][2], 0, spans[c][0]) for i, c in enumerate(cols) if spans[c][0]]
     size = {b.pos: b.n for b in live}
     wanted = {v: sorted({k for p in probs for k in _ranks(n, p)}) for v, n in size.items()}
     found: dict[tuple[int, int], float] = {}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomstat.config import Settings
 from loomstat.functions.exprs import format_params, log_grid_values, q, rounded
 from loomstat.operators import clean, diagnostics, domain, evaluate, gram, models, ordering, profile, split
-from loomstat.plans.regression import Prepared, feature_roles, prepare, run, stage
+from loomstat.plans.regression import Prepared, feature_roles, prepare, run
 from loomstat.session import local_rows, scratch_path
 from loomstat.sources import landing, tables
 
@@ -213,7 +213,7 @@ def scale_params(spark, sf):
 
 @query
 def prepare_table(spark, sf):
-    p = prepare(stage(tables.feature_table(spark, sf)), WIDE, "key", ["ts"])
+    p = prepare(tables.feature_table(spark, sf), WIDE, "key", ["ts"])
     return shown(p.scaled.drop("ts"), **{c: 7 for c in p.features})
 
 
@@ -382,7 +382,7 @@ def fold_gram(spark, sf):
 def vif(spark, sf):
     settings = Settings(target="charge", leakage=(), disabled=("price_copy",))
     p = prepare(tables.line_table(spark, sf), settings, "key", ["ts"])
-    got = gram.vif(p.moments(None))
+    got = gram.vif(p.moments(False))
     out = local_rows(spark, list(got.items()), "variable string, vif double")
     return shown(out.orderBy(F.desc_nulls_last("vif")), vif=6)
 
@@ -391,7 +391,7 @@ def vif(spark, sf):
 def condition_number(spark, sf):
     settings = Settings(target="charge", leakage=(), disabled=("price_copy", "discount", "tax", "qty"))
     p = prepare(tables.line_table(spark, sf), settings, "key", ["ts"])
-    m = p.moments(None)
+    m = p.moments(False)
     rows = [(len(m.features), int(m.n), gram.condition_number(m))]
     return shown(local_rows(spark, rows, "n_features int, n bigint, condition_number double"), condition_number=6)
 
@@ -514,7 +514,7 @@ def residual_sequence(spark, sf):
 @query
 def stepwise_step1(spark, sf):
     p = line_prepared(spark, sf)
-    m = p.moments(None)
+    m = p.moments(False)
     rows = []
     for f in m.features:
         fit = models.least_squares(m.restricted([f]))
@@ -524,7 +524,7 @@ def stepwise_step1(spark, sf):
 
 @query
 def stepwise_path(spark, sf):
-    m = line_prepared(spark, sf).moments(None)
+    m = line_prepared(spark, sf).moments(False)
     return shown(models.StepwiseAIC(max_features=25).fit(m, spark).path(spark), aic=3, gain=3)
 
 
@@ -602,7 +602,7 @@ def ridge_custom_grid(spark, sf):
 @query
 def ridge_loo(spark, sf):
     p = line_prepared(spark, sf)
-    m = p.moments(None)
+    m = p.moments(False)
     spread = models.least_squares(m).tss / m.n
     out = models.ridge_leave_one_out(p.train, m, log_grid_values(-6, 6, 13))
     return shown(out.select("alpha_no", "alpha", (F.col("loo_mse") / spread).alias("loo_share")), alpha=6, loo_share=9)
@@ -731,7 +731,7 @@ def run_all(spark, sf):
 @query
 def wide_suite_scores(spark, sf):
     """All three penalised models on every feature, scored in one scan."""
-    p = prepare(stage(tables.feature_table(spark, sf)), WIDE, "key", ["ts"])
+    p = prepare(tables.feature_table(spark, sf), WIDE, "key", ["ts"])
     m = p.moments()
     fitted = [k.fit(m, spark) for k in (models.Ridge(), models.Lasso(), models.ElasticNet())]
     out = evaluate.score_models(p.scaled, fitted, p.label)

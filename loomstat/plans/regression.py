@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.config import Settings
-from loomstat.functions.exprs import q
+from loomstat.functions.exprs import nan_to_null, q
 from loomstat.operators import clean, diagnostics, domain, evaluate, gram, models, profile, split
 from loomstat.operators.ordering import rolling_mean
 from loomstat.session import local_rows, scratch_path
@@ -34,7 +34,7 @@ class Prepared:
     features: list[str]
     medians: dict[str, float | None]
     scale: dict[str, tuple[float, float]]
-    label_mean: float
+    cross: gram.Moments
     dropped_constant: list[str] = field(default_factory=list)
     dropped_leakage: list[str] = field(default_factory=list)
 
@@ -42,27 +42,28 @@ class Prepared:
     def train(self) -> DataFrame:
         return self.scaled.where(F.col("split") == "train")
 
+    @property
+    def label_mean(self) -> float:
+        return self.cross.shift[self.label]
+
     def params(self) -> DataFrame:
         """``(feature, median, mean, std_pop)`` fitted on the training rows."""
         rows = [(f, self.medians[f], *self.scale[f]) for f in self.features]
         return local_rows(self.scaled.sparkSession, rows, "feature string, median double, mean double, std_pop double")
 
-    def moments(self, by: str | None = "fold") -> gram.Moments:
-        """Cross products of the training rows; features are already centred,
-        the label is centred here."""
-        shift = {**{f: 0.0 for f in self.features}, self.label: self.label_mean}
-        return gram.moments(self.train, self.features, self.label, by, shift)
+    def moments(self, by_fold: bool = True) -> gram.Moments:
+        """Cross products of the standardised training rows, known since the
+        scale was fitted."""
+        return self.cross if by_fold else self.cross.merged()
 
 
-def feature_roles(df: DataFrame, settings: Settings, label: str, candidates: Sequence[str] | None = None) -> dict[str, str]:
+def column_roles(cols: Sequence[str], label: str, settings: Settings, constant: set[str]) -> dict[str, str]:
     """Role of each column: target, constant, disabled, leakage or feature."""
-    cols = list(candidates) if candidates is not None else clean.numeric_columns(df)
-    flat = set(clean.constant_columns(df, label, settings.std_tol, cols=cols))
     roles = {}
     for c in cols:
         if c == label:
             roles[c] = "target"
-        elif c in flat:
+        elif c in constant:
             roles[c] = "constant"
         elif c in settings.disabled:
             roles[c] = "disabled"
@@ -71,34 +72,62 @@ def feature_roles(df: DataFrame, settings: Settings, label: str, candidates: Seq
     return roles
 
 
-def prepare(df: DataFrame, settings: Settings, key: str, carry: Sequence[str] = ()) -> Prepared:
+def feature_roles(df: DataFrame, settings: Settings, label: str) -> dict[str, str]:
+    cols = clean.numeric_columns(df)
+    return column_roles(cols, label, settings, set(clean.constant_columns(df, label, settings.std_tol, cols=cols)))
+
+
+def mark_rows(df: DataFrame, settings: Settings, key: str) -> DataFrame:
+    """Add ``split`` and ``fold``, both decided by the key alone."""
+    marked = split.hash_split(df, key, settings.test_ratio, settings.seed)
+    return split.assign_fold(marked, key, settings.folds, settings.seed)
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Store a table once in the shared folder, for jobs that pass over it
+    several times; later passes read only the columns they use."""
+    spark = df.sparkSession
+    return spark.read.parquet(write_parquet(df, scratch_path(spark, label)))
+
+
+def prepare(df: DataFrame, settings: Settings, key: str, carry: Sequence[str] = (), store: bool = True,
+            marked: bool = False) -> Prepared:
     """Drop uninformative and leakage columns, drop rows without target, split,
     impute and standardise with parameters of the training rows only.
 
     ``key`` identifies a row for the split; ``carry`` names further columns to
-    keep (a time axis). Neither is a feature.
+    keep (a time axis). Neither is a feature. The rows are read four times, so
+    they are stored once with their split unless ``store`` is off; ``marked``
+    rows already carry ``split`` and ``fold``.
     """
     label = clean.resolve_target(df.columns, settings.target, settings.secondary_target)
-    cols = [c for c in clean.numeric_columns(df) if c not in {key, *carry}]
-    roles = feature_roles(df, settings, label, cols)
+    cols = [c for c in clean.numeric_columns(df) if c not in {key, "split", "fold", *carry}]
+    rows = df if marked else mark_rows(df.select(q(key), *[q(c) for c in carry], *[q(c) for c in cols]), settings, key)
+    if store:
+        rows = stage(rows, "prepared")
+
+    # pass 1: column profile of the whole table, and of the training rows
+    in_train = (F.col("split") == "train") & nan_to_null(q(label)).isNotNull()
+    fit_on, others = clean.spread_by(rows, cols, in_train)
+    constant = {c for c in cols if c != label and (fit_on[c] + others[c]).is_constant(settings.std_tol)}
+    roles = column_roles(cols, label, settings, constant)
     features = [c for c in cols if roles[c] == "feature"]
-    rows = clean.drop_null_target(df.select(q(key), *[q(c) for c in carry], q(label), *[q(c) for c in features]), label)
-    rows = split.hash_split(rows, key, settings.test_ratio, settings.seed)
-    rows = split.assign_fold(rows, key, settings.folds, settings.seed)
-    train = rows.where(F.col("split") == "train")
-
-    medians = clean.fit_median(train, features)
-    empty = [f for f in features if medians[f] is None]
+    empty = [f for f in features if fit_on[f].n == 0]
     if empty:
         warnings.warn(f"no training value in {empty}; dropped", stacklevel=2)
-        rows = rows.drop(*empty)
         features = [f for f in features if f not in empty]
-        medians = {f: medians[f] for f in features}
+    keep = [key, *carry, label, *features, "split", "fold"]
+    rows = clean.drop_null_target(rows.select(*[q(c) for c in keep]), label)
+    train = rows.where(F.col("split") == "train")
+
+    # passes 2 and 3: medians; pass 4: cross products, which give the scale too
+    medians = clean.fit_median(train, features, fit_on)
     imputed = clean.impute(rows, medians)
-    scale = clean.fit_scale(imputed.where(F.col("split") == "train"), [*features, label])
-    label_mean = scale.pop(label)[0]
+    shift = {**medians, label: fit_on[label].mean}
+    raw = gram.moments(imputed.where(F.col("split") == "train"), features, label, "fold", shift)
+    scale = raw.scale()
     return Prepared(
-        imputed, clean.standardise(imputed, scale), label, features, medians, scale, label_mean,
+        imputed, clean.standardise(imputed, scale), label, features, medians, scale, raw.standardised(),
         [c for c in cols if roles[c] in ("constant", "disabled")],
         [c for c in cols if roles[c] == "leakage"],
     )
@@ -111,13 +140,6 @@ def leakage_warning(pairs: DataFrame, label: str, threshold: float = 0.98) -> li
     return sorted(r["variable"] for r in hit.collect())
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Store a table once in the shared folder, for jobs that pass over it
-    several times; later passes read only the columns they use."""
-    spark = df.sparkSession
-    return spark.read.parquet(write_parquet(df, scratch_path(spark, label)))
-
-
 def run(
     df: DataFrame,
     settings: Settings,
@@ -129,14 +151,16 @@ def run(
 ) -> dict[str, DataFrame]:
     """The whole job: classify, explore, prepare, fit, score, compare, report.
 
-    Passes over the rows: column profile, medians, scale, cross products, one
-    scoring scan for all models, and the residual tests of the first model.
+    The table is stored once with its split. Passes over it: column profile,
+    medians, cross products, one scoring scan for all models, and the residual
+    tests of the first model.
     """
     spark = df.sparkSession
-    df = stage(df)
+    wide = stage(mark_rows(df, settings, key), "run")
+    df = wide.drop("split", "fold")
     variables = local_rows(spark, [(c,) for c in df.columns if c not in (key, ts)], "variable string")
     classification = domain.classify(variables, tags)
-    prepared = prepare(df, settings, key, [ts])
+    prepared = prepare(wide, settings, key, [ts], store=False, marked=True)
     label = prepared.label
     out: dict[str, DataFrame] = {
         "classification": classification,
