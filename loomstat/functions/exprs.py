@@ -28,15 +28,21 @@ def rounded(c: Column, digits: int) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def md5_bucket(key: Column, salt: str, buckets: int) -> Column:
-    """Stable bucket of a key: the same on any partitioning, any engine."""
-    return (md5_number(key, salt) % F.lit(buckets)).cast("int")
+def key_digest(key: Column, seed: int) -> Column:
+    """MD5 of ``seed:key`` in hex: the same on any partitioning, any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def md5_number(key: Column, salt: str) -> Column:
-    """First 32 bits of ``md5(salt:key)`` as a non-negative bigint."""
-    digest = F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+def digest_word(digest: Column, word: int) -> Column:
+    """One of the four independent 8-digit words of a digest."""
+    return F.substring(digest, 8 * word + 1, 8)
+
+
+def hex_cut(share: float) -> str:
+    """The 8-digit word below which a ``share`` of all words lies. Words of
+    equal length compare as text in numeric order, which is cheaper than
+    converting each to a number."""
+    return format(min(round(share * 2**32), 2**32 - 1), "08x")
 
 
 def balanced_sum(terms: Sequence[Column]) -> Column:

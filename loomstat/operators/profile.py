@@ -34,16 +34,19 @@ def schema_inventory(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles, max of each numeric column."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    spark = df.sparkSession
-    quartiles = exact_quantiles(df, cols, QUARTILES)
-    rows = [(i, c, *quartiles[c]) for i, c in enumerate(cols)]
-    names = local_rows(spark, rows, "pos int, variable string, q25 double, q50 double, q75 double")
-    stats = long_values(df, cols).groupBy("pos").agg(
+    got = {r["pos"]: r for r in long_values(df, cols).groupBy("pos").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    return names.join(stats, "pos", "left").select(
-        "variable", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max"
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
+    ).collect()}
+    spans = {c: (got[i]["n"], got[i]["lo"], got[i]["hi"]) if i in got else (0, None, None) for i, c in enumerate(cols)}
+    quartiles = exact_quantiles(df, cols, QUARTILES, spans=spans)
+    rows = [
+        (c, spans[c][0], *((got[i]["mean"], got[i]["std"]) if i in got else (None, None)), spans[c][1], *quartiles[c], spans[c][2])
+        for i, c in enumerate(cols)
+    ]
+    return local_rows(
+        df.sparkSession, rows,
+        "variable string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double",
     )
 
 

@@ -9,26 +9,34 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.functions.exprs import md5_bucket, md5_number, q
+from loomstat.functions.exprs import digest_word, hex_cut, key_digest, q
 from loomstat.operators.ordering import POSITION, numbered
 
 
+def split_column(key: Column, ratio: float, seed: int) -> Column:
+    in_test = digest_word(key_digest(key, seed), 0) < hex_cut(ratio)
+    return F.when(in_test, F.lit("test")).otherwise(F.lit("train"))
+
+
+def fold_column(key: Column, k: int, seed: int) -> Column:
+    """From another word of the same digest, so folds are independent of the
+    split and the hash is computed once per row."""
+    word = digest_word(key_digest(key, seed), 1)
+    return sum((F.when(word >= hex_cut(i / k), F.lit(1)).otherwise(F.lit(0)) for i in range(1, k)), F.lit(0)).cast("int")
+
+
 def hash_split(df: DataFrame, key: str, ratio: float = 0.2, seed: int = 2022, output: str = "split") -> DataFrame:
     """Mark about ``ratio`` of the keys ``test``, the others ``train``."""
-    percent = ratio * 100
-    buckets = 100 if math.isclose(percent, round(percent)) else 1_000_000
-    cut = round(ratio * buckets)
-    bucket = md5_bucket(q(key), str(seed), buckets)
-    return df.withColumn(output, F.when(bucket < cut, F.lit("test")).otherwise(F.lit("train")))
+    return df.withColumn(output, split_column(q(key), ratio, seed))
 
 
 def exact_split(df: DataFrame, key: str, ratio: float = 0.2, seed: int = 2022, output: str = "split",
                 tie_break: Sequence[str] = ()) -> DataFrame:
     """Exactly ``ceil(ratio * n)`` test rows: the first in hash order."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), q(key).cast("string")))
+    digest = key_digest(q(key), seed)
     placed = numbered(df.withColumn("_digest", digest), ["_digest", key, *tie_break])
     # 0.2 * n in floating point can land just above an integer; hence the trim
     cut = math.ceil(round(ratio * placed.count(), 9))
@@ -40,11 +48,10 @@ def exact_split(df: DataFrame, key: str, ratio: float = 0.2, seed: int = 2022, o
 def hash_sample(df: DataFrame, key: str, n: int = 2000, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement: the smallest key hashes, found by a
     per-partition top-n rather than a full sort."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), q(key).cast("string")))
+    digest = key_digest(q(key), seed)
     return df.withColumn("_digest", digest).orderBy("_digest", q(key)).limit(n).drop("_digest")
 
 
 def assign_fold(df: DataFrame, key: str, k: int = 5, seed: int = 2022, output: str = "fold") -> DataFrame:
-    """Fold number ``0..k-1``; the salt differs from the split's, so folds of
-    the training rows are not biased by the split."""
-    return df.withColumn(output, (md5_number(q(key), f"fold-{seed}") % F.lit(k)).cast("int"))
+    """Fold number ``0..k-1``."""
+    return df.withColumn(output, fold_column(q(key), k, seed))

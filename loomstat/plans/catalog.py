@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomstat.config import Settings
 from loomstat.functions.exprs import format_params, log_grid_values, q, rounded
 from loomstat.operators import clean, diagnostics, domain, evaluate, gram, models, ordering, profile, split
-from loomstat.plans.regression import Prepared, feature_roles, prepare, run
+from loomstat.plans.regression import Prepared, feature_roles, prepare, run, stage
 from loomstat.session import local_rows, scratch_path
 from loomstat.sources import landing, tables
 
@@ -275,7 +275,8 @@ def fold_assign(spark, sf):
 
 @query
 def describe(spark, sf):
-    out = profile.describe(tables.feature_table(spark, sf), [*tables.NUMERIC, "charge"])
+    cols = [*tables.NUMERIC, "charge"]
+    out = profile.describe(stage(tables.feature_table(spark, sf).select(*cols)), cols)
     return shown(out, **{c: 5 for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
 
 

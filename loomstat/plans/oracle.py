@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from loomstat.functions.exprs import hex_cut
 from loomstat.functions.tails import normal_quantile
 from loomstat.operators import domain
 from loomstat.operators.models import ElasticNet
@@ -57,12 +58,10 @@ TYPED = f"""typed AS (
          {NUM.format(c='nivel_text')} AS nivel FROM raw)"""
 
 
-def bucket(key: str, salt: str, n: int) -> str:
-    return f"(('0x' || substr(md5('{salt}:' || {key}), 1, 8))::bigint % {n})"
-
-
-SPLIT = f"CASE WHEN {bucket('key', '2022', 100)} < 20 THEN 'test' ELSE 'train' END"
-FOLD = bucket("key", "fold-2022", 5)
+_DIGEST = "md5('2022:' || key)"
+SPLIT = f"CASE WHEN substr({_DIGEST}, 1, 8) < '{hex_cut(0.2)}' THEN 'test' ELSE 'train' END"
+FOLD = "(CASE " + " ".join(
+    f"WHEN substr({_DIGEST}, 9, 8) < '{hex_cut(i / 5)}' THEN {i - 1}" for i in range(1, 5)) + " ELSE 4 END)"
 
 
 def prep(features=FEATURES, src: str = "line") -> list[str]:

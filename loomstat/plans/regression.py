@@ -79,8 +79,10 @@ def feature_roles(df: DataFrame, settings: Settings, label: str) -> dict[str, st
 
 def mark_rows(df: DataFrame, settings: Settings, key: str) -> DataFrame:
     """Add ``split`` and ``fold``, both decided by the key alone."""
-    marked = split.hash_split(df, key, settings.test_ratio, settings.seed)
-    return split.assign_fold(marked, key, settings.folds, settings.seed)
+    return df.withColumns({
+        "split": split.split_column(q(key), settings.test_ratio, settings.seed),
+        "fold": split.fold_column(q(key), settings.folds, settings.seed),
+    })
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
