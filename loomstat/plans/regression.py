@@ -172,6 +172,9 @@ def run(
     }
     if plots:
         pairs = gram.corr_matrix(df)
+        suspects = [c for c in leakage_warning(pairs, label) if c not in settings.leakage]
+        if suspects:
+            log.warning("nearly the target itself, check for leakage: %s", suspects)
         out |= {
             "histogram": profile.histogram(df, label),
             "density": profile.kde(df, label),
