@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.functions.exprs import adjusted_r2, format_params, q, rss_aic, rss_bic
+from loomstat.functions.exprs import adjusted_r2, format_params, q, rss_aic, rss_bic, sparsity_pct
 from loomstat.operators.models import Regression
 from loomstat.session import local_rows
 
@@ -131,11 +131,8 @@ def select_highest(records: DataFrame) -> DataFrame:
 
 def active_features(coefs: DataFrame) -> DataFrame:
     """Non-zero coefficients, total and sparsity per model."""
-    return coefs.groupBy("model").agg(
-        F.count_if(F.col("coef") != 0).alias("n_active"),
-        F.count("*").alias("n_total"),
-        (100.0 * (1.0 - F.count_if(F.col("coef") != 0) / F.count("*"))).alias("sparsity_pct"),
-    )
+    counts = coefs.groupBy("model").agg(F.count_if(F.col("coef") != 0).alias("n_active"), F.count("*").alias("n_total"))
+    return counts.withColumn("sparsity_pct", sparsity_pct(F.col("n_active"), F.col("n_total")))
 
 
 def fit_tolerant(models: Sequence[Regression], m, spark: SparkSession) -> tuple[list[Regression], dict[str, str]]:

@@ -74,7 +74,9 @@ def exact_quantiles(
         live = _settle_flat(live, wanted, found)
         if not any(b.n > direct_rows for b in live):
             break
-        rows, live = _split(rows, live, wanted, bins)
+        # no more bins than it takes to come well below the direct limit
+        needed = 8 * max(b.n for b in live) // direct_rows
+        rows, live = _split(rows, live, wanted, min(bins, max(64, needed)))
     if live:
         _read_ranks(rows, live, wanted, found)
     return {c: [_interpolate(found, i, size.get(i, 0), p) for p in probs] for i, c in enumerate(cols)}

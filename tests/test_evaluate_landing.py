@@ -69,6 +69,14 @@ def test_comparison_puts_failures_last_and_formats_parameters(spark):
     assert out[0]["Hiperparametros / Regularizacion"] == "N/A" and math.isnan(out[0]["AIC"])
 
 
+def test_grid_expression_equals_its_values(spark):
+    from loomstat.functions.exprs import log_grid, log_grid_values
+
+    got = spark.range(1).select(log_grid(-3, 3, 50).alias("g")).first()["g"]
+    assert got == pytest.approx(log_grid_values(-3, 3, 50), rel=1e-14)
+    assert log_grid_values(2, 9, 1) == [100.0]
+
+
 def test_report_facts(spark):
     df = records(spark).selectExpr("*", "0.1D as test_rmse", "0.05D as test_mae", "map('jb', 1.5D) as additional_diagnostics")
     kpis = profile.target_kpis(spark.createDataFrame([(17.0,), (18.0,)], "v double"), "v", 17.5)
