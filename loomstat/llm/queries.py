@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import exact_dedup
+from loomstat.llm import exact_dedup, mixing
 from loomstat.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,32 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.assign(table(spark, sf, "documents"))
+
+
+ORACLE["op3_mix_sources"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, 3 * n AS most FROM s),
+w AS (SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::INT] AS weight FROM p),
+f AS (SELECT *, most / weight AS ratio, sum(n) OVER () AS total,
+        sum(most) OVER o - most AS before, sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+      FROM w WINDOW o AS (ORDER BY most / weight, place ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT arg_min((total - before) / rest, (ratio, place)) AS lev FROM f WHERE (total - before) / rest <= ratio),
+t AS (SELECT source, n, least(most::DOUBLE, weight * lev) AS target FROM f, l),
+c AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS copies FROM t),
+g AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
+q AS (SELECT g.source, h, g.size, target - copies * n AS rest, sum(g.size) OVER (PARTITION BY g.source ORDER BY h) AS cum
+      FROM g JOIN c ON g.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, d.source, d.size, n AS source_size, target,
+       (d.size * (copies + CASE WHEN cum <= rest OR (cum - q.size <= rest AND 2 * (rest - (cum - q.size)) > q.size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+       JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.h = q.h
+"""
