@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import exact_dedup, mixing
+from loomstat.llm import exact_dedup, mixing, secrets
 from loomstat.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ SELECT doc_id, d.source, d.size, n AS source_size, target,
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
        JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.h = q.h
 """
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf, "documents")))
