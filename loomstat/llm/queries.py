@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import exact_dedup, mixing, secrets
+from loomstat.llm import exact_dedup, language_id, mixing, secrets
 from loomstat.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 @query
 def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf, "documents")))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(table(spark, sf, "documents"))
