@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import exact_dedup, language_id, mixing, secrets
+from loomstat.llm import exact_dedup, language_id, mixing, packing, secrets, simple8b, toxicity
 from loomstat.llm.common import table
+from loomstat.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +68,20 @@ def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(table(spark, sf, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    simple8b.write(table(spark, sf, "documents"), path, end=2)
+    return simple8b.read(spark, path)
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), end=1)
