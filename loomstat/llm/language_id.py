@@ -176,16 +176,15 @@ def score_texts(model: Model, texts: pa.Array, known: dict[str, int], table: lis
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` instead of its text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))
     others = [c for c in df.columns if c != text_col]
     schema = df.select(*others).schema.add("lang_pred", "string").add("score", "double")
 
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        scores: list[np.ndarray] = []
+        held, known, scores = Model(**shared.value), {}, []
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            names, score = score_texts(shared.value, part.column(text_col), known, scores)
+            names, score = score_texts(held, part.column(text_col), known, scores)
             return pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(names, pa.string()), pa.array(score, pa.float64())],
                                               [*others, "lang_pred", "score"])
 
@@ -205,14 +204,13 @@ def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Rows of ``df`` whose language is recognised with a posterior of ``least``.
     The text is judged where the row is: nothing is joined or shuffled."""
     model = train(df, id_col, text_col, lang_col)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        scores: list[np.ndarray] = []
+        held, known, scores = Model(**shared.value), {}, []
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            names, score = score_texts(shared.value, part.column(text_col), known, scores)
+            names, score = score_texts(held, part.column(text_col), known, scores)
             return part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score.tolist())], pa.bool_()))
 
         yield from by_step(one, text_col)(batches)

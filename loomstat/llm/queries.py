@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstat.llm import exact_dedup, language_id, mixing, packing, secrets, simple8b, toxicity
+from loomstat.llm import exact_dedup, hamming_index, language_id, mixing, packing, secrets, simple8b, toxicity
 from loomstat.llm.common import table
 from loomstat.session import scratch_path
 
@@ -85,3 +86,8 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), end=1)
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return hamming_index.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
