@@ -97,3 +97,18 @@ def per_text(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
     bounds = np.r_[0, np.cumsum(counts)]
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def hot_join(df: DataFrame, groups: DataFrame, key: str, size_col: str, rows: int, least: int = 1024) -> DataFrame:
+    """Inner join of ``df`` with one row per group on ``key``.
+
+    Groups of more than ``rows / least`` members number ``least`` at most, so
+    they are broadcast; the others cannot make a hot task and are shuffled.
+    """
+    g = groups.withColumnRenamed(key, "__group")
+    limit = max(least, rows // least)
+    hot, cold = g.where(F.col(size_col) > limit), g.where(F.col(size_col) <= limit)
+    on = F.col(key) == F.col("__group")
+    first = df.join(F.broadcast(hot), on).drop("__group")
+    rest = df.join(F.broadcast(hot.select("__group")), on, "left_anti").join(cold, on).drop("__group")
+    return first.unionByName(rest)
