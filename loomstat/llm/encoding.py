@@ -1,31 +1,34 @@
 """Token ids of many texts at once, and their checksums (task side).
 
 White space always separates tokens in the tokenizers used here, so a text is
-the sequence of its white-space-free chunks, and each distinct chunk of a task
-needs to be encoded once. Plain words (Latin letters with at most one closing
-mark) are reduced further, to the lower-case word and the mark.
+the sequence of its white-space-free chunks, and each distinct chunk needs to
+be encoded once. Plain words (Latin letters with at most one closing
+mark) are reduced to the lower-case word and the mark, and a worker process
+remembers the ids of words.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
+import types
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 from loomstat.llm.common import words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Distinct chunks that a task remembers.
-REMEMBERED = 500_000
+#: Distinct words that a worker process remembers.
+REMEMBERED = 600_000
 TOKENIZER = "word_bpe_49k.json"
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?]?)")
+PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,!?]?)$"
+MARKS = [".", ",", "!", "?"]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -50,41 +53,62 @@ class Encoder:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
         self.flat, self.first, self.size = array("I"), array("q"), array("q")
+        self._slots(["", *MARKS])
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of new chunks."""
-        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, "") for c in chunks]
-        new = [w for w in dict.fromkeys(p for two in parts for p in two if p) if w not in self.words]
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """Where the ids of words are kept; new words are encoded first."""
+        new = [w for w in words if w not in self.at]
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[w] = tuple(e.ids)
-        for c, (word, mark) in zip(chunks, parts):
-            ids = self.words[word] + self.words[mark] if mark else self.words[word]
-            self.at[c] = len(self.first)
-            self.first.append(len(self.flat))
-            self.size.append(len(ids))
-            self.flat.extend(ids)
+                ids = e.ids
+                self.at[w] = len(self.first)
+                self.first.append(len(self.flat))
+                self.size.append(len(ids))
+                self.flat.extend(ids)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def _chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, end to end, of distinct chunks."""
+        parts = pc.extract_regex(distinct.cast(pa.large_string()), PLAIN)
+        word, mark = pc.struct_field(parts, "word"), pc.struct_field(parts, "mark")
+        coded = pc.if_else(word.is_valid(), pc.utf8_lower(word), distinct.cast(pa.large_string())).dictionary_encode()
+        base = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        extra = pc.fill_null(pc.index_in(mark, pa.array(MARKS, pa.large_string())), -1).to_numpy(zero_copy_only=False) + 1
+        return self._joined(np.stack([base, self._slots(["", *MARKS])[extra]], axis=1).ravel(), 2)
+
+    def _joined(self, slots: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes, first = (np.frombuffer(x, np.int64)[slots] for x in (self.size, self.first))
+        return sizes.reshape(-1, group).sum(axis=1), np.frombuffer(self.flat, np.uint32)[spread(first, sizes)]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, with the end id, and all ids in order. Null counts as empty."""
         counts, index, distinct = words_of(texts)
-        chunks = distinct.to_pylist()
         if len(self.at) > REMEMBERED:
             self._forget()
-        self._learn([c for c in chunks if c not in self.at])
-        slots = np.fromiter((self.at[c] for c in chunks), np.int64, len(chunks))[index]
-        sizes = np.frombuffer(self.size, np.int64)[slots] if len(slots) else np.zeros(0, np.int64)
-        first = np.frombuffer(self.first, np.int64)[slots] if len(slots) else sizes
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = np.frombuffer(self.flat, np.uint32)[np.arange(total) + np.repeat(first - (ends - sizes), sizes)] if total else np.zeros(0, np.uint32)
-        word_ends = np.cumsum(counts)
-        text_ends = np.r_[0, ends][word_ends]
-        lengths = np.diff(np.r_[0, text_ends]) + 1
-        return lengths.astype(np.int64), np.insert(ids, text_ends, np.uint32(end))
+        if not len(index):
+            return np.ones(len(counts), np.int64), np.full(len(counts), end, np.uint32)
+        each, flat = self._chunks(distinct)
+        sizes = each[index]
+        ids = flat[spread((np.cumsum(each) - each)[index], sizes)]
+        text_ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
+        return np.diff(np.r_[0, text_ends]) + 1, np.insert(ids, text_ends, np.uint32(end))
+
+
+def process_encoder(name: str = TOKENIZER, path: str | None = None) -> Encoder:
+    """The encoder of this worker process: tasks that follow each other in one
+    process share the words already encoded."""
+    memo = sys.modules.setdefault("_encoders_of_process", types.ModuleType("_encoders_of_process")).__dict__
+    if (name, path) not in memo:
+        memo[name, path] = Encoder(name, path)
+    return memo[name, path]
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions ``first[i], first[i] + 1, ...`` of each run, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
 
 
 def checksum(ids: np.ndarray) -> int:

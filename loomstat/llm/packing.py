@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import steps, stored
-from loomstat.llm.encoding import TOKENIZER, Encoder, checksum
+from loomstat.llm.encoding import TOKENIZER, checksum, process_encoder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -87,7 +87,7 @@ def pieces(df: DataFrame, end: int, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, piece, start, length, ids_crc32`` of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, tokenizer_path)
+        encoder = process_encoder(tokenizer, tokenizer_path)
         for batch in batches:
             for part in steps(batch, "text"):
                 lengths, ids = encoder.encode(part.column("text"), end)

@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import parallelism, steps
-from loomstat.llm.encoding import TOKENIZER, Encoder, checksum
+from loomstat.llm.encoding import TOKENIZER, checksum, process_encoder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Ids per word and their width by selector (fixed values of the coding; selector 0 escapes).
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
+LIMITS = np.uint64(1) << WIDTHS[1:].astype(np.uint64)
 BLOCK = 1024
 PAGE_SCHEMA = ("shard int, page int, before long, n_ids long, doc_ids array<long>, lengths array<long>, "
                "words binary, offsets array<int>")
@@ -47,13 +48,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
+    fits = np.searchsorted(LIMITS, ids, side="right").astype(np.int8)  # the narrowest width, as its place in WIDTHS[1:]
     left = np.minimum((place // block + 1) * block, n) - place  # ids to the end of the block
-    step, chosen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for s in range(1, len(COUNTS)):
-        wide = np.where(ids >> np.uint64(WIDTHS[s]) != 0, place, n)
+    step, chosen = np.zeros(n, np.int32), np.zeros(n, np.int8)
+    for s in range(1 + int(fits.min()), len(COUNTS)):
+        wide = np.where(fits >= s, place, np.int32(n))
         run = np.minimum.accumulate(wide[::-1])[::-1] - place  # ids from here that fit this width
-        taken = np.minimum(COUNTS[s], left)
+        taken = np.minimum(np.int32(COUNTS[s]), left)
         better = (run >= taken) & (taken > step)
         step[better], chosen[better] = taken[better], s
     step[step == 0] = 1  # escapes
@@ -129,7 +131,7 @@ def write(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col:
     """Encode every text, append ``end`` and write the page files in ascending id order."""
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, page, before = Encoder(tokenizer, tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, page, before = process_encoder(tokenizer, tokenizer_path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for part in steps(batch, "text"):
                 lengths, ids = encoder.encode(part.column("text"), end)
