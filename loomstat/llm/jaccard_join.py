@@ -26,13 +26,13 @@ gives no rows.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm import bloom
@@ -42,6 +42,8 @@ from loomstat.llm.shingles import mixed, shingle_sets
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: The shingle sets of a column of texts.
+Sets = Callable[[pa.Array], list[np.ndarray]]
 #: Hash buckets in which shingles are counted over the whole corpus.
 HEAVY_BITS = 20
 #: A bucket is heavy in a task from this count on, or from this many times the task's mean.
@@ -221,8 +223,12 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return ordered.mapInArrow(find, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``a, b, linked`` of stored candidate pairs, from the sorted shingle arrays."""
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
+    """``a, b, linked`` of stored candidate pairs, from the sorted shingle arrays.
+
+    The arrays are made again from the texts that hold a candidate, found by
+    the id of one row of each node.
+    """
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
                     .join(nodes.select("node", "min_id"), F.col("need") == F.col("node")).select("need", F.col("min_id").alias("need_id")), "candidates")
     ids = needed.select("need_id").distinct()
@@ -232,7 +238,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, p
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                sets = shingle_sets(part.column("text"), width)
+                sets = sets_of(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "numbers"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,24 +259,32 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, p
     return both.mapInArrow(compare, "a long, b long, linked boolean")
 
 
-def links(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signed rows (``id, n, node``), the nodes and the components
-    (``node, component``) of those that have a link. ``texts`` holds ``id, text``."""
-    signed = stored(signatures(texts, width, percent, heavy_buckets(texts, width)), "signatures")
-    nodes = stored(
-        signed.where("n > 0 and id is not null").groupBy("node").agg(
-            F.min("id").alias("min_id"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"),
-            F.any_value("prefix").alias("prefix"), F.any_value("short").alias("short")), "nodes")
+def cluster(nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
+    """``node, component`` of the nodes that have a link. ``nodes`` holds
+    ``node, min_id, n, bits, prefix, short``: nodes meet where they share a
+    prefix number and a size band."""
     members = stored(tiles(nodes, percent).join(nodes.select("node", "n", "bits"), "node"), "tiles")
     first = stored(candidates(members.withColumn("component", F.col("node")), percent, True), "candidates")
-    checked = stored(verified(first, nodes, texts, width, percent), "checked")
+    checked = stored(verified(first, nodes, texts, sets_of, percent), "checked")
     groups = stored(components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
     placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = stored(candidates(placed, percent, False).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     if rest.limit(1).count():
-        more = stored(verified(rest, nodes, texts, width, percent), "checked")
+        more = stored(verified(rest, nodes, texts, sets_of, percent), "checked")
         found = checked.unionByName(more).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         groups = stored(components(found), "groups")
+    return groups
+
+
+def links(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows (``id, n, node``), the nodes and the components
+    (``node, component``) of those that have a link. ``texts`` holds ``id, text``."""
+    signed = stored(signatures(texts, width, percent, heavy_buckets(texts, width)), "signatures")
+    nodes = stored(
+        signed.where("n > 0 and id is not null").groupBy("node").agg(
+            F.min("id").alias("min_id"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"),
+            F.any_value("prefix").alias("prefix"), F.any_value("short").alias("short")), "nodes")
+    groups = cluster(nodes, texts, lambda column: shingle_sets(column, width), percent)
     return signed.select("id", "n", "node"), nodes, groups
 
 

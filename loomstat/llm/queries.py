@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import exact_dedup, hamming_index, jaccard_join, language_id, mixing, packing, secrets, simple8b, toxicity
+from loomstat.llm import exact_dedup, hamming_index, jaccard_join, language_id, mixing, packing, secrets, simple8b, substring_dedup, toxicity
 from loomstat.llm.common import table
 from loomstat.session import scratch_path
 
@@ -96,3 +96,8 @@ def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf, "documents"), width=4, percent=85)
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf, "documents"))
