@@ -35,12 +35,12 @@ from loomstat.llm.common import by_step, fold_of, held_out, per_text, words_of
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 1500, 3000
-BUCKETS, DIMS, EPOCHS, RATE, BATCH = 1 << 18, 8, 10, 0.1, 32
+BUCKETS, DIMS, EPOCHS, RATE, BATCH, UPDATES = 1 << 18, 8, 8, 1.0, 32, 800
 GRAMS = (3, 4, 5, 6)
 #: Buckets met in fewer sampled texts keep a zero embedding: they tell nothing about other texts.
 LEAST_TEXTS = 3
 #: A text's mean is multiplied by this before the softmax: one word in a few hundred must be able to decide.
-GAIN = 100.0
+GAIN = 30.0
 DECAY, START = 1e-6, 0.05
 REMEMBERED = 400_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -67,7 +67,7 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row starts, buckets and weights: each text as the mean of its words, each word as the mean of its subwords."""
     starts, cols, weights = [0], [], []
     for k in range(0, len(texts), 64):
-        counts, index, words = words_of(texts.slice(k, 64))
+        counts, index, words = words_of(texts.take(pa.array(np.arange(k, min(k + 64, len(texts))))))
         subs = [subwords(w) for w in words.to_pylist()]
         sizes = np.array([len(s) for s in subs], np.int64)
         flat, at = np.array([b for s in subs for b in s], np.int64), np.r_[0, np.cumsum(sizes)]
@@ -80,9 +80,9 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         share = np.repeat(n / np.bincount(row, weights=n, minlength=len(counts))[row] / np.maximum(1, each), each)
         key, back = np.unique(np.repeat(row, each) * BUCKETS + flat[np.repeat(at[word], each) + inner], return_inverse=True)
         weights.append(np.bincount(back, weights=share, minlength=len(key)).astype(np.float32))
-        cols.append(key % BUCKETS)
+        cols.append((key % BUCKETS).astype(np.int32))
         starts += (starts[-1] + np.searchsorted(key // BUCKETS, np.arange(len(counts)), side="right")).tolist()
-    return np.array(starts), np.concatenate([np.zeros(0, np.int64), *cols]), np.concatenate([np.zeros(0, np.float32), *weights])
+    return np.array(starts), np.concatenate([np.zeros(0, np.int32), *cols]), np.concatenate([np.zeros(0, np.float32), *weights])
 
 
 def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int = 0) -> Model:
@@ -102,8 +102,9 @@ def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int = 0)
     cols, values = cols[held], values[held] * np.float32(GAIN)
     truth, importance = np.eye(2, dtype=np.float32)[labels], (weights / weights.mean()).astype(np.float32)
     seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full_like(softmax, 1e-8), np.full_like(bias, 1e-8)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = int(np.clip(UPDATES * BATCH // len(labels), EPOCHS, 8 * EPOCHS))  # few rows are seen more often
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(labels))
         for rows in np.array_split(order, max(1, len(order) // BATCH)):
             sizes = starts[rows + 1] - starts[rows]
