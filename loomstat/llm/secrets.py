@@ -36,6 +36,8 @@ SAMPLE = 1000
 #: Log-likelihood ratio per character above which a token counts as random.
 MARGIN = 0.5
 CODES = 128
+#: Weight of the smoothing, in pairs.
+PRIOR = 4.0
 
 
 def _found(text: Column, pattern: str, kind: int, measured: int = 0, least: int = 0) -> Column:
@@ -72,14 +74,14 @@ def _pairs(token: Column) -> Column:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratio of each character pair, random against ordinary."""
-    rows = (
-        df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .orderBy(F.xxhash64("id"), "id").limit(sample)
-    )
+    rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # only hashes move
+    rows = rows.where(F.col("h") <= F.lit(last).cast("long"))
     digest = F.sha2("id", 256)
+    noise = [F.translate(F.base64(F.unhex(F.sha2(F.concat("id", F.lit(salt)), 512))), "\r\n", "") for salt in (" one", " two")]
     base = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))])
-    random = F.concat(base, F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40),
-                                    F.upper(F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", ""), 1, 20))))
+    random = F.concat(base, F.array(*noise, F.substring(digest, 1, 40), F.upper(F.substring(F.translate(noise[0], "+/=", ""), 1, 20))))
     without = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.regexp_extract_all(without, F.lit(r"[A-Za-z0-9+/_=-]{3,}"), F.lit(0))
     counts = (
@@ -91,12 +93,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     )
     seen = {(r["random"], r["pair"]): r["count"] for r in counts.collect()}  # at most 2 x 128 x 128 numbers
     allowed = [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]
+    chain = {}
+    for k in (True, False):  # a pair is smoothed by how often its second character follows any
+        after = {b: sum(seen.get((k, a * CODES + b), 0) for a in allowed) + 1 for b in allowed}
+        every = sum(after.values())
+        for a in allowed:
+            total = sum(seen.get((k, a * CODES + b), 0) for b in allowed)
+            for b in allowed:
+                chain[k, a, b] = (seen.get((k, a * CODES + b), 0) + PRIOR * after[b] / every) / (total + PRIOR)
     out = [0.0] * (CODES * CODES)
     for a in allowed:
-        total = {k: sum(seen.get((k, a * CODES + b), 0) + 1 for b in allowed) for k in (True, False)}
         for b in allowed:
-            p, q = ((seen.get((k, a * CODES + b), 0) + 1) / total[k] for k in (True, False))
-            out[a * CODES + b] = math.log(p / q)
+            out[a * CODES + b] = math.log(chain[True, a, b] / chain[False, a, b])
     return out
 
 
