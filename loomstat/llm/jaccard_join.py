@@ -53,8 +53,9 @@ MAX_BROADCAST = 2_000_000
 
 
 def bitmap(numbers: np.ndarray) -> np.ndarray:
-    """Hashed shingles as bits, about as many bits as shingles."""
-    bits = 1 << max(6, min(16, int(max(1, len(numbers)) - 1).bit_length()))
+    """Hashed shingles as bits, at least four times as many bits as shingles:
+    of the shingles that one set lacks, the bound then sees most."""
+    bits = 1 << max(6, min(16, int(max(1, 4 * len(numbers)) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(numbers & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view("<u8")
