@@ -45,7 +45,7 @@ def breusch_pagan(df: DataFrame, features: Sequence[str], resid: str = "resid")
         n, k = int(fit.n), fit.rank - 1
         if fit.tss > 0 and k > 0:
             lm = fit.n * (1.0 - fit.rss / fit.tss)
-            p = tails.chi2_tail(spark, lm, k)
+            p = tails.chi2_tail(lm, k)
     except ValueError:
         pass
     return local_rows(spark, [(n, k, _or_none(lm), _or_none(p))], "n bigint, df int, lm double, p_value double")
@@ -67,7 +67,7 @@ def ols_summary(m: Moments, spark: SparkSession, rss: float | None = None) -> di
     return {
         "condition_number": condition_number(m),
         "f_statistic": f,
-        "f_pvalue": tails.f_tail(spark, f, k, free) if k and free > 0 else math.nan,
+        "f_pvalue": tails.f_tail(f, k, free) if k and free > 0 else math.nan,
         "r2": r2,
         "r2_adj": 1.0 - (1.0 - r2) * (n - 1) / free if free > 0 else math.nan,
         "aic_loglik": loglik_aic(n, rss, k) if rss > 0 else math.nan,
@@ -96,7 +96,7 @@ def coefficient_table(m: Moments, spark: SparkSession, rss: float | None = None)
     for name, b, v in zip(fit.names, values, var):
         se = None if name in aliased or not v > 0 else math.sqrt(v)
         t = None if se is None else b / se
-        rows.append((name, float(b), se, t, None if t is None else tails.t_two_sided(spark, t, free)))
+        rows.append((name, float(b), se, t, None if t is None else tails.t_two_sided(t, free)))
     return local_rows(spark, rows, "feature string, coef double, std_err double, t_value double, p_value double")
 
 

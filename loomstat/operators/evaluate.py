@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,12 +137,13 @@ def active_features(coefs: DataFrame) -> DataFrame:
 
 
 def fit_tolerant(models: Sequence[Regression], m, spark: SparkSession) -> tuple[list[Regression], dict[str, str]]:
-    """Fit all; a failing model is reported instead of ending the run."""
+    """Fit all; a model that its data does not allow is reported instead of
+    ending the run. Failures of Spark itself are not the model's, and rise."""
     fitted, failed = [], {}
     for model in models:
         try:
             fitted.append(model.fit(m, spark))
-        except Exception as e:  # noqa: BLE001 - any failure becomes a row
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
             failed[model.key] = f"{type(e).__name__}: {e}"
     return fitted, failed
 

@@ -164,7 +164,8 @@ def gram_frame(df: DataFrame, cols: Sequence[str], by: str | None = None, shift:
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of each column pair ``i < j`` over the rows where both are
-    present: ``(i, j, col_i, col_j, n, r)``. No spread gives a null r."""
+    present: ``(i, j, col_i, col_j, n, r)``. No spread, or no such row, gives a
+    null r."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     x = df.select(*[
         (q(c).cast("double") - F.lit(mean)).alias(f"x{i}") for i, (c, (mean, _)) in enumerate(fit_scale(df, cols).items())
@@ -174,9 +175,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     partial = x.mapInArrow(kernels.partial_pairs, lists)
     rows = partial.select(F.inline(F.arrays_zip(*[c.split()[0] for c in cell.split(", ")])))
     sums = rows.groupBy("pos").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
-    var_i = F.col("qi") - F.col("si") * F.col("si") / F.col("n")
-    var_j = F.col("qj") - F.col("sj") * F.col("sj") / F.col("n")
-    cov = F.col("p") - F.col("si") * F.col("sj") / F.col("n")
+    n = F.when(F.col("n") > 0, F.col("n"))
+    var_i = F.col("qi") - F.col("si") * F.col("si") / n
+    var_j = F.col("qj") - F.col("sj") * F.col("sj") / n
+    cov = F.col("p") - F.col("si") * F.col("sj") / n
     # spread below the rounding noise of its own sum of squares counts as none
     spread = (var_i > F.col("qi") * 1e-14) & (var_j > F.col("qj") * 1e-14)
     r = F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(var_i * var_j))))
@@ -184,8 +186,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     label = F.array(*[F.lit(c) for c in cols])
     at_i, at_j = F.lit([int(i) for i in iu[0]]), F.lit([int(j) for j in iu[1]])
     return (
-        sums.where("n > 0")
-        .withColumn("i", F.element_at(at_i, F.col("pos") + 1))
+        sums.withColumn("i", F.element_at(at_i, F.col("pos") + 1))
         .withColumn("j", F.element_at(at_j, F.col("pos") + 1))
         .select(
             "i", "j",
@@ -233,20 +234,19 @@ def correlated_columns(pairs: DataFrame, threshold: float = 0.95, keep: Sequence
 # ---------------------------------------------------------------- collinearity
 
 
-def vif(m: Moments) -> dict[str, float]:
-    """Uncentred variance inflation, ``G_jj * (G^-1)_jj``, without a constant;
-    NaN where the Gram matrix has no inverse."""
+def vif(m: Moments, tolerance: float = 1e-10) -> dict[str, float]:
+    """Uncentred variance inflation ``G_jj / (G_jj - g_j' G_-j^+ g_j)`` of each
+    feature, without a constant: infinite where the other features explain it
+    up to rounding, finite for the rest whatever is aliased among them."""
     g = m.total[1:-1, 1:-1]
-    try:
-        # scale to unit diagonal first: the product does not change, the inverse gains digits
-        d = np.sqrt(np.diag(g))
-        unit = g / np.outer(d, d)
-        if np.linalg.cond(unit) > 1e15:
-            raise np.linalg.LinAlgError
-        values = np.diag(np.linalg.inv(unit))
-    except np.linalg.LinAlgError:
-        values = np.full(len(m.features), np.nan)
-    return dict(zip(m.features, values.tolist()))
+    d = np.sqrt(np.diag(g))
+    unit = g / np.outer(d, d)  # unit diagonal: the ratio does not change, the inverse gains digits
+    out = {}
+    for j, name in enumerate(m.features):
+        rest = np.delete(np.arange(len(d)), j)
+        left = 1.0 - unit[j, rest] @ np.linalg.pinv(unit[np.ix_(rest, rest)], rcond=tolerance, hermitian=True) @ unit[rest, j]
+        out[name] = 1.0 / left if left > tolerance else float("inf")
+    return out
 
 
 def condition_number(m: Moments) -> float:

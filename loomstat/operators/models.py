@@ -253,11 +253,6 @@ def search_grid(
     return table.groupBy("task").applyInPandas(solve, out)
 
 
-def cv_errors(solved: DataFrame) -> DataFrame:
-    """Mean held-out error per grid point (plain mean over folds)."""
-    return solved.where("held >= 0").groupBy("ratio", "alpha_no", "alpha").agg(F.avg("mse").alias("cv_mse"))
-
-
 class Penalised(Regression):
     """Shared search: lowest mean fold error wins, the earlier grid point on a
     tie, then the fit on all rows at that point is taken."""

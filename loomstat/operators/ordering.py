@@ -97,26 +97,47 @@ def rolling_mean(
     min_periods: int = 60,
     by: Sequence[str] = (),
     output: str = "rolling_mean",
+    count_output: str | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Trailing mean over ``rows`` rows, the current one included; null until
-    ``min_periods`` finite readings are in the frame.
-
-    A sliding frame would add up ``rows`` values for every row. Running totals
-    of the chunk cost one addition each; a frame is the difference of two."""
+    ``min_periods`` finite readings are in the frame. ``count_output`` names a
+    column for the number of finite readings.
+
+    The order is cut into blocks as long as the frame, so a frame is the end of
+    one block and the beginning of the next: two sums that a block shares among
+    its rows, added once a row whatever the frame's length. Nothing is ever
+    subtracted, so a huge reading touches only the frames that hold it, and the
+    blocks lie at fixed places, so the result doesn't depend on ``chunk_rows``.
+    """
     value = q(col).cast("double")
     value = F.when(F.abs(value) < float("inf"), value)  # false for NaN, too
-    window = chunk_window(by)
-    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def frame(total: str) -> Column:
-        return F.coalesce(F.col(total), F.lit(0)) - F.coalesce(F.lag(total, rows).over(window), F.lit(0))
+    series = chunk_window(by)
+    block = F.floor(F.col(POSITION) / rows)
+    in_block = Window.partitionBy(_CHUNK, *[q(c) for c in by], "_block").orderBy(POSITION)
+    head = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tail = in_block.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def frame(name: str) -> Column:
+        """The block's rows so far, and those of the block before that the frame still holds: from the
+        frame's first row on, or from the first row of a series that begins in that block."""
+        begins_before = F.first("_block").over(so_far) == F.col("_block") - 1
+        earlier = F.coalesce(
+            F.lag(f"_tail_{name}", rows - 1).over(series), F.when(begins_before, F.first(f"_tail_{name}").over(so_far)))
+        whole = F.col(POSITION) % rows == rows - 1  # the frame is this very block
+        return F.col(f"_head_{name}") + F.when(whole, 0).otherwise(F.coalesce(earlier, F.lit(0)))
 
     def add(chunks: DataFrame) -> DataFrame:
-        totals = chunks.withColumns({"_sum": F.sum(value).over(running), "_n": F.count(value).over(running)})
-        framed = totals.withColumns({"_frame_sum": frame("_sum"), "_frame_n": frame("_n")})
+        parts = chunks.withColumn("_block", block).withColumns({
+            "_head_sum": F.coalesce(F.sum(value).over(head), F.lit(0.0)), "_head_n": F.count(value).over(head),
+            "_tail_sum": F.coalesce(F.sum(value).over(tail), F.lit(0.0)), "_tail_n": F.count(value).over(tail)})
+        framed = parts.withColumns({"_frame_sum": frame("sum"), "_frame_n": frame("n")})
         mean = F.when(F.col("_frame_n") >= max(min_periods, 1), F.col("_frame_sum") / F.col("_frame_n"))
-        return framed.withColumn(output, mean).drop("_sum", "_n", "_frame_sum", "_frame_n")
+        out = framed.withColumn(output, mean)
+        if count_output:
+            out = out.withColumn(count_output, F.col("_frame_n"))
+        return out.drop("_block", "_head_sum", "_head_n", "_tail_sum", "_tail_n", "_frame_sum", "_frame_n")
 
     return over_order(df, order_by, add, rows - 1, by, chunk_rows)
 

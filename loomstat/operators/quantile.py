@@ -178,10 +178,3 @@ def _read_ranks(rows: DataFrame, live: list[_Bracket], wanted: dict, found: dict
     for r in ordered.join(F.broadcast(ranks), ["bracket", "place"]).collect():
         b = by_id[r["bracket"]]
         found[b.pos, b.before + r["place"] - 1] = r["value"]
-
-
-def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> DataFrame:
-    """The same result as ``(variable, prob, value)`` rows."""
-    got = exact_quantiles(df, cols, probs, **kw)
-    rows = [(c, float(p), v) for c in cols for p, v in zip(probs, got[c])]
-    return local_rows(df.sparkSession, rows, "variable string, prob double, value double")

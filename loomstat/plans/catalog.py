@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ WIDE = Settings(target="charge", leakage=("disc_price",), disabled=(), design_li
 FEATURES = ["price", "discount", "tax", "qty"]
 NESTED = {"m1": FEATURES[:1], "m2": FEATURES[:2], "m3": FEATURES[:3], "m4": FEATURES}
 ORDER = ["ts", "key"]
+SPIKE = 1e17
 SENSORS = ["Flujo CLO2 Etapa D0", "Cons. Específico  O2 EOP", "Nivel Etapa D1"]
 PLAIN = ["flujo", "cons", "nivel"]
 
@@ -77,6 +79,46 @@ def csv_landing(spark, sf):
     return typed.orderBy("Timestamp").toDF("ts", *PLAIN)
 
 
+EXPORT_FILES = 8
+
+
+def write_tiered(spark, sf) -> str:
+    """All events as an export of several files, each with its own tags and
+    units; every file's units differ, file 0 has none, and some rows are empty."""
+    raw = tables.raw_export(spark, sf).where("row_idx >= 2")
+    cols = ["Unnamed: 2", *SENSORS]
+    empty = F.col("row_idx") % 31 == 0
+    file = F.pmod(F.col("row_idx"), F.lit(EXPORT_FILES)).cast("int")
+    cells = F.struct(*[F.when(~empty, q(c).cast("string")).alias(f"c{i}") for i, c in enumerate(cols)])
+    data = raw.select(file.alias("file"), F.col("row_idx").alias("line"), F.to_csv(cells).alias("value"))
+    each = spark.range(EXPORT_FILES).select(F.col("id").cast("int").alias("file"))
+    named = F.lit(",".join(cols))
+    tags = F.concat_ws(",", F.lit(""), *[F.concat(F.lit(f"TAG{i}_"), F.col("file")) for i in range(len(SENSORS))])
+    units = F.when(F.col("file") > 0, F.concat(F.lit(",kg"), F.col("file"), F.lit(",%,"))).otherwise(F.lit("," * len(SENSORS)))
+    top = each.select("file", F.explode(F.array(*[F.struct(F.lit(k - 3).cast("long").alias("line"), v.alias("value"))
+                                                 for k, v in enumerate((named, tags, units))])).alias("h")).select("file", "h.line", "h.value")
+    path = scratch_path(spark, "export")
+    lines = data.select("file", F.col("line").cast("long").alias("line"), "value").unionByName(top)
+    lines.repartition("file").sortWithinPartitions("file", "line").drop("line").write.partitionBy("file").text(path)
+    return f"{path}/file=*"
+
+
+@query
+def load_export(spark, sf):
+    source, cache = write_tiered(spark, sf), scratch_path(spark, "cache")
+    parts = []
+    for how, use_cache in (("built", True), ("cached", True), ("bypassed", False)):
+        data, meta = landing.load_export(spark, [source], cache, use_cache=use_cache)
+        data = data.toDF("ts", *PLAIN)
+        sums = data.agg(F.count("*").alias("n"), F.count("ts").alias("n_ts"), *[F.count(c).alias(f"n_{c}") for c in PLAIN],
+                        rounded(F.sum("flujo"), 2).alias("sum_flujo"), F.max("ts").alias("last_ts"))
+        tiers = meta.agg(F.count("*").alias("n_meta"), F.max(F.when(F.col("variable") == SENSORS[0], F.concat_ws("/", "tag", "unit"))).alias("first_sensor"))
+        # one row, taken now: the next load replaces the stored table
+        parts.append((how, *sums.first(), *tiers.first()))
+    return local_rows(spark, parts, "how string, n bigint, n_ts bigint, n_flujo bigint, n_cons bigint, n_nivel bigint, sum_flujo double, "
+                                    "last_ts timestamp, n_meta bigint, first_sensor string")
+
+
 @query
 def header_split(spark, sf):
     data, meta = landing.split_header(tables.raw_export(spark, sf), "row_idx")
@@ -300,23 +342,35 @@ def boxplot(spark, sf):
     return shown(profile.box_stats(tables.series_table(spark, sf), "value"), mean=8, q1=8, median=8, q3=8)
 
 
-def _off_ties(df: DataFrame) -> DataFrame:
-    """Readings have two decimals, so a mean over 64 rows ends in an exact 5
-    that engines round apart; a nudge below the shown digits settles it."""
-    return df.withColumn("rolling_mean", F.col("rolling_mean") + F.lit(3e-9))
+def _summed(df: DataFrame) -> DataFrame:
+    """Means shown as sum and count: readings have two decimals, so their sums
+    are never halfway between two shown values. Frames that hold a huge reading
+    are shown in units of it."""
+    total = F.col("rolling_mean") * F.col("rolling_n")
+    return df.withColumns({
+        "rolling_sum": F.when(F.abs(total) < SPIKE / 1e3, rounded(total, 2)), "rolling_spikes": F.when(F.abs(total) >= SPIKE / 1e3, rounded(total / SPIKE, 6)),
+    }).drop("rolling_mean")
 
 
 @query
 def rolling_mean(spark, sf):
     df = tables.series_table(spark, sf).select("event_id", "ts", "reading")
-    out = ordering.rolling_mean(df, "reading", ["ts", "event_id"])
-    return shown(_off_ties(out).withColumn("design_limit", F.lit(LINE.design_limit)), rolling_mean=7)
+    out = ordering.rolling_mean(df, "reading", ["ts", "event_id"], count_output="rolling_n")
+    return _summed(out.withColumn("design_limit", F.lit(LINE.design_limit)))
 
 
 @query
 def rolling_mean_by_series(spark, sf):
     df = tables.series_table(spark, sf).select("event_id", "ts", "event_type", "reading")
-    return shown(_off_ties(ordering.rolling_mean(df, "reading", ["ts", "event_id"], by=["event_type"], rows=240, min_periods=20)), rolling_mean=7)
+    return _summed(ordering.rolling_mean(df, "reading", ["ts", "event_id"], by=["event_type"], rows=240, min_periods=20, count_output="rolling_n"))
+
+
+@query
+def rolling_mean_spiked(spark, sf):
+    """A sensor that now and then reports an absurd reading."""
+    df = tables.series_table(spark, sf).select("event_id", "ts", "reading")
+    df = df.withColumn("reading", F.when(F.col("event_id") % 1009 == 5, F.lit(SPIKE)).otherwise(F.col("reading")))
+    return _summed(ordering.rolling_mean(df, "reading", ["ts", "event_id"], count_output="rolling_n"))
 
 
 # ---------------------------------------------------------------- correlation
@@ -343,7 +397,7 @@ def top10_corr(spark, sf):
 
 @query
 def top_corr_matrix(spark, sf):
-    return shown(gram.top_submatrix(wide_pairs(spark, sf), "charge", 6), r=8)
+    return shown(gram.top_submatrix(wide_pairs(spark, sf), "charge", 18), r=8)
 
 
 @query
@@ -381,11 +435,11 @@ def fold_gram(spark, sf):
 
 @query
 def vif(spark, sf):
-    settings = Settings(target="charge", leakage=(), disabled=("price_copy",))
+    settings = Settings(target="charge", leakage=(), disabled=())
     p = prepare(tables.line_table(spark, sf), settings, "key", ["ts"])
     got = gram.vif(p.moments(False))
-    out = local_rows(spark, list(got.items()), "variable string, vif double")
-    return shown(out.orderBy(F.desc_nulls_last("vif")), vif=6)
+    rows = [(name, None if np.isinf(v) else v, bool(np.isinf(v))) for name, v in sorted(got.items(), key=lambda x: -x[1])]
+    return shown(local_rows(spark, rows, "variable string, vif double, aliased boolean"), vif=6)
 
 
 @query

@@ -34,7 +34,7 @@ LINE = """line AS (
          l_extendedprice AS price, l_discount AS discount, l_tax AS tax, nullif(l_quantity, 7.0) AS qty,
          l_extendedprice * 1.001::double + 5 AS price_copy
   FROM lineitem)"""
-FEAT = """feat AS (
+FEAT = """feat AS MATERIALIZED (
   SELECT concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS key, l_shipdate AS ts,
          l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice * (1 - l_discount) AS disc_price,
          l_extendedprice AS price, l_discount AS discount, l_tax AS tax, nullif(l_quantity, 7.0) AS qty,
@@ -170,6 +170,12 @@ ORACLE["read_profile"] = with_(FEAT) + " UNION ALL ".join(
     for i, c in enumerate(["key", "ts", "charge", *NUMERIC]))
 ORACLE["preview"] = with_(LINE) + "SELECT key, ts, charge FROM line ORDER BY ts, key LIMIT 5"
 ORACLE["csv_landing"] = with_(RAW, TYPED) + "SELECT stamp::timestamp AS ts, flujo, cons, nivel FROM typed"
+ORACLE["load_export"] = with_(RAW, TYPED) + f"""
+SELECT how, count(*) AS n, count(ts) AS n_ts, count(flujo) AS n_flujo, count(cons) AS n_cons, count(nivel) AS n_nivel,
+       {rnd('sum(flujo)', 2)} AS sum_flujo, max(ts) AS last_ts, 4::bigint AS n_meta, 'TAG0_0/N/A' AS first_sensor
+FROM (SELECT CASE WHEN keep THEN stamp::timestamp END AS ts, CASE WHEN keep THEN flujo END AS flujo, CASE WHEN keep THEN cons END AS cons,
+             CASE WHEN keep THEN nivel END AS nivel FROM (SELECT *, row_idx % 31 <> 0 AS keep FROM typed))
+CROSS JOIN (VALUES ('built'), ('cached'), ('bypassed')) h(how) GROUP BY how"""
 ORACLE["header_split"] = with_(RAW) + """
 SELECT v.variable, v.tag, v.unit, v.n_present FROM (
   SELECT count(flujo_text) AS f, count(cons_text) AS c, count(nivel_text) AS l, count(stamp) AS s FROM raw) n,
@@ -273,21 +279,25 @@ SELECT count(value) AS n, {rnd('avg(value)', 8)} AS mean, {rnd('any_value(q1)',
        count(*) FILTER (NOT inside) AS n_outliers FROM s"""
 
 
-def _rolling(over: str, least: int) -> str:
-    return rnd(f"CASE WHEN count(reading) OVER ({over}) >= {least} THEN avg(reading) OVER ({over}) + 3e-9 END", 7)
+def _rolling(source: str, over: str, least: int, more: str = "") -> str:
+    total = f"CASE WHEN count(reading) OVER ({over}) >= {least} THEN avg(reading) OVER ({over}) * count(reading) OVER ({over}) END"
+    return f"""
+SELECT * EXCLUDE (total), CASE WHEN abs(total) < 1e14 THEN {rnd('total', 2)} END AS rolling_sum,
+       CASE WHEN abs(total) >= 1e14 THEN {rnd('total / 1e17', 6)} END AS rolling_spikes
+FROM (SELECT event_id, ts, reading{more}, count(reading) OVER ({over}) AS rolling_n, {total} AS total FROM {source})"""
 
 
-ORACLE["rolling_mean"] = with_(SERIES) + f"""
-SELECT event_id, ts, reading, {_rolling('ORDER BY ts, event_id ROWS BETWEEN 719 PRECEDING AND CURRENT ROW', 60)} AS rolling_mean,
-       17.5::double AS design_limit FROM series"""
-ORACLE["rolling_mean_by_series"] = with_(SERIES) + f"""
-SELECT event_id, ts, event_type, reading,
-       {_rolling('PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 239 PRECEDING AND CURRENT ROW', 20)} AS rolling_mean FROM series"""
+_TRAILING = "ORDER BY ts, event_id ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
+ORACLE["rolling_mean"] = with_(SERIES) + _rolling("series", _TRAILING.format(719), 60, ", 17.5::double AS design_limit")
+ORACLE["rolling_mean_by_series"] = with_(SERIES) + _rolling("series", "PARTITION BY event_type " + _TRAILING.format(239), 20, ", event_type")
+ORACLE["rolling_mean_spiked"] = with_(
+    SERIES, "spiked AS (SELECT event_id, ts, CASE WHEN event_id % 1009 = 5 THEN 1e17 ELSE reading END AS reading FROM series)"
+) + _rolling("spiked", _TRAILING.format(719), 60)
 
 
 # ---------------------------------------------------------------- correlation
 
-_CORR_COLS = [*[c for c in NUMERIC if c != "null_col"], "charge"]
+_CORR_COLS = [*NUMERIC, "charge"]
 
 
 def _corr(a: str, b: str) -> str:
@@ -295,7 +305,7 @@ def _corr(a: str, b: str) -> str:
     return f"CASE WHEN {flat} THEN NULL ELSE corr({a}, {b}) END"
 
 
-PAIRS = "pairs AS (" + " UNION ALL ".join(
+PAIRS = "pairs AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT {NUMERIC.index(a) if a in NUMERIC else 99} AS i, '{a}' AS col_i, '{b}' AS col_j, count({a} + {b}) AS n, {_corr(a, b)} AS r FROM feat"
     for a, b in combinations(_CORR_COLS, 2)) + ")"
 _WITH_TARGET = "target AS (SELECT col_i AS variable, r FROM pairs WHERE col_j = 'charge' AND r IS NOT NULL)"
@@ -304,7 +314,7 @@ ORACLE["top_corr"] = with_(FEAT, PAIRS, _WITH_TARGET) + f"""
 SELECT variable, {rnd('r', 8)} AS r FROM (SELECT * FROM target UNION ALL SELECT 'charge', 1.0) ORDER BY abs(r) DESC LIMIT 18"""
 ORACLE["top10_corr"] = with_(FEAT, PAIRS, _WITH_TARGET) + f"SELECT variable, {rnd('r', 8)} AS r FROM target ORDER BY abs(r) DESC LIMIT 10"
 ORACLE["top_corr_matrix"] = with_(FEAT, PAIRS, _WITH_TARGET,
-    "top AS (SELECT variable FROM (SELECT * FROM target UNION ALL SELECT 'charge', 1.0) ORDER BY abs(r) DESC LIMIT 6)") + f"""
+    "top AS (SELECT variable FROM (SELECT * FROM target UNION ALL SELECT 'charge', 1.0) ORDER BY abs(r) DESC LIMIT 18)") + f"""
 SELECT col_i, col_j, n, {rnd('r', 8)} AS r FROM pairs
 WHERE col_i IN (SELECT variable FROM top) AND col_j IN (SELECT variable FROM top)"""
 ORACLE["corr_prune"] = with_(FEAT, PAIRS) + "SELECT DISTINCT col_j AS variable FROM pairs WHERE abs(r) > 0.95 AND col_j <> 'charge'"
@@ -327,8 +337,10 @@ def _gram(by: str) -> str:
 ORACLE["gram_matrix"] = _gram("")
 ORACLE["fold_gram"] = _gram("fold")
 _VIF = ["disc_price", *FEATURES]
+# price and its affine copy explain each other; for the others the copy adds nothing
 ORACLE["vif"] = with_(LINE, *prep(_VIF), *solve("g", "train", _VIF)) + " UNION ALL ".join(
-    f"SELECT '{x}' AS variable, {rnd(f'v_{x} * (SELECT t_{x}_{x} FROM g_s)', 6)} AS vif FROM g" for x in _VIF)
+    [f"SELECT '{x}' AS variable, {rnd(f'v_{x} * (SELECT t_{x}_{x} FROM g_s)', 6)} AS vif, false AS aliased FROM g" for x in _VIF if x != "price"]
+    + [f"SELECT '{x}', NULL, stddev_pop(price_copy - 1.001 * price) < 1e-6 FROM line" for x in ("price", "price_copy")])
 ORACLE["condition_number"] = with_(LINE, *prep(["disc_price", "price"])) + f"""
 SELECT 2::int AS n_features, count(*) AS n,
        {rnd('sqrt((1 + abs(corr(disc_price, price))) / (1 - abs(corr(disc_price, price))))', 6)} AS condition_number FROM train"""

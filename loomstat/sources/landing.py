@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstat.functions import kernels
 from loomstat.functions.exprs import q
 from loomstat.session import local_rows
 
@@ -64,21 +65,22 @@ def split_header(df: DataFrame, row_idx: str, n_header: int = 2) -> tuple[DataFr
 def read_tiered_csv(spark: SparkSession, path: str, n_header: int = 2) -> tuple[DataFrame, DataFrame]:
     """A CSV export whose first lines after the column names are tags and units.
 
-    Lines carry no number once a file is split among tasks, so the header tiers
-    are read as the head of the first block (a few lines) and left out of the
-    data by content; every file of a multi-file export may repeat them.
+    Header lines are told by their place: the first rows of each file's first
+    block, which one task reads in order. Every file has its own; the metadata
+    are those of the first file by path. A missing cell becomes ``N/A``.
     """
     raw = read_landed(spark, path)
-    head = raw.where(F.col("_metadata.file_block_start") == 0).head(n_header)
-    cols = raw.columns
-    tiers = [[r[c] for c in cols] for r in head] + [[None] * len(cols)] * (n_header - len(head))
-    rows = [(c, tiers[0][i] or "N/A", (tiers[1][i] if n_header > 1 else None) or "N/A") for i, c in enumerate(cols)]
-    meta = local_rows(spark, rows, "variable string, tag string, unit string")
-    whole = F.struct(*[q(c) for c in cols])
-    data = raw
-    for tier in tiers[: len(head)]:
-        same = F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(cols, tier)])
-        data = data.where(~whole.eqNullSafe(same))
+    names = raw.columns
+    cols = [f"c{i}" for i in range(len(names))]  # names may hold dots
+    placed = raw.select(*[q(n).alias(c) for n, c in zip(names, cols)], F.col("_metadata.file_path").alias("_file"),
+                        (F.col("_metadata.file_block_start") == 0).alias("_first"))
+    text = ", ".join(f"{c} string" for c in cols)
+    data = placed.mapInArrow(kernels.after_header(cols, n_header), text).toDF(*names)
+    head = placed.where("_first").mapInArrow(kernels.header_rows(cols, n_header), f"_file string, _row int, {text}")
+    first = head.where(F.col("_file") == head.agg(F.min("_file")).first()[0])
+    tiers = {r["_row"]: r for r in first.collect()}  # n_header rows
+    cell = lambda k, c: "N/A" if k not in tiers or tiers[k][c] is None else tiers[k][c]
+    meta = local_rows(spark, [(n, cell(0, c), cell(1, c)) for n, c in zip(names, cols)], "variable string, tag string, unit string")
     return data, meta
 
 
@@ -138,7 +140,3 @@ def export_json(records: DataFrame, path: str) -> str:
     """Nested records as JSON lines; absent values are written as null."""
     records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     return path
-
-
-def as_json(records: DataFrame, output: str = "json") -> DataFrame:
-    return records.select("model_name", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(output))

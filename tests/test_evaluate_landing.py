@@ -110,6 +110,16 @@ def test_tiered_export_and_cache(spark):
         landing.load_export(spark, sources[:1], str(home / "cache"))
 
 
+def test_tiers_are_told_by_place_in_every_file(spark):
+    home = Path(tempfile.mkdtemp(prefix="loomstat-landing-"))
+    (home / "a.csv").write_text("t,x,y\n,TAG,\n,,\n1,2,3\n,,\n,TAG,\n", encoding="utf-8")
+    (home / "b.csv").write_text("t,x,y\n,OTHER,Q\n,kg,%\n4,5,6\n,,\n", encoding="utf-8")
+    data, meta = landing.read_tiered_csv(spark, str(home))
+    assert sorted(map(tuple, data.collect()), key=str) == sorted(
+        [("1", "2", "3"), (None, None, None), (None, "TAG", None), ("4", "5", "6"), (None, None, None)], key=str)
+    assert {tuple(r) for r in meta.collect()} == {("t", "N/A", "N/A"), ("x", "TAG", "N/A"), ("y", "N/A", "N/A")}
+
+
 def test_header_split_by_row_number(spark):
     df = spark.createDataFrame([(0, "T1", None), (1, "kg", "%"), (2, "1", "x"), (3, "2", "3")], "row_idx int, `a.b` string, c string")
     data, meta = landing.split_header(df, "row_idx")

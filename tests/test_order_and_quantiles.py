@@ -119,3 +119,16 @@ def test_qq_points_of_normal_data_lie_on_the_diagonal(spark):
     e = np.random.default_rng(1).normal(size=20000)
     got = diagnostics.qq_points(spark.createDataFrame(pd.DataFrame({"resid": e})), points=19).toPandas()
     assert np.abs(got["sample"] - got["theoretical"]).max() < 0.05
+
+
+@pytest.mark.parametrize("spike", [1e17, 1e300])
+def test_rolling_mean_with_a_spike_is_local_and_the_same_for_every_chunk_size(spark, spike):
+    df = spark.range(3000).selectExpr("id", "id % 3 as g", f"case when id = 10 then {spike!r} else 0.1 * (id % 7) end as x")
+    for by in ([], ["g"]):
+        runs = [{r.id: r.m for r in ordering.rolling_mean(df, "x", ["id"], rows=7, min_periods=1, by=by, output="m", chunk_rows=c).collect()}
+                for c in (7, 500, 100_000)]
+        assert runs[0] == runs[1] == runs[2]
+        step = 3 if by else 1
+        for i in range(0, 3000, 11):
+            frame = [0.1 * (k % 7) if k != 10 else spike for k in range(i % step, i + 1, step)][-7:]
+            assert runs[0][i] == pytest.approx(sum(frame) / len(frame), rel=1e-12)

@@ -1,7 +1,5 @@
 """Registered queries against their SQL in DuckDB."""
 
-import os
-
 import duckdb
 import pandas as pd
 import pytest
@@ -10,14 +8,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tests.conftest import SF_DIR
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# A spread over the operator groups; ALL_QUERIES=1 runs every one.
-QUICK = [
-    "read_profile", "csv_landing", "header_split", "roundtrip_io", "numeric_coerce", "null_counts", "constant_columns", "describe",
-    "domain_classify", "hash_split", "exact_split", "hash_sample", "histogram", "kde", "boxplot", "rolling_mean", "rolling_mean_by_series",
-    "corr_matrix", "fold_gram", "vif", "ols_coefficients", "metrics", "durbin_watson", "breusch_pagan", "residual_trend", "qq_points",
-    "stepwise_path", "forward_cv_select", "ridge_cv", "elasticnet_cv", "ridge_loo", "comparison", "select_best", "report_facts",
-]
-NAMES = list(oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
+SQL = oracle_sql()
+NAMES = [n for n in SQL if not n.startswith("op") and n != "pipeline"]
 
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
@@ -35,7 +27,7 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, name):
-    got, want = queries()[name](spark, SF_DIR).toPandas(), duck.execute(oracle_sql()[name]).df()
+    got, want = queries()[name](spark, SF_DIR).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
