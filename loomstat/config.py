@@ -30,14 +30,6 @@ DISABLED_COLUMNS = (
     "CUMPLE O  NO CUMPLE",
 )
 
-PROCESS_STAGES = (
-    "Pre-Blanqueo",
-    "Etapa D0",
-    "Etapa EOP",
-    "Etapa D1",
-    "Etapa D2 y Almacenamiento",
-)
-
 
 @dataclass(frozen=True)
 class Settings:

@@ -162,3 +162,45 @@ def leave_one_out_task(total: np.ndarray, alphas: list[float]):
         yield pa.RecordBatch.from_arrays([pa.array([sse.tolist()], pa.list_(pa.float64()))], ["sse"])
 
     return sums
+
+
+def _places(batch: pa.RecordBatch, seen: dict[str, int]) -> np.ndarray:
+    """Row number of each row within its file's first block, -1 beyond it.
+    ``seen`` counts the rows of each file that earlier batches held."""
+    file = batch.column("_file").dictionary_encode()
+    codes, first = file.indices.to_numpy(), batch.column("_first").to_numpy(zero_copy_only=False)
+    out = np.full(batch.num_rows, -1, np.int64)
+    for code, name in enumerate(file.dictionary.to_pylist()):
+        mine = np.flatnonzero((codes == code) & first)
+        out[mine] = seen.get(name, 0) + np.arange(len(mine))
+        seen[name] = seen.get(name, 0) + len(mine)
+    return out
+
+
+def after_header(cols: list[str], n_header: int):
+    """Rows without the first ``n_header`` of each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            if b.num_rows:
+                place = _places(b, seen)
+                yield b.select(cols).filter(pa.array((place < 0) | (place >= n_header)))
+
+    return run
+
+
+def header_rows(cols: list[str], n_header: int):
+    """The first ``n_header`` rows of each file, numbered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            if b.num_rows:
+                place = _places(b, seen)
+                head = pa.array((place >= 0) & (place < n_header))
+                rows = b.filter(head)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("_file"), pa.array(place, pa.int32()).filter(head), *[rows.column(c) for c in cols]], ["_file", "_row", *cols])
+
+    return run
