@@ -14,7 +14,8 @@ threshold, exactly (sets are held as 64-bit shingle numbers).
    the other bound the overlap from above. What passes is a candidate.
 4. First the candidates that span a tile's groups are verified by intersecting
    the sorted arrays, and linked nodes are merged; then every candidate
-   between different groups. Candidates inside a group change nothing.
+   between different groups, after wider bitmaps have thinned them out.
+   Candidates inside a group change nothing.
 
 Defined results: a null text counts as empty; a set without shingles links with
 nothing; a row without id gets its set's size and no group; rows with equal ids
@@ -48,14 +49,16 @@ Sets = Callable[[pa.Array], list[np.ndarray]]
 HEAVY_BITS = 20
 #: A bucket is heavy in a task from this count on, or from this many times the task's mean.
 HEAVY_COUNT, HEAVY_TIMES = 16, 8
+#: Bits a shingle where groups are compared with each other.
+WIDE = 16
 #: Nodes up to which the list of candidates is broadcast to the texts; above, both are shuffled.
 MAX_BROADCAST = 2_000_000
 
 
-def bitmap(numbers: np.ndarray) -> np.ndarray:
-    """Hashed shingles as bits, at least four times as many bits as shingles:
-    of the shingles that one set lacks, the bound then sees most."""
-    bits = 1 << max(6, min(16, int(max(1, 4 * len(numbers)) - 1).bit_length()))
+def bitmap(numbers: np.ndarray, each: int = 1) -> np.ndarray:
+    """Hashed shingles as bits, at least ``each`` bits a shingle. A shingle that
+    the other set lacks escapes the bound the less, the more bits there are."""
+    bits = 1 << max(6, min(16, (max(1, len(numbers)) * each - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(numbers & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view("<u8")
@@ -224,8 +227,9 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return ordered.mapInArrow(find, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
-    """``a, b, linked`` of stored candidate pairs, from the sorted shingle arrays.
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b, linked`` of stored candidate pairs, from the sorted shingle
+    arrays, and the arrays (``node, numbers``).
 
     The arrays are made again from the texts that hold a candidate, found by
     the id of one row of each node.
@@ -257,21 +261,36 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets
         pairs.join(sets.select(F.col("node").alias("a"), F.col("numbers").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("numbers").alias("y")), "b").select("a", "b", "x", "y")
     )
-    return both.mapInArrow(compare, "a long, b long, linked boolean")
+    return stored(both.mapInArrow(compare, "a long, b long, linked boolean"), "checked"), sets
+
+
+def wide_bitmaps(sets: DataFrame) -> DataFrame:
+    """``node, bits`` with ``WIDE`` bits a shingle, where the bound is nearly exact."""
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [bitmap(np.frombuffer(x.as_py(), np.uint64), WIDE).tobytes() for x in batch.column("numbers")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary())], ["node", "bits"])
+
+    return sets.select("node", "numbers").mapInArrow(widen, "node long, bits binary")
 
 
 def cluster(nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
     """``node, component`` of the nodes that have a link. ``nodes`` holds
     ``node, min_id, n, bits, prefix, short``: nodes meet where they share a
     prefix number and a size band."""
-    members = stored(tiles(nodes, percent).join(nodes.select("node", "n", "bits"), "node"), "tiles")
-    first = stored(candidates(members.withColumn("component", F.col("node")), percent, True), "candidates")
-    checked = stored(verified(first, nodes, texts, sets_of, percent), "checked")
+    met = stored(tiles(nodes, percent), "tiles")
+    narrow = nodes.select("node", "n", "bits")
+    first = stored(candidates(met.join(narrow, "node").withColumn("component", F.col("node")), percent, True), "candidates")
+    checked, sets = verified(first, nodes, texts, sets_of, percent)
     groups = stored(components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
-    placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # what is left to compare: nodes with a candidate, in tiles that hold several groups
+    live = stored(met.join(sets.select("node"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "live")
+    several = live.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile")
+    placed = live.join(several, "tile").join(nodes.select("node", "n"), "node").join(wide_bitmaps(sets), "node")
     rest = stored(candidates(placed, percent, False).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     if rest.limit(1).count():
-        more = stored(verified(rest, nodes, texts, sets_of, percent), "checked")
+        more, _ = verified(rest, nodes, texts, sets_of, percent)
         found = checked.unionByName(more).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         groups = stored(components(found), "groups")
     return groups
