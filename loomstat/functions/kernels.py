@@ -72,19 +72,21 @@ def ridge_path(train: np.ndarray, alphas: np.ndarray) -> np.ndarray:
     return np.column_stack([mean[-1] - betas @ mean[:-1], betas])
 
 
-def net_path(train: np.ndarray, alphas: np.ndarray, ratio: float, max_iter: int, tol: float) -> np.ndarray:
+def net_path(train: np.ndarray, alphas: np.ndarray, ratio: float, max_iter: int, tol: float) -> tuple[np.ndarray, list[tuple[int, bool, float]]]:
     """Row per alpha (given in falling order): intercept, then coefficients of
     ``|y-Xb|^2/(2n) + a*ratio*|b|_1 + a*(1-ratio)/2*|b|^2``, by cyclic
     coordinate descent on the centred cross products, each alpha starting from
-    the previous solution."""
+    the previous solution. And per alpha: sweeps, whether they settled, and how
+    far the solution is from the optimality conditions."""
     n, mean, c = centred(train)
     gram, target = c[:-1, :-1] / n, c[:-1, -1] / n
     spread = np.diag(gram).copy()
     usable = np.flatnonzero(spread > 1e-12 * max(spread.max(initial=0.0), 1e-300))
     beta, left = np.zeros(len(target)), target.copy()
     stop = tol * np.sqrt(max(c[-1, -1] / n, 1e-300))
-    out = []
+    out, progress = [], []
     for a in alphas:
+        settled = False
         for sweep in range(max_iter):
             # full sweeps find the active set, the ones between polish it
             full = sweep % 10 == 0
@@ -98,9 +100,13 @@ def net_path(train: np.ndarray, alphas: np.ndarray, ratio: float, max_iter: int,
                     beta[j] = new
                     moved = max(moved, abs(step) * np.sqrt(spread[j]))
             if full and moved <= stop:
+                settled = True
                 break
+        slope = left - a * (1.0 - ratio) * beta
+        off = np.where(beta != 0, np.abs(slope - a * ratio * np.sign(beta)), np.maximum(np.abs(slope) - a * ratio, 0.0))
+        progress.append((sweep + 1, settled, float(off[usable].max(initial=0.0))))
         out.append(np.concatenate([[mean[-1] - beta @ mean[:-1]], beta]))
-    return np.array(out)
+    return np.array(out), progress
 
 
 def held_out_sse(test: np.ndarray, fit: np.ndarray) -> float:
@@ -125,7 +131,10 @@ def path_task(shipped, solver: str, max_iter: int, tol: float):
         held, ratio = int(pdf["held"].iloc[0]), float(pdf["ratio"].iloc[0])
         train = sum(m for g, m in folds.items() if g != held)
         alphas = pdf["alpha"].to_numpy()
-        path = ridge_path(train, alphas) if solver == "ridge" else net_path(train, alphas, ratio, max_iter, tol)
+        if solver == "ridge":
+            path, progress = ridge_path(train, alphas), [(0, True, 0.0)] * len(alphas)
+        else:
+            path, progress = net_path(train, alphas, ratio, max_iter, tol)
         mse = [None] * len(path)
         if held >= 0:
             test = folds[held]
@@ -137,6 +146,7 @@ def path_task(shipped, solver: str, max_iter: int, tol: float):
             "alpha": alphas,
             "mse": mse,
             "fit": [fit.tolist() if held < 0 else None for fit in path],
+            **{name: list(values) for name, values in zip(("n_iter", "converged", "off_optimum"), zip(*progress))},
         })
 
     return solve

@@ -8,6 +8,7 @@ without touching the rows again.
 from __future__ import annotations
 
 import math
+import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -237,7 +238,8 @@ def search_grid(
     """Solve every ``(ratio, alpha)`` for every left-out fold and for all rows.
 
     The grid is a table, one group per (fold, ratio); each group is one small
-    Spark task that walks its alphas. ``(held, ratio, alpha_no, alpha, mse, fit)``.
+    Spark task that walks its alphas. ``(held, ratio, alpha_no, alpha, mse, fit,
+    n_iter, converged, off_optimum)``.
     """
     held = [-1, *sorted(m.groups)]
     rows = [
@@ -249,7 +251,7 @@ def search_grid(
     table = local_rows(spark, rows, "task int, held int, ratio double, alpha_no int, alpha double")
     shipped = spark.sparkContext.broadcast(m.groups)  # features x features numbers per fold
     solve = kernels.path_task(shipped, solver, max_iter, tol)
-    out = "held int, ratio double, alpha_no int, alpha double, mse double, fit array<double>"
+    out = "held int, ratio double, alpha_no int, alpha double, mse double, fit array<double>, n_iter int, converged boolean, off_optimum double"
     return table.groupBy("task").applyInPandas(solve, out)
 
 
@@ -266,6 +268,8 @@ class Penalised(Regression):
         self.best_alpha = self.best_ratio = math.nan
         self.folds = 0
         self.errors: list[tuple[float, int, float, float]] = []
+        self.progress: list[tuple[float, int, float, int, bool, float]] = []
+        self.converged = True
 
     @abstractmethod
     def grid(self, m: Moments) -> list[tuple[float, Sequence[float]]]:
@@ -275,10 +279,12 @@ class Penalised(Regression):
         grid = self.grid(m)
         rows = search_grid(spark, m, grid, self.solver, self.max_iter).collect()
         sums: dict[tuple[float, int], list[float]] = {}
-        alpha_at, fits = {}, {}
+        alpha_at, fits, worst = {}, {}, {}
         for r in rows:
             at = (r["ratio"], r["alpha_no"])
             alpha_at[at] = r["alpha"]
+            sweeps, settled, off = worst.get(at, (0, True, 0.0))
+            worst[at] = (max(sweeps, r["n_iter"]), settled and r["converged"], max(off, r["off_optimum"]))
             if r["held"] >= 0:
                 sums.setdefault(at, []).append(r["mse"])
             else:
@@ -287,13 +293,21 @@ class Penalised(Regression):
         means = {at: math.fsum(sums[at]) / len(sums[at]) for at in order}
         best = min(order, key=means.get)
         self.errors = [(at[0], at[1], alpha_at[at], means[at]) for at in order]
+        self.progress = [(at[0], at[1], alpha_at[at], *worst[at]) for at in order]
         self.best_ratio, self.best_alpha = best[0], alpha_at[best]
         self.folds = len(m.groups)
+        self.converged = worst[best][1]
+        if not self.converged:
+            warnings.warn(f"{self.key}: the chosen fit did not settle in {self.max_iter} sweeps", stacklevel=2)
         return self._accept(m, m.features, fits[best])
 
     def error_table(self, spark: SparkSession) -> DataFrame:
         return local_rows(spark, self.errors, "ratio double, alpha_no int, alpha double, cv_mse double")
 
+    def convergence_table(self, spark: SparkSession) -> DataFrame:
+        """Per grid point, the worst of its folds: sweeps, whether all settled, distance from the optimality conditions."""
+        return local_rows(spark, self.progress, "ratio double, alpha_no int, alpha double, n_iter int, converged boolean, off_optimum double")
+
 
 class Ridge(Penalised):
     key, name, solver = "ridge", "Regresion Ridge (L2)", "ridge"

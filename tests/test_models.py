@@ -217,6 +217,18 @@ def test_vif_names_the_aliased_and_keeps_the_others(frame):
     assert got["b"] == pytest.approx(alone["b"], rel=1e-9)
 
 
+def test_a_search_that_does_not_settle_is_flagged(spark, frame):
+    m = gram.moments(frame.selectExpr("*", "a + 1e-3 * b as near"), ["a", "b", "near"], "y", by="fold").standardised()
+    short = models.Lasso(alphas=[1e-7], max_iter=2)
+    with pytest.warns(UserWarning, match="did not settle"):
+        short.fit(m, spark)
+    full = models.Lasso(alphas=[1e-3])
+    full.fit(gram.moments(frame, ["a", "b"], "y", by="fold").standardised(), spark)
+    assert not short.converged and full.converged
+    (row,) = full.convergence_table(spark).collect()
+    assert row["converged"] and 0 < row["n_iter"] < 15000 and row["off_optimum"] < 1e-8
+
+
 def test_registry():
     assert isinstance(models.create_model("  OLS "), models.OrdinaryLeastSquares)
     assert list(models.all_models()) == ["ols", "stepwise", "ridge", "lasso", "elasticnet"]
