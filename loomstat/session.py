@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -43,7 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
         return active.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomstat-"))
+    own = tempfile.mkdtemp(prefix="loomstat-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)  # intermediate tables end with the process
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
