@@ -111,6 +111,8 @@ def _most(counts: DataFrame, limit: int) -> list[tuple]:
 
 def _scores(rows: list[tuple], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Log frequency by language, less the mean over languages; grams of one length compete among themselves."""
+    if not langs:
+        return {}, np.zeros((0, 0), np.float32)
     n = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], float).reshape(len(rows), len(langs))
     p = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(rows))))
     return {r["word"]: i for i, r in enumerate(rows)}, (p - p.mean(axis=1, keepdims=True)).astype(np.float32)

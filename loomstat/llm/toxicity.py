@@ -13,7 +13,7 @@ worked out once and a text's score is a mean over its words.
 
 Defined results: a null or empty text, or one without word characters, gets the
 score of the softmax's bias; without labelled rows of both classes every score
-is the labelled share of toxic rows (0 without any). Rows are judged one by
+is the labelled share of toxic rows (next to 0 without any). Rows are judged one by
 one; other columns are ignored; an empty table gives no rows.
 """
 
