@@ -19,7 +19,9 @@ threshold, exactly (sets are held as 64-bit shingle numbers).
 
 Defined results: a null text counts as empty; a set without shingles links with
 nothing; a row without id gets its set's size and no group; rows with equal ids
-and different texts are judged each by its text. Other columns are ignored by
+and different texts are judged each by its text (of a group whose smallest id
+has several texts, ``one_of_each`` keeps that of the smallest set number, then of
+the smallest text hash). Other columns are ignored by
 ``groups`` and kept by ``one_of_each``, whatever their names; an empty table
 gives no rows.
 """
@@ -102,9 +104,9 @@ def node_of(numbers: np.ndarray) -> int:
 
 
 def signatures(texts: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """``id, n, node, bits, prefix, short`` of every text: the set's size and
-    number, its bitmap, and its first shingles in the common order, ``short``
-    of which suffice against larger sets."""
+    """``id, hash, n, node, bits, prefix, short`` of every text: its hash, the
+    set's size and number, its bitmap, and its first shingles in the common
+    order, ``short`` of which suffice against larger sets."""
     shared = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +123,13 @@ def signatures(texts: DataFrame, width: int, percent: int, heavy: np.ndarray) ->
                     prefixes.append(s[order[:long]].view(np.int64))
                 ends = np.r_[0, np.cumsum([len(p) for p in prefixes])]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
+                    part.column("id"), part.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))),
-                    pa.array(shorts, pa.int32())], ["id", "n", "node", "bits", "prefix", "short"])
+                    pa.array(shorts, pa.int32())], ["id", "hash", "n", "node", "bits", "prefix", "short"])
 
-    return texts.mapInArrow(sign, "id long, n long, node long, bits binary, prefix array<long>, short int")
+    return texts.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(
+        sign, "id long, hash long, n long, node long, bits binary, prefix array<long>, short int")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -297,7 +300,7 @@ def cluster(nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) ->
 
 
 def links(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signed rows (``id, n, node``), the nodes and the components
+    """The signed rows (``id, hash, n, node``), the nodes and the components
     (``node, component``) of those that have a link. ``texts`` holds ``id, text``."""
     signed = stored(signatures(texts, width, percent, heavy_buckets(texts, width)), "signatures")
     nodes = stored(
@@ -305,14 +308,16 @@ def links(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
             F.min("id").alias("min_id"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"),
             F.any_value("prefix").alias("prefix"), F.any_value("short").alias("short")), "nodes")
     groups = cluster(nodes, texts, lambda column: shingle_sets(column, width), percent)
-    return signed.select("id", "n", "node"), nodes, groups
+    return signed.select("id", "hash", "n", "node"), nodes, groups
 
 
 def grouped_nodes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """``node, rows, component_id, members``: the smallest id of each node's group, and the group's rows."""
+    """``node, rows, component, component_id, keep_node, members``: the group of
+    each node, the group's smallest id, the smallest node that has it, and the group's rows."""
     named = nodes.select("node", "min_id", "rows").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("min_id").alias("component_id"), F.sum("rows").alias("members"))
-    return stored(named.join(least, "component").select("node", "rows", "component_id", "members"), "grouped-nodes")
+    least = named.groupBy("component").agg(F.min(F.struct("min_id", "node")).alias("least"), F.sum("rows").alias("members"))
+    least = least.select("component", F.col("least.min_id").alias("component_id"), F.col("least.node").alias("keep_node"), "members")
+    return stored(named.join(least, "component").select("node", "rows", "component", "component_id", "keep_node", "members"), "grouped-nodes")
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -332,15 +337,17 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one row of each group of linked rows: that of the smallest
-    id. Rows outside any group are not shuffled."""
+    id. A row is known by its id and text. Rows outside any group are not shuffled."""
     signed, nodes, found = links(_texts(df, id_col, text_col), width, percent)
     several = grouped_nodes(nodes, found).where("members > 1")
     rows = hot_join(signed.where("n > 0 and id is not null"), several, "node", "rows", signed.count())
-    touched = stored(rows.groupBy("id").agg(F.min("component_id").alias("group")), "touched")
+    keeper = (F.col("id") == F.col("component_id")) & (F.col("node") == F.col("keep_node"))
+    touched = stored(rows.groupBy("id", "hash").agg(F.min("component").alias("group"), F.bool_or(keeper).alias("stays")), "touched")
     marked = bloom.split(df, F.col(id_col).cast("long"), touched, "id", touched.count(), "__maybe")
     marked = marked.withColumn("__maybe", F.col("__maybe") & F.col(id_col).isNotNull())
-    of = touched.select(F.col("id").alias("__id"), F.col("group").alias("__group"))
-    judged = marked.where("__maybe").join(of, F.col(id_col).cast("long") == F.col("__id"), "left")
+    of = touched.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("group").alias("__group"), F.col("stays").alias("__stays"))
+    judged = marked.where("__maybe").join(of, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
     free = judged.where(F.col("__id").isNull()).select(*df.columns)
-    stay = judged.where(F.col("__group") == F.col("__id")).dropDuplicates(["__id"]).select(*df.columns)
+    # equal in id and shingle set; the smallest text hash is the same one in each run
+    stay = judged.where("__stays").groupBy("__group").agg(F.min_by(F.struct(*df.columns), "__hash").alias("__row")).select("__row.*")
     return marked.where(~F.col("__maybe")).select(*df.columns).unionByName(free).unionByName(stay)

@@ -90,6 +90,27 @@ def test_groups_of_odd_tables(odd, empty):
     assert jaccard_join.groups(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_judges_every_text_of_an_id(make):
+    near, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [
+        (5, near, "en", "a"), (7, near + " end", "en", "a"),  # near copies
+        (7, other, "en", "b"),  # the same number in another source: stands alone
+        (5, third, "en", "b"), (9, third + " end", "en", "a"),  # a second group of the same smallest id
+        (11, "few words", "en", "a"), (9, "", "en", "b"),
+    ]
+    kept = jaccard_join.one_of_each(make(rows)).collect()
+    gone = {(7, near + " end"), (9, third + " end")}
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted((r[0], r[1]) for r in rows if (r[0], r[1]) not in gone)
+    assert {r.source for r in kept if r.text == other} == {"b"}
+
+
+def test_one_of_each_keeps_one_of_equal_ids_in_a_group(make):
+    near = " ".join(f"a{i}" for i in range(60))
+    rows = [(5, near, "en", "a"), (5, near + " end", "en", "b"), (5, near, "en", "a"), (5, near + "  ", "en", "a")]
+    kept = [jaccard_join.one_of_each(make(r)).collect() for r in (rows, rows[::-1])]
+    assert len(kept[0]) == len(kept[1]) == 1 and kept[0][0].text == kept[1][0].text
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     star = [(5, i) for i in range(200, 260)]
