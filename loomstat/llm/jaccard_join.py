@@ -16,6 +16,11 @@ threshold, exactly (sets are held as 64-bit shingle numbers).
    the sorted arrays, and linked nodes are merged; then every candidate
    between different groups, after wider bitmaps have thinned them out.
    Candidates inside a group change nothing.
+5. A tile of more than ``LARGE`` members (or a small share of all, see
+   ``large_tiles``) is dealt to blocks by node hash, which meet as tiles of their
+   own. For step 4's first half, one member in ``SHARED`` of a block's size is in
+   every block, so groups join across blocks; for the second, members outside the tile's main
+   group are dealt too, and each of their blocks meets each block of the tile.
 
 Defined results: a null text counts as empty; a set without shingles links with
 nothing; a row without id gets its set's size and no group; rows with equal ids
@@ -35,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm import bloom
@@ -53,6 +58,10 @@ HEAVY_BITS = 20
 HEAVY_COUNT, HEAVY_TIMES = 16, 8
 #: Bits a shingle where groups are compared with each other.
 WIDE = 16
+#: Members from which a tile is dealt to blocks of that size, and the size divided by the members that all its blocks share.
+LARGE, SHARED = 4096, 64
+#: Tiles that can be large number this at most, so they are broadcast; hash buckets in which ``tiles`` looks for them.
+MAX_LARGE, SPOTS = 1 << 16, 1 << 16
 #: Nodes up to which the list of candidates is broadcast to the texts; above, both are shuffled.
 MAX_BROADCAST = 2_000_000
 
@@ -153,9 +162,11 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def tiles(nodes: DataFrame, percent: int) -> DataFrame:
+def tiles(nodes: DataFrame, percent: int, large: int = LARGE) -> DataFrame:
     """``tile, node, own``: the node sets that share a size band and a prefix
-    shingle, each set once (``tile`` is the set's number)."""
+    shingle, each set once (``tile`` is the set's number). Tiles of more than
+    ``large`` members, found in the fullest hash buckets, are numbered by
+    aggregates and held by no task."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
     posts = nodes.select("node", band.alias("band"), "short", F.posexplode("prefix").alias("pos", "shingle")).select(
         "node", F.explode(F.when(F.col("pos") < F.col("short"), F.array(
@@ -177,18 +188,76 @@ def tiles(nodes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(number, sizes)[keep][part]), pa.array(node[keep][part]), pa.array(own[keep][part])], ["tile", "node", "own"])
 
-    sorted_posts = posts.repartition("tile").sortWithinPartitions("tile")
-    return sorted_posts.mapInArrow(shared, "tile long, node long, own boolean").distinct()
+    def ordinary(some: DataFrame) -> DataFrame:
+        return some.repartition("tile").sortWithinPartitions("tile").mapInArrow(shared, "tile long, node long, own boolean")
+
+    spot = F.pmod("tile", F.lit(SPOTS)).cast("int")
+    counts = posts.groupBy(spot.alias("spot")).count().toArrow()  # at most SPOTS rows
+    filled = counts.column("count").to_numpy()
+    limit = large + 2 * int(filled.sum()) // SPOTS
+    full = counts.column("spot").to_numpy()[filled > limit]
+    if not len(full):
+        return ordinary(posts).distinct()
+    spots = F.broadcast(nodes.sparkSession.createDataFrame([(int(x),) for x in full], "spot int"))
+    sums = stored(
+        posts.join(spots, spot == F.col("spot"), "left_semi").groupBy("tile").agg(
+            F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node", "own")).alias("number"), F.bool_or("own").alias("met"))
+        .where(F.col("rows") > limit), "large-tiles")  # fewer than SPOTS
+    dealt = posts.join(F.broadcast(sums.where("met").select("tile", "number")), "tile").select(F.col("number").alias("tile"), "node", "own")
+    rest = posts.join(F.broadcast(sums.select("tile")), "tile", "left_anti")
+    return ordinary(rest).unionByName(dealt).distinct()
+
+
+def large_tiles(members: DataFrame, large: int = LARGE) -> DataFrame:
+    """``tile, blocks`` of the tiles with more than ``large`` members and more
+    than one in ``MAX_LARGE`` of all: they are few enough to be broadcast."""
+    limit = max(large, members.count() // MAX_LARGE)
+    return stored(members.groupBy("tile").count().where(F.col("count") > limit)
+                  .select("tile", F.ceil(F.col("count") / large).cast("int").alias("blocks")), "large-tiles")
+
+
+def block_of(salt: int, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
+
+
+def spread(members: DataFrame, large: DataFrame, size: int = LARGE) -> DataFrame:
+    """Large tiles dealt to blocks, about ``size / SHARED`` members to all of them."""
+    placed = members.join(F.broadcast(large), "tile", "left")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # shared by chance, whatever the tile's size
+    shared = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks") * size) < max(1, size // SHARED)
+    to = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).when(shared, every).otherwise(F.array(block_of(1, F.col("blocks"))))
+    return placed.withColumn("block", F.explode(to)).withColumn(
+        "tile", F.when(F.col("blocks").isNull(), F.col("tile")).otherwise(F.xxhash64("tile", "block"))).drop("block", "blocks")
+
+
+def crossed(live: DataFrame, large: DataFrame, size: int = LARGE) -> DataFrame:
+    """Adds ``side`` to ``tile, node, own, component``. Large tiles become pairs
+    of blocks: members outside the main group (1) against all members (2, or 3 if
+    outside the main group); in other tiles all meet each other (0)."""
+    placed = live.join(F.broadcast(large), "tile")
+    parts = placed.groupBy("tile", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("tile").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")).select(
+        "tile", F.col("most.component").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / size).cast("int").alias("others"))
+    placed = placed.join(F.broadcast(main), "tile").where("others > 0")
+    outside = F.col("component") != F.col("main")
+    right = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("j", block_of(3, F.col("blocks")))
+    right = right.withColumn("side", F.when(outside, 3).otherwise(2))
+    left = placed.where(outside).withColumn("i", block_of(4, F.col("others"))).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    pairs = left.unionByName(right).select(F.xxhash64("tile", "i", "j").alias("tile"), "node", "own", "component", "side")
+    plain = live.join(F.broadcast(large.select("tile")), "tile", "left_anti")
+    return plain.select("tile", "node", "own", "component", F.lit(0).alias("side")).unionByName(pairs)
 
 
 def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """``a, b``: pairs of a tile that the bitmaps leave open, one of them from
     the tile's own band; either those that span each connected group, or all
-    between nodes of different ``component``."""
+    between nodes of different ``component`` whose ``side`` lets them meet."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
-            key, node, own, n, comp = (t.column(c).to_numpy() for c in ("tile", "node", "own", "n", "component"))
+            key, node, own, n, comp, side = (t.column(c).to_numpy() for c in ("tile", "node", "own", "n", "component", "side"))
             bits = [np.frombuffer(x.as_py(), "<u8") for x in t.column("bits")]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             found: list[np.ndarray] = []
@@ -216,8 +285,11 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
                             queue += hit.tolist()
                             found.append(np.stack([np.full(len(hit), node[at[x]]), node[at[hit]]]))
                     else:
-                        rest = np.arange(i + 1, b - a)
-                        rest = rest[(comp[at[rest]] != comp[at[i]]) & (own[at[rest]] | own[at[i]])]
+                        if side[a + i] > 1:
+                            break
+                        rest = np.arange(i + 1, b - a)  # the sides are in order
+                        rest = rest[(comp[at[rest]] != comp[at[i]]) & (own[at[rest]] | own[at[i]]) & (side[at[rest]] != 1)]
+                        rest = rest[(side[at[rest]] != 3) | (node[at[rest]] > node[at[i]])]
                         if len(rest):
                             hit = rest[may_link(n[at[i]], flat[i], n[at[rest]], flat[rest], percent)]
                             found.append(np.stack([np.full(len(hit), node[at[i]]), node[at[hit]]]))
@@ -226,18 +298,19 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
                 pairs = pairs[:, pairs[0] != pairs[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
 
-    ordered = members.select("tile", "node", "own", "n", "component", "bits").repartition("tile").sortWithinPartitions("tile")
+    ordered = members.select("tile", "node", "own", "n", "component", "side", "bits").repartition("tile").sortWithinPartitions("tile", "side")
     return ordered.mapInArrow(find, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> tuple[DataFrame, DataFrame]:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``a, b, linked`` of stored candidate pairs, from the sorted shingle
-    arrays, and the arrays (``node, numbers``).
+    arrays, and the arrays (``node, numbers``), also those of the nodes ``more (need)``.
 
     The arrays are made again from the texts that hold a candidate, found by
     the id of one row of each node.
     """
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("need"))
+    needed = stored((ends if more is None else ends.unionByName(more)).distinct()
                     .join(nodes.select("node", "min_id"), F.col("need") == F.col("node")).select("need", F.col("min_id").alias("need_id")), "candidates")
     ids = needed.select("need_id").distinct()
     if needed.count() <= MAX_BROADCAST:
@@ -278,19 +351,24 @@ def wide_bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("node", "numbers").mapInArrow(widen, "node long, bits binary")
 
 
-def cluster(nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
+def cluster(nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int, size: int = LARGE) -> DataFrame:
     """``node, component`` of the nodes that have a link. ``nodes`` holds
     ``node, min_id, n, bits, prefix, short``: nodes meet where they share a
     prefix number and a size band."""
-    met = stored(tiles(nodes, percent), "tiles")
+    met = stored(tiles(nodes, percent, size), "tiles")
+    large = large_tiles(met, size)
     narrow = nodes.select("node", "n", "bits")
-    first = stored(candidates(met.join(narrow, "node").withColumn("component", F.col("node")), percent, True), "candidates")
-    checked, sets = verified(first, nodes, texts, sets_of, percent)
+    once = spread(met, large, size).join(narrow, "node").withColumn("component", F.col("node")).withColumn("side", F.lit(0))
+    first = stored(candidates(once, percent, True), "candidates")
+    # members of large tiles may have their candidates in another block: they stay in play
+    dealt = met.join(F.broadcast(large), "tile", "left_semi").select(F.col("node").alias("need"))
+    checked, sets = verified(first, nodes, texts, sets_of, percent, dealt)
     groups = stored(components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
     # what is left to compare: nodes with a candidate, in tiles that hold several groups
     live = stored(met.join(sets.select("node"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "live")
     several = live.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile")
-    placed = live.join(several, "tile").join(nodes.select("node", "n"), "node").join(wide_bitmaps(sets), "node")
+    pairs = crossed(live.join(several, "tile").select("tile", "node", "own", "component"), large, size)
+    placed = pairs.join(nodes.select("node", "n"), "node").join(wide_bitmaps(sets), "node")
     rest = stored(candidates(placed, percent, False).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     if rest.limit(1).count():
         more, _ = verified(rest, nodes, texts, sets_of, percent)

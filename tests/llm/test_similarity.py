@@ -111,6 +111,33 @@ def test_one_of_each_keeps_one_of_equal_ids_in_a_group(make):
     assert len(kept[0]) == len(kept[1]) == 1 and kept[0][0].text == kept[1][0].text
 
 
+def test_large_tiles_are_dealt_and_give_the_same_links(make, monkeypatch):
+    """Near copies with distinct texts, three groups and single ones in the same
+    tiles: no task holds a tile, and the groups stay those of the brute force."""
+    rows = []
+    for i in range(90):
+        words = [f"w{k}" for k in range(60)]
+        words[20:24] = [f"f{i % 3}_{k}" for k in range(4)]
+        if i % 10 == 0:
+            words[40:44] = [f"x{i}_{k}" for k in range(4)]
+        rows.append((i, " ".join(words) + f" end{i}", "en", "a"))
+    seen = []
+    find = jaccard_join.candidates
+    monkeypatch.setattr(jaccard_join, "candidates", lambda m, *a: (seen.append(m.groupBy("tile").count().agg(F.max("count")).first()[0]), find(m, *a))[1])
+    texts = jaccard_join._texts(make(rows), "doc_id", "text")
+    signed, nodes, _ = jaccard_join.links(texts, 4, 85)
+    found = jaccard_join.cluster(nodes, texts, lambda c: jaccard_join.shingle_sets(c, 4), 85, size=10)
+    ids = {r.node: r.min_id for r in nodes.collect()}
+    got = defaultdict(set)
+    for r in found.collect():
+        got[r.component].add(ids[r.node])
+    want = defaultdict(set)
+    for r, (_, c) in groups_by_hand([r[:2] for r in rows], 4, 85).items():
+        want[c].add(r)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+    assert len(want) == 12 and seen[0] > 60 > max(seen[2:])
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     star = [(5, i) for i in range(200, 260)]
