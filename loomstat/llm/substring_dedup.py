@@ -95,7 +95,9 @@ def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     if n < 2:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     owner = np.repeat(np.arange(len(counts)), counts)
-    value = mixed(numbers * np.uint64(3) + np.r_[numbers[1:], np.uint64(0)])
+    following = np.r_[numbers[1:], np.uint64(0)]
+    following[:-1][owner[1:] != owner[:-1]] = 0  # a text's last word knows nothing of the next text
+    value = mixed(numbers * np.uint64(3) + following)
     cut = np.ones(n, bool)
     for k in range(1, REACH + 1):
         same = owner[k:] == owner[:-k]

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,19 @@ def test_passages_and_lines(make):
     assert out[1] == rows[1][1] and out[0] == rows[0][1] and len(out[11].split()) <= 160 + 60 - 16 and set(rows[11][1].split()[:30]) <= set(out[11].split())
 
 
+def test_pieces_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 500, 40)) for _ in range(200)]
+
+    def pieces(order):
+        owner, first, sizes, key = substring_dedup.pieces_of(pa.array([texts[i] for i in order]))
+        return sorted((order[o], f, n, k) for o, f, n, k in zip(owner.tolist(), first.tolist(), sizes.tolist(), key.tolist()))
+
+    want = pieces(list(range(200)))
+    assert pieces(list(range(200))[::-1]) == want
+    assert sorted(p for i in range(200) for p in [(i, *q[1:]) for q in pieces([i])]) == want
+
+
 def test_passages_of_odd_tables(odd, empty):
     got = substring_dedup.repeats(odd)
     assert {r.doc_id for r in got.collect()} <= {1, 2} and substring_dedup.remove(odd).count() == len(ODD)
