@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -45,6 +46,11 @@ def hex_cut(share: float) -> str:
     return format(min(round(share * 2**32), 2**32 - 1), "08x")
 
 
+def literal_array(values: Sequence, kind: str) -> Column:
+    """Driver-side values as one literal of the plan, however many they are."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def balanced_sum(terms: Sequence[Column]) -> Column:
     """Sum as a tree of logarithmic depth; a left fold over thousands of
     columns would overflow the analyzer's stack."""

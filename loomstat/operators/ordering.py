@@ -1,74 +1,137 @@
 """Order-dependent operators that never put the whole series in one task.
 
-A global ``orderBy`` window runs on a single partition. Instead the rows are
-range-sorted once, numbered from the partition row counts, and cut into equal
-chunks of consecutive rows; each chunk also receives the few rows before it
-that a trailing frame needs. Chunks are equal whatever the key distribution,
-so one hot series or one repeated timestamp cannot create a hot task.
+A global ``orderBy`` window runs on a single partition. Instead the order is cut
+into cells before any row moves: bounds come from a sample of the sort keys, and
+one counting pass gives the exact number of rows in each cell, hence the place
+in the total order at which it begins. Consecutive cells make chunks of about
+equal length, and the cells that end a chunk also travel to the next one, so a
+trailing frame finds the rows before it. Rows are therefore exchanged once, by
+chunk, and numbered there; nothing is stored. One repeated timestamp cannot make
+a hot task, as the bounds are taken over all keys of the order together.
+
+``order_by`` must be a total order: rows equal in all its columns lie in one cell,
+and their order is arbitrary. Nulls come first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomstat.functions.exprs import q
-from loomstat.session import cut_lineage, local_rows
+from loomstat.functions.exprs import literal_array, q
 
 CHUNK_ROWS = 100_000
+#: Cells a chunk consists of, and the most there are: their bounds are a literal of the plan. Beyond, chunks grow.
+CELLS_PER_CHUNK, MAX_CELLS = 8, 1 << 14
+#: Sampled keys per cell.
+SAMPLED = 10
 POSITION = "_position"
 _CHUNK = "_chunk"
 _REAL = "_real"
-_SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def numbered(df: DataFrame, order_by: Sequence[str], position: str = POSITION) -> DataFrame:
+def _plain_key(c: Column, kind: T.DataType) -> tuple[Column, str] | None:
+    """A sort key as a number or text that keeps its order (different keys may become equal)."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return c.cast("bigint"), "bigint"
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return c.cast("double"), "double"
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("bigint"), "bigint"
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c), "bigint"
+    if isinstance(kind, (T.StringType, T.TimestampNTZType)):
+        return c.cast("string"), "string"
+    return None
+
+
+@dataclass
+class Cuts:
+    """Where the order is cut: ``bounds`` are the first keys of cells 1, 2, ...; ``sizes`` their exact row counts."""
+
+    key: Column
+    kind: str
+    bounds: list[tuple]
+    sizes: list[int]
+
+    def cell(self) -> Column:
+        """Cell of a row: the number of bounds not above its key, by halving steps."""
+        if not self.bounds:
+            return F.lit(0)
+        bounds = literal_array([{f"k{i}": v for i, v in enumerate(b)} for b in self.bounds], self.kind)
+        steps = [1 << k for k in range(len(self.bounds).bit_length() - 1, -1, -1)]
+
+        def move(at: Column, step: Column) -> Column:
+            to = at + step
+            return F.when((to <= len(self.bounds)) & (F.get(bounds, to - 1) <= self.key), to).otherwise(at)
+
+        return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), move)
+
+
+def cut_order(df: DataFrame, order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> Cuts:
+    """Cells of the total order, and their exact sizes."""
+    plain = []
+    for c in order_by:
+        key = _plain_key(q(c), df.select(q(c)).schema[0].dataType)
+        if key is None:
+            break  # a prefix of the keys still keeps the order
+        plain.append(key)
+    n = df.count()
+    cuts = Cuts(F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(plain)]) if plain else F.lit(0),
+                "array<struct<" + ", ".join(f"k{i}: {t}" for i, (_, t) in enumerate(plain)) + ">>", [], [n])
+    if n <= chunk_rows or not plain:
+        return cuts
+    cells = min(MAX_CELLS, CELLS_PER_CHUNK * math.ceil(n / chunk_rows))
+    keys = df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(plain)])
+    sample = keys if n <= SAMPLED * cells else keys.sample(SAMPLED * cells / n, seed=7)
+    fine = [tuple(r) for r in sample.collect() if all(not isinstance(v, float) or math.isfinite(v) for v in r)]
+    fine = sorted(set(fine), key=lambda r: [(v is not None, v) for v in r])
+    cuts.bounds = fine[len(fine) // cells :: max(1, len(fine) // cells)] if len(fine) > cells else fine
+    found = {r["cell"]: r["n"] for r in df.groupBy(cuts.cell().alias("cell")).agg(F.count("*").alias("n")).collect()}
+    cuts.sizes = [found.get(k, 0) for k in range(len(cuts.bounds) + 1)]
+    return cuts
+
+
+def chunked(df: DataFrame, order_by: Sequence[str], before: int = 0, chunk_rows: int = CHUNK_ROWS, position: str = POSITION) -> DataFrame:
+    """Rows dealt to chunks of consecutive rows, each preceded by at least
+    ``before`` rows where there are so many. ``_real`` is false on these
+    copies; ``position`` is the 0-based place in the order."""
+    cuts = cut_order(df, order_by, max(chunk_rows, before, 1))
+    least = max(chunk_rows, before, sum(cuts.sizes) * CELLS_PER_CHUNK // MAX_CELLS, 1)
+    firsts, begins, place, held = [0], [0], 0, 0  # first cell and first place of every chunk
+    for k, size in enumerate(cuts.sizes):
+        if held >= least:
+            firsts.append(k)
+            begins.append(place)
+            held = 0
+        place, held = place + size, held + size
+    homes: list[list[int]] = [[] for _ in cuts.sizes]
+    starts = []  # first place of every chunk with its copies
+    for c, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(cuts.sizes)])):
+        low, copied = a, 0
+        while low > 0 and copied < before:
+            low -= 1
+            copied += cuts.sizes[low]
+        starts.append(begins[c] - copied)
+        for k in range(low, b):
+            homes[k].append(c)
+    if len(firsts) == 1:
+        dealt = df.withColumn(_CHUNK, F.lit(0))
+    else:
+        dealt = df.withColumn(_CHUNK, F.explode(F.get(literal_array(homes, "array<array<int>>"), cuts.cell())))
+    number = F.row_number().over(Window.partitionBy(_CHUNK).orderBy(*[q(c) for c in order_by])).cast("bigint")
+    at = lambda values: F.get(literal_array(values, "array<bigint>"), F.col(_CHUNK))
+    return dealt.withColumn(position, number - 1 + at(starts)).withColumn(_REAL, F.col(position) >= at(begins))
+
+
+def numbered(df: DataFrame, order_by: Sequence[str], position: str = POSITION, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the 0-based place of each row in the total order ``order_by``."""
-    spark = df.sparkSession
-    keys = [q(c) for c in order_by]
-    # The sort yields partitions in range order; its result is stored because
-    # the partition cuts come from a sample and may differ if recomputed.
-    slotted = cut_lineage(df.orderBy(*keys).withColumn("_slot", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_slot"), _SLOT_BITS).cast("int")
-    sizes = sorted(
-        (r["part"], r["n"])
-        for r in slotted.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    )
-    starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
-        total += n
-    if not starts:
-        return slotted.drop("_slot").withColumn(position, F.lit(0).cast("bigint"))
-    # one row per sort partition, hence the broadcast
-    offsets = local_rows(spark, starts, "_part int, _start bigint")
-    in_part = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    return (
-        slotted.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(position, F.col("_start") + in_part)
-        .drop("_slot", "_part", "_start")
-    )
-
-
-def chunked(df: DataFrame, before: int, chunk_rows: int = CHUNK_ROWS, position: str = POSITION) -> DataFrame:
-    """Cut numbered rows into chunks, each preceded by copies of ``before`` rows.
-
-    ``_real`` is false on the copies. A chunk is never shorter than the
-    lead-in, so every row is copied at most once.
-    """
-    size = max(chunk_rows, before, 1)
-    own = F.floor(F.col(position) / size)
-    tail = F.col(position) % size >= size - before
-    homes = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own)) if before else F.array(own)
-    return (
-        df.withColumn("_own", own)
-        .withColumn(_CHUNK, F.explode(homes))
-        .withColumn(_REAL, F.col(_CHUNK) == F.col("_own"))
-        .drop("_own")
-    )
+    return chunked(df, order_by, 0, chunk_rows, position).drop(_CHUNK, _REAL)
 
 
 def chunk_window(by: Sequence[str] = (), position: str = POSITION) -> Window:
@@ -85,7 +148,7 @@ def over_order(
 ) -> DataFrame:
     """Apply ``add``, which may use windows on ``chunk_window(by)`` that look
     back at most ``before`` rows; drops the helper columns and copied rows."""
-    out = chunked(numbered(df, [*by, *order_by]), before, chunk_rows)
+    out = chunked(df, [*by, *order_by], before, chunk_rows)
     return add(out).where(_REAL).drop(_CHUNK, _REAL, POSITION)
 
 
@@ -159,7 +222,7 @@ def ntile(df: DataFrame, order_by: Sequence[str], buckets: int, output: str = "t
     """SQL ``ntile`` over the total order, from the row number and the count:
     the first ``n % buckets`` tiles get one row more."""
     placed = numbered(df, order_by)
-    n = placed.count()
+    n = df.count()
     small, extra = divmod(n, buckets)
     pos, edge = F.col(POSITION), extra * (small + 1)
     tile = F.floor(pos / (small + 1)) + 1

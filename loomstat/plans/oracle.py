@@ -374,10 +374,10 @@ SELECT n::bigint AS n, {rnd(f'((tss - rss) / {_K}) / (rss / (n - {_K + 1}))', 2)
        {rnd(f'1 - (rss / tss) * (n - 1) / (n - {_K + 1})', 9)} AS r2_adj,
        {rnd(f'n * ln(2 * pi()) + n * ln(rss / n) + n + 2 * {_K + 1}', 3)} AS aic_loglik,
        {rnd(f'n * ln(2 * pi()) + n * ln(rss / n) + n + ln(n) * {_K + 1}', 3)} AS bic_loglik FROM ols"""
-ORACLE["predict"] = with_(*OLS) + f"SELECT r.key, r.split, {rnd(fitted(FEATURES), 4)} AS fitted FROM prep r CROSS JOIN ols f"
+ORACLE["predict"] = with_(*OLS) + f"SELECT r.key, r.split, {rnd(fitted(FEATURES), 2)} AS fitted FROM prep r CROSS JOIN ols f"
 _NO_TAX = [f for f in FEATURES if f != "tax"]
-ORACLE["predict_missing_column"] = with_(*OLS) + f"SELECT r.key, {rnd(fitted(_NO_TAX), 4)} AS fitted FROM prep r CROSS JOIN ols f"
-ORACLE["residuals"] = with_(*RESID) + f"SELECT key, {rnd('fitted', 4)} AS fitted, {rnd('resid', 4)} AS resid FROM resid"
+ORACLE["predict_missing_column"] = with_(*OLS) + f"SELECT r.key, {rnd(fitted(_NO_TAX), 2)} AS fitted FROM prep r CROSS JOIN ols f"
+ORACLE["residuals"] = with_(*RESID) + f"SELECT key, {rnd('fitted', 2)} AS fitted, {rnd('resid', 2)} AS resid FROM resid"
 ORACLE["metrics"] = with_(*OLS, f"e AS (SELECT r.split, r.charge, r.charge - ({fitted(FEATURES)}) AS e FROM prep r CROSS JOIN ols f)") + f"""
 SELECT 'ols' AS model, split, count(*) AS n, {rnd(_M['mse'], 2)} AS mse, {rnd(_M['rmse'], 5)} AS rmse, {rnd(_M['mae'], 5)} AS mae,
        {rnd(_M['r2'], 9)} AS r2 FROM e GROUP BY split"""
@@ -408,7 +408,7 @@ ORACLE["qq_points"] = with_(*RESID, "p AS (SELECT avg(resid) AS m, stddev_pop(re
     "normal(point, theoretical) AS (VALUES " + ", ".join(f"({i}, {normal_quantile(p)!r}::double)" for i, p in _QQ) + ")") + f"""
 SELECT point::int AS point, {rnd('point / 200', 6)} AS prob, {rnd('theoretical', 8)} AS theoretical, {rnd('(v - m) / s', 6)} AS sample
 FROM qs JOIN normal USING (point) CROSS JOIN p"""
-ORACLE["residual_sequence"] = with_(*RESID) + f"SELECT ts, key, {rnd('resid', 4)} AS resid FROM resid ORDER BY ts, key LIMIT 1000"
+ORACLE["residual_sequence"] = with_(*RESID) + f"SELECT ts, key, {rnd('resid', 2)} AS resid FROM resid ORDER BY ts, key LIMIT 1000"
 
 
 # ---------------------------------------------------------------- selection
