@@ -55,6 +55,62 @@ def partial_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(arrays, ["pos", "n", "si", "sj", "qi", "qj", "p"])
 
 
+def matrix(values: pa.Array, columns: int) -> np.ndarray:
+    """Rows of a list column as a matrix; missing readings are NaN."""
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
+
+
+def linear_fits(x: np.ndarray, weights: np.ndarray, used: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
+    """Predictions of all models, a column each. ``used`` marks the features a
+    model knows: a missing one makes its prediction NaN."""
+    gone = np.isnan(x)
+    if not gone.any():
+        return x @ weights + intercepts
+    out = np.where(gone, 0.0, x) @ weights + intercepts
+    out[gone.astype(float) @ used > 0] = np.nan
+    return out
+
+
+def fits_of(weights: np.ndarray, used: np.ndarray, intercepts: np.ndarray):
+    """A column function: the list of a row's features to the list of its predictions."""
+
+    def run(values: pa.Array) -> pa.Array:
+        out = linear_fits(matrix(values, len(weights)), weights, used, intercepts)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel(), from_pandas=True))
+
+    return run
+
+
+def score_sums(weights: np.ndarray, used: np.ndarray, intercepts: np.ndarray, shift: float):
+    """Sums of one task by split and model from ``split, y, x``: rows, squared
+    and absolute errors, and the label less ``shift`` with its square."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
+            e = y[:, None] - linear_fits(matrix(b.column("x"), len(weights)), weights, used, intercepts)
+            there = ~np.isnan(e)
+            e, moved = np.where(there, e, 0.0), np.where(there, (y - shift)[:, None], 0.0)
+            split = b.column("split").dictionary_encode()
+            codes = split.indices.fill_null(-1).to_numpy()
+            for code in np.unique(codes):
+                mine = codes == code
+                part = np.stack([f[mine].sum(axis=0) for f in (there, e * e, np.abs(e), moved, moved * moved)])
+                name = split.dictionary[code].as_py() if code >= 0 else None
+                sums[name] = sums.get(name, 0.0) + part
+        for name, part in sums.items():
+            models = part.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * models, pa.string()), pa.array(np.arange(models, dtype=np.int32)), pa.array(part[0].astype(np.int64)),
+                 *[pa.array(row) for row in part[1:]]], ["split", "at", "n", "rss", "sae", "sy", "syy"])
+
+    return run
+
+
 def centred(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Row count, means and centred cross products of ``[x..., y]``."""
     n = m[0, 0]

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat.functions import kernels
 from loomstat.functions.exprs import adjusted_r2, format_params, q, rss_aic, rss_bic, sparsity_pct
-from loomstat.operators.models import Regression
+from loomstat.operators.models import Regression, Weights
 from loomstat.session import local_rows
 
 RECORD_FIELDS = (
@@ -47,13 +48,27 @@ def regression_metrics(scored: DataFrame, by: Sequence[str] = ("model", "split")
 
 
 def score_models(df: DataFrame, models: Sequence[Regression], label: str, split: str = "split") -> DataFrame:
-    """The same measures for several models from one scan: predictions are
-    expressions, so rows are neither multiplied by model nor stored."""
-    per_model = [
-        F.struct(F.lit(m.key).alias("model"), *_measures(q(label), m.prediction(df.columns))) for m in models
-    ]
-    rows = df.groupBy(q(split).alias("split")).agg(F.array(*per_model).alias("s")).select("split", F.inline("s"))
-    return _finish(rows).select("model", "split", "n", "rss", "tss", "mse", "rmse", "mae", "r2")
+    """The same measures for several models from one scan; rows are neither
+    multiplied by model nor stored. Up to a few features predictions are
+    expressions; above, batches are multiplied by the matrix of all models and
+    every task leaves one row of sums per split and model."""
+    w = Weights.of(models, df.columns)
+    out = ("model", "split", "n", "rss", "tss", "mse", "rmse", "mae", "r2")
+    if not w.wide:
+        per_model = [F.struct(F.lit(m.key).alias("model"), *_measures(q(label), m.prediction(df.columns))) for m in models]
+        rows = df.groupBy(q(split).alias("split")).agg(F.array(*per_model).alias("s")).select("split", F.inline("s"))
+        return _finish(rows).select(*out)
+    rows = df.select(q(split).alias("split"), q(label).cast("double").alias("y"), w.row().alias("x"))
+    shift = float(np.mean(w.intercepts))  # near the label's mean, so that its spread keeps its digits
+    partial = rows.mapInArrow(kernels.score_sums(w.weights, w.used, w.intercepts, shift),
+                              "split string, at int, n bigint, rss double, sae double, sy double, syy double")
+    sums = partial.groupBy("split", "at").agg(*[F.sum(c).alias(c) for c in ("n", "rss", "sae", "sy", "syy")])
+    n = F.nullif(F.col("n"), F.lit(0))
+    return _finish(sums.select(
+        F.get(F.array(*[F.lit(m.key) for m in models]), F.col("at")).alias("model"), "split", "n",
+        F.when(F.col("n") > 0, F.col("rss")).alias("rss"), (F.col("sae") / n).alias("mae"),
+        F.greatest(F.col("syy") - F.col("sy") * F.col("sy") / n, F.lit(0.0)).alias("tss"),
+    )).select(*out)
 
 
 def _texts(values: Mapping[str, object]) -> dict[str, str]:

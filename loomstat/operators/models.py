@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions import kernels
 from loomstat.functions.exprs import balanced_sum, log_grid_values, nan_to_null, q
-from loomstat.operators.gram import Moments
+from loomstat.operators.gram import NARROW, Moments
 from loomstat.session import local_rows
 
 ALIASED = 1e-10  # share of a column's spread left after the others explain it
@@ -31,6 +31,45 @@ def linear_predictor(intercept: float, coefs: Mapping[str, float], columns: Sequ
     return F.lit(float(intercept)) + balanced_sum(terms)
 
 
+@dataclass
+class Weights:
+    """Several linear models as one features x models matrix."""
+
+    features: list[str]
+    weights: np.ndarray
+    used: np.ndarray
+    intercepts: np.ndarray
+
+    @classmethod
+    def of(cls, models: Sequence["Regression"], columns: Sequence[str]) -> "Weights":
+        """Of the features that any model knows and the table has; absent ones count as 0."""
+        for m in models:
+            m._require_fit()
+        there = set(columns)
+        features = list(dict.fromkeys(f for m in models for f in m.coefs if f in there))
+        weights = np.array([[m.coefs.get(f, 0.0) for m in models] for f in features]).reshape(len(features), len(models))
+        used = np.array([[float(f in m.coefs) for m in models] for f in features]).reshape(weights.shape)
+        return cls(features, weights, used, np.array([m.intercept for m in models]))
+
+    @property
+    def wide(self) -> bool:
+        """Above a few columns a matrix product replaces one expression per model."""
+        return len(self.features) > NARROW
+
+    def row(self) -> Column:
+        return F.array(*[q(f).cast("double") for f in self.features])
+
+
+def predictions(df: DataFrame, models: Sequence["Regression"], outputs: Sequence[str]) -> DataFrame:
+    """``df`` with a prediction column per model. Wide tables multiply batches
+    of rows by the matrix of all models; only the features go to Python."""
+    w = Weights.of(models, df.columns)
+    if not w.wide:
+        return df.withColumns({name: m.prediction(df.columns) for name, m in zip(outputs, models)})
+    fits = F.arrow_udf(kernels.fits_of(w.weights, w.used, w.intercepts), "array<double>")
+    return df.withColumn("_fits", fits(w.row())).withColumns({name: F.get("_fits", F.lit(k)) for k, name in enumerate(outputs)}).drop("_fits")
+
+
 class Regression(ABC):
     """What every model offers: fit, predict, coefficients, parameters."""
 
@@ -61,7 +100,7 @@ class Regression(ABC):
         return self
 
     def predict(self, df: DataFrame, output: str = "fitted") -> DataFrame:
-        return df.withColumn(output, self.prediction(df.columns))
+        return predictions(df, [self], [output])
 
     def prediction(self, columns: Sequence[str]) -> Column:
         self._require_fit()

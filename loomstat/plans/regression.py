@@ -230,7 +230,7 @@ def run(
         "feature_importance": models.top_coefficients(coefs.where(F.col("model") == winner)),
         "report": evaluate.report_facts(records, best, out["target_kpis"], settings),
         "train": prepared.train,
-        "scored": prepared.scaled.withColumns({f"fitted_{f.key}": f.prediction(prepared.scaled.columns) for f in fitted}),
+        "scored": models.predictions(prepared.scaled, fitted, [f"fitted_{f.key}" for f in fitted]),
     }
     return out
 
