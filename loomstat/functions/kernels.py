@@ -16,43 +16,64 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def partial_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum one task's cross products per group."""
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        group = b.column(0).to_numpy(zero_copy_only=False)
-        z = np.column_stack([np.ones(b.num_rows)] + [c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
-        complete = ~np.isnan(z).any(axis=1)
-        z, group = z[complete], group[complete]
-        for g in np.unique(group):
-            part = z[group == g]
-            sums[int(g)] = sums.get(int(g), 0.0) + part.T @ part
-    for g, m in sums.items():
-        tri = m[np.triu_indices(m.shape[0])]
+#: Numbers in one list of a partial result.
+LIST = 1 << 16
+
+
+def _cells(names: list[str], key: list[int], i: int, j0: int, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row of a product matrix, in lists of bounded length."""
+    for k in range(0, len(rows[0]), LIST):
+        part = [r[k : k + LIST] for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([g], pa.int32()), pa.array([tri.tolist()], pa.list_(pa.float64()))], ["grp", "tri"]
-        )
-
-
-def partial_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairwise-complete sums of one task for every column pair."""
-    sums = None
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float)
-        there = ~np.isnan(raw)
-        x, m = np.where(there, raw, 0.0), there.astype(float)
-        first, second = x.T @ m, (x * x).T @ m
-        iu = np.triu_indices(x.shape[1], 1)
-        part = [(m.T @ m)[iu], first[iu], first.T[iu], second[iu], second.T[iu], (x.T @ x)[iu]]
-        sums = part if sums is None else [a + c for a, c in zip(sums, part)]
-    if sums is not None:
-        arrays = [pa.array([list(range(len(sums[0])))], pa.list_(pa.int32()))]
-        arrays += [pa.array([s.tolist()], pa.list_(pa.float64())) for s in sums]
-        yield pa.RecordBatch.from_arrays(arrays, ["pos", "n", "si", "sj", "qi", "qj", "p"])
+            [*[pa.array([x], pa.int32()) for x in (*key, i, j0 + k)],
+             *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in part]], names)
+
+
+def block_gram(low: int, high: int, columns: int):
+    """Sum one task's cross products of ``[1, x...]`` per group: rows ``low`` to
+    ``high`` of the matrix, from the diagonal on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x, group = matrix(b.column("x"), columns), b.column("grp").to_numpy(zero_copy_only=False)
+            complete = ~np.isnan(x).any(axis=1)
+            z, group = np.column_stack([np.ones(complete.sum()), x[complete]]), group[complete]
+            for g in np.unique(group):
+                part = z[group == g]
+                sums[int(g)] = sums.get(int(g), 0.0) + part[:, low:high].T @ part[:, low:]
+        for g, m in sums.items():
+            for i in range(low, high):
+                yield from _cells(["grp", "i", "j0", "values"], [g], i, i, [m[i - low, i - low :]])
+
+    return run
+
+
+#: Sums of a column pair over the rows that have both: rows, x_i, x_j, their squares, their product.
+PAIR_SUMS = ("n", "si", "sj", "qi", "qj", "p")
+
+
+def block_pairs(low: int, high: int, columns: int):
+    """Pairwise-complete sums of one task for the pairs of columns ``low`` to ``high`` with all later ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            raw = matrix(b.column("x"), columns)
+            there = ~np.isnan(raw)
+            x, m = np.where(there, raw, 0.0), there.astype(float)
+            xi, mi, xj, mj = x[:, low:high], m[:, low:high], x[:, low:], m[:, low:]
+            part = [mi.T @ mj, xi.T @ mj, mi.T @ xj, (xi * xi).T @ mj, mi.T @ (xj * xj), xi.T @ xj]
+            sums = part if sums is None else [a + c for a, c in zip(sums, part)]
+        if sums is not None:
+            for i in range(low, min(high, columns - 1)):
+                yield from _cells(["i", "j0", *PAIR_SUMS], [], i, i + 1, [s[i - low, i - low + 1 :] for s in sums])
+
+    return run
 
 
 def matrix(values: pa.Array, columns: int) -> np.ndarray:
@@ -111,6 +132,28 @@ def score_sums(weights: np.ndarray, used: np.ndarray, intercepts: np.ndarray, sh
     return run
 
 
+def normal_product(shipped):
+    """One task's part of ``X'(X V)``, or of ``X'y`` without directions ``V``.
+    ``shipped`` holds the centre and unit of every column, the label last, and ``V``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, units, v = shipped.value
+        total = None
+        for b in batches:
+            if b.num_rows:
+                z = (matrix(b.column("x"), len(centre)) - centre) / units
+                x = z[:, :-1]
+                part = x.T @ (z[:, -1:] if v is None else x @ v)
+                total = part if total is None else total + part
+        flat = np.zeros(0) if total is None else total.ravel()
+        for k in range(0, len(flat), LIST):
+            part = flat[k : k + LIST]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], ["start", "values"])
+
+    return run
+
+
 def centred(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Row count, means and centred cross products of ``[x..., y]``."""
     n = m[0, 0]

@@ -9,18 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions import kernels
-from loomstat.functions.exprs import balanced_sum, nan_to_null, q
+from loomstat.functions.exprs import balanced_sum, literal_array, nan_to_null, q
 from loomstat.operators.clean import fit_scale, numeric_columns
 from loomstat.session import local_rows
 
 # up to this many columns the sums are plain aggregates inside codegen
 NARROW = 8
+#: Numbers of a product matrix that a task holds (per group); larger matrices are summed in row blocks by tasks of their own.
+CELLS = 1 << 20
+
+
+def row_blocks(size: int, cells: int = CELLS) -> list[tuple[int, int]]:
+    """Row ranges of an upper triangle with at most ``cells`` numbers each (one row at least)."""
+    out, low = [], 0
+    while low < size:
+        high = min(size, low + max(1, cells // (size - low)))
+        out.append((low, high))
+        low = high
+    return out
 
 
 @dataclass
@@ -93,23 +106,30 @@ def gram_rows(
     by: str | None = None,
     shift: Mapping[str, float] | None = None,
     narrow: int = NARROW,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Upper triangle of the cross products of ``[1, cols...]`` as rows
-    ``(grp, pos, value)``; rows missing any of the columns do not count."""
+    ``(grp, i, j, value)``, ``i <= j``; rows missing any of the columns do not count.
+
+    Neither a task nor a row of the result nor the plan holds the whole matrix:
+    wide ones are summed in row blocks of ``cells`` numbers, each by its own pass
+    over the columns from the block on, and merged as a streaming sum of cells."""
     shift = shift or {}
     moved = {c: nan_to_null(q(c).cast("double")) - F.lit(float(shift.get(c, 0.0))) for c in cols}
     group = q(by).cast("int") if by else F.lit(0)
-    names = [f"x{i}" for i in range(len(cols))]
-    x = df.select(group.alias("grp"), *[moved[c].alias(n) for c, n in zip(cols, names)])
     if len(cols) <= narrow:
+        names = [f"x{i}" for i in range(len(cols))]
+        x = df.select(group.alias("grp"), *[moved[c].alias(n) for c, n in zip(cols, names)])
         x = x.where(balanced_sum([F.col(n) for n in names]).isNotNull())
         full = [F.lit(1.0), *[F.col(n) for n in names]]
-        cells = [F.sum(full[i] * full[j]) for i, j in zip(*np.triu_indices(len(full)))]
-        return x.groupBy("grp").agg(F.array(*cells).alias("tri")).select("grp", F.posexplode("tri").alias("pos", "value"))
-    partial = x.mapInArrow(kernels.partial_gram, "grp int, tri array<double>")
-    # one short row per cell: the merge is a streaming sum however many tasks there were
-    cells = partial.select("grp", F.posexplode("tri").alias("pos", "value"))
-    return cells.groupBy("grp", "pos").agg(F.sum("value").alias("value"))
+        tri = [F.struct(F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j"), F.sum(full[i] * full[j]).alias("value"))
+               for i, j in zip(*np.triu_indices(len(full)))]
+        return x.groupBy("grp").agg(F.array(*tri).alias("tri")).select("grp", F.inline("tri"))
+    x = df.select(group.alias("grp"), F.array(*[moved[c] for c in cols]).alias("x"))
+    parts = [x.mapInArrow(kernels.block_gram(low, high, len(cols)), "grp int, i int, j0 int, values array<double>")
+             for low, high in row_blocks(len(cols) + 1, cells)]
+    found = reduce(DataFrame.unionByName, parts).select("grp", "i", "j0", F.posexplode("values").alias("k", "value"))
+    return found.groupBy("grp", "i", (F.col("j0") + F.col("k")).alias("j")).agg(F.sum("value").alias("value"))
 
 
 def moments(
@@ -122,21 +142,23 @@ def moments(
 ) -> Moments:
     """Collect the cross products (p x p numbers per group) for fitting.
 
-    Without ``shift`` the column means are taken first.
+    Without ``shift`` the column means are taken first. The solvers work on the
+    driver, which therefore holds a few such matrices per group: some 3,000
+    features in a 4 GB driver. Beyond, ``iterative.conjugate_gradient`` needs no
+    matrix at all.
     """
     cols = [*features, label]
     if shift is None:
         shift = {c: mean for c, (mean, _) in fit_scale(df, cols).items()}
     size = len(cols) + 1
-    iu = np.triu_indices(size)
-    cells = gram_rows(df, cols, by, shift, narrow).toPandas()
+    cells = gram_rows(df, cols, by, shift, narrow).toArrow()
+    grp, i, j, value = (cells.column(c).to_numpy() for c in ("grp", "i", "j", "value"))
     groups = {}
-    for g, part in cells.groupby("grp"):
+    for g in np.unique(grp):
+        mine = grp == g
         m = np.zeros((size, size))
-        tri = np.zeros(len(iu[0]))
-        tri[part["pos"].to_numpy()] = part["value"].to_numpy(float)
-        m[iu] = tri
-        groups[int(g)] = m + np.triu(m, 1).T
+        m[i[mine], j[mine]] = m[j[mine], i[mine]] = value[mine]
+        groups[int(g)] = m
     if not groups:
         raise ValueError("no complete rows to fit on")
     return Moments(list(features), label, groups, dict(shift))
@@ -146,35 +168,27 @@ def gram_frame(df: DataFrame, cols: Sequence[str], by: str | None = None, shift:
                narrow: int = NARROW) -> DataFrame:
     """Named cells ``(grp, col_i, col_j, value)``, ``i <= j``; the constant is
     called ``(intercept)``."""
-    names = ["(intercept)", *cols]
-    iu = np.triu_indices(len(names))
-    label = F.array(*[F.lit(n) for n in names])
-    at_i, at_j = F.lit([int(i) + 1 for i in iu[0]]), F.lit([int(j) + 1 for j in iu[1]])
+    label = literal_array(["(intercept)", *cols], "array<string>")
     rows = gram_rows(df, cols, by, shift, narrow)
-    return rows.select(
-        "grp",
-        F.element_at(label, F.element_at(at_i, F.col("pos") + 1)).alias("col_i"),
-        F.element_at(label, F.element_at(at_j, F.col("pos") + 1)).alias("col_j"),
-        "value",
-    )
+    return rows.select("grp", F.get(label, F.col("i")).alias("col_i"), F.get(label, F.col("j")).alias("col_j"), "value")
 
 
 # ---------------------------------------------------------------- correlation
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, cells: int = CELLS) -> DataFrame:
     """Pearson r of each column pair ``i < j`` over the rows where both are
     present: ``(i, j, col_i, col_j, n, r)``. No spread, or no such row, gives a
-    null r."""
+    null r. Wide tables are summed in row blocks, as in ``gram_rows``."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    x = df.select(*[
-        (q(c).cast("double") - F.lit(mean)).alias(f"x{i}") for i, (c, (mean, _)) in enumerate(fit_scale(df, cols).items())
-    ])
-    cell = "pos int, n double, si double, sj double, qi double, qj double, p double"
-    lists = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in cell.split(", "))
-    partial = x.mapInArrow(kernels.partial_pairs, lists)
-    rows = partial.select(F.inline(F.arrays_zip(*[c.split()[0] for c in cell.split(", ")])))
-    sums = rows.groupBy("pos").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+    x = df.select(F.array(*[
+        nan_to_null(q(c).cast("double")) - F.lit(mean) for c, (mean, _) in fit_scale(df, cols).items()
+    ]).alias("x"))
+    names = kernels.PAIR_SUMS
+    schema = "i int, j0 int, " + ", ".join(f"{c} array<double>" for c in names)
+    parts = [x.mapInArrow(kernels.block_pairs(low, high, len(cols)), schema) for low, high in row_blocks(len(cols), cells)]
+    rows = reduce(DataFrame.unionByName, parts).select("i", "j0", F.posexplode(F.arrays_zip(*names)).alias("k", "s"))
+    sums = rows.groupBy("i", (F.col("j0") + F.col("k")).alias("j")).agg(*[F.sum(f"s.{c}").alias(c) for c in names])
     n = F.when(F.col("n") > 0, F.col("n"))
     var_i = F.col("qi") - F.col("si") * F.col("si") / n
     var_j = F.col("qj") - F.col("sj") * F.col("sj") / n
@@ -182,20 +196,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     # spread below the rounding noise of its own sum of squares counts as none
     spread = (var_i > F.col("qi") * 1e-14) & (var_j > F.col("qj") * 1e-14)
     r = F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(var_i * var_j))))
-    iu = np.triu_indices(len(cols), 1)
-    label = F.array(*[F.lit(c) for c in cols])
-    at_i, at_j = F.lit([int(i) for i in iu[0]]), F.lit([int(j) for j in iu[1]])
-    return (
-        sums.withColumn("i", F.element_at(at_i, F.col("pos") + 1))
-        .withColumn("j", F.element_at(at_j, F.col("pos") + 1))
-        .select(
-            "i", "j",
-            F.element_at(label, F.col("i") + 1).alias("col_i"),
-            F.element_at(label, F.col("j") + 1).alias("col_j"),
-            F.col("n").cast("bigint").alias("n"),
-            r.alias("r"),
-        )
-    )
+    label = literal_array(cols, "array<string>")
+    return sums.select(
+        "i", "j", F.get(label, F.col("i")).alias("col_i"), F.get(label, F.col("j")).alias("col_j"),
+        F.col("n").cast("bigint").alias("n"), r.alias("r"))
 
 
 def corr_with(pairs: DataFrame, label: str, itself: bool = True) -> DataFrame:

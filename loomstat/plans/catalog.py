@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomstat.config import Settings
 from loomstat.functions.exprs import format_params, log_grid_values, q, rounded
-from loomstat.operators import clean, diagnostics, domain, evaluate, gram, models, ordering, profile, split
+from loomstat.operators import clean, diagnostics, domain, evaluate, gram, iterative, models, ordering, profile, split
 from loomstat.plans.regression import Prepared, feature_roles, prepare, run, stage
 from loomstat.session import local_rows, scratch_path
 from loomstat.sources import landing, tables
@@ -499,6 +499,28 @@ def ols_summary(spark, sf):
     return shown(out, f_statistic=2, r2=9, r2_adj=9, aic_loglik=3, bic_loglik=3)
 
 
+ITERATED = Settings(target="charge", leakage=("disc_price",), disabled=("price_copy",))
+
+
+@query
+def ols_iterative(spark, sf):
+    """Nine features by conjugate gradients, without their matrix."""
+    p = prepare(tables.feature_table(spark, sf), ITERATED, "key", ["ts"])
+    fit = iterative.IterativeLeastSquares().fit_rows(p.train, p.features, p.label)
+    out = fit.coefficients(spark).select("feature", "coef")
+    return shown(out.unionByName(local_rows(spark, [("(intercept)", fit.intercept)], "feature string, coef double")), coef=5)
+
+
+@query
+def ridge_iterative(spark, sf):
+    """Three penalties solved together, in the same passes."""
+    p = prepare(tables.feature_table(spark, sf), ITERATED, "key", ["ts"])
+    alphas = [1.0, 100.0, 10_000.0]
+    got = iterative.conjugate_gradient(p.train, p.features, p.label, alphas)
+    rows = [(k, f, float(b)) for k, fit in enumerate(got.coefs) for f, b in zip(p.features, fit)]
+    return shown(local_rows(spark, rows, "alpha_no int, feature string, coef double"), coef=5)
+
+
 @query
 def predict(spark, sf):
     p, _, ols = line_ols(spark, sf)

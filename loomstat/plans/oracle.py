@@ -374,6 +374,13 @@ SELECT n::bigint AS n, {rnd(f'((tss - rss) / {_K}) / (rss / (n - {_K + 1}))', 2)
        {rnd(f'1 - (rss / tss) * (n - 1) / (n - {_K + 1})', 9)} AS r2_adj,
        {rnd(f'n * ln(2 * pi()) + n * ln(rss / n) + n + 2 * {_K + 1}', 3)} AS aic_loglik,
        {rnd(f'n * ln(2 * pi()) + n * ln(rss / n) + n + ln(n) * {_K + 1}', 3)} AS bic_loglik FROM ols"""
+_NINE = ["price", "discount", "tax", "qty", "p_size", "p_retailprice", "o_totalprice", "s_acctbal", "c_acctbal"]
+ORACLE["ols_iterative"] = with_(FEAT, *prep(_NINE, "feat"), *solve("w", "train", _NINE)) + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature, {rnd(b, 5)} AS coef FROM w" for x, b in [("(intercept)", "b0"), *[(f, f"b_{f}") for f in _NINE]])
+ORACLE["ridge_iterative"] = with_(
+    FEAT, *prep(_NINE, "feat"), "lams(lam_no, lam) AS (VALUES (0, 1.0::double), (1, 100.0::double), (2, 10000.0::double))",
+    *solve("w", "train", _NINE, ridge="lams")) + " UNION ALL ".join(
+    f"SELECT lam_no::int AS alpha_no, '{f}' AS feature, {rnd(f'b_{f}', 5)} AS coef FROM w" for f in _NINE)
 ORACLE["predict"] = with_(*OLS) + f"SELECT r.key, r.split, {rnd(fitted(FEATURES), 2)} AS fitted FROM prep r CROSS JOIN ols f"
 _NO_TAX = [f for f in FEATURES if f != "tax"]
 ORACLE["predict_missing_column"] = with_(*OLS) + f"SELECT r.key, {rnd(fitted(_NO_TAX), 2)} AS fitted FROM prep r CROSS JOIN ols f"

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomstat.operators import evaluate, models, ordering, split
+from loomstat.operators import evaluate, gram, iterative, models, ordering, split
 
 
 def plan_of(df) -> str:
@@ -77,6 +77,83 @@ def test_wide_tables_use_the_matrix_and_narrow_ones_expressions(spark):
     assert rows.columns[-2:] == ["fitted", "resid"] and rows.count() == 8
 
 
+# ---------------------------------------------------------------- wide cross products
+
+
+@pytest.mark.parametrize("p,cells", [(12, 30), (12, 1), (40, 1 << 20)])
+def test_blocked_cross_products_equal_numpy(spark, p, cells):
+    df, x, y = wide_table(spark, p, 200, gaps=True)
+    df = df.withColumn("fold", (F.monotonically_increasing_id() % 3).cast("int"))
+    pdf = df.toPandas()
+    cols = [f"x{j}" for j in range(p)]
+    z = np.column_stack([np.ones(200), pdf[cols].to_numpy(float)])
+    there = ~np.isnan(z).any(axis=1)
+    got = gram.gram_rows(df, cols, "fold", narrow=4, cells=cells).toPandas()
+    for g in range(3):
+        mine = z[there & (pdf.fold == g).to_numpy()]
+        m = np.zeros((p + 1, p + 1))
+        part = got[got.grp == g]
+        m[part.i, part.j] = part.value
+        np.testing.assert_allclose(m, np.triu(mine.T @ mine), rtol=1e-10, atol=1e-9)
+    r = gram.corr_matrix(df, cols, cells=cells).toPandas()
+    want = pdf[cols].corr()
+    assert len(r) == p * (p - 1) // 2 and (r.i < r.j).all()
+    np.testing.assert_allclose(r.r, [want.loc[a, b] for a, b in zip(r.col_i, r.col_j)], atol=1e-10)
+    assert (r.n == [(pdf[a].notna() & pdf[b].notna()).sum() for a, b in zip(r.col_i, r.col_j)]).all()
+
+
+def test_a_thousand_columns_stay_within_the_blocks(spark):
+    """Per task: one block of sums, and lists of bounded length; the whole matrix is in no task, row or plan."""
+    p, cells = 1000, 60_000
+    df, x, _ = wide_table(spark, p, 300)
+    blocks = gram.row_blocks(p + 1, cells)
+    assert max((b - a) * (p + 1 - a) for a, b in blocks) <= cells and blocks[-1][1] == p + 1 and len(blocks) > 8
+    rows = gram.gram_rows(df, [f"x{j}" for j in range(p)], cells=cells)
+    logical = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert len(logical) < 400 * p  # one mention of a column per block at most, nothing per pair
+    got = rows.where("i % 97 = 3").toPandas()
+    z = np.column_stack([np.ones(300), x])
+    np.testing.assert_allclose(got.value, [z[:, i] @ z[:, j] for i, j in zip(got.i, got.j)], rtol=1e-9, atol=1e-9)
+    assert rows.count() == (p + 1) * (p + 2) // 2
+
+
+# ---------------------------------------------------------------- without a matrix
+
+
+def test_conjugate_gradients_equal_the_direct_solution(spark, dense):
+    pdf = dense.assign(copy=dense["a"] * 3 - 2, flat=4.0, far=1e7 + dense["d"])
+    features = ["a", "b", "c", "far", "copy", "flat"]
+    df = spark.createDataFrame(pdf.assign(c=pdf["c"].where(pdf.index % 9 > 0)))
+    rows = pdf[pdf.index % 9 > 0]
+    x = rows[features].to_numpy(float)
+    std = x.std(axis=0)
+    std[std < 1e-12] = np.inf
+    z, y = (x - x.mean(axis=0)) / std, rows["y"] - rows["y"].mean()
+    alphas = [0.0, 1.0, 250.0]
+    got = iterative.conjugate_gradient(df, features, "y", alphas)
+    assert got.converged and got.passes < 20
+    for a, b, b0 in zip(alphas, got.coefs, got.intercepts):
+        w, v = np.linalg.eigh(z.T @ z)  # collinear columns share their effect
+        want = v @ np.where(w + a > 1e-8, (v.T @ (z.T @ y)) / np.where(w + a > 1e-8, w + a, 1), 0) / std
+        np.testing.assert_allclose(b, want, rtol=1e-8, atol=1e-10)
+        assert b0 == pytest.approx(rows["y"].mean() - x.mean(axis=0) @ want, rel=1e-8)
+    direct = models.OrdinaryLeastSquares().fit(gram.moments(df.select("a", "b", "c", "y"), ["a", "b", "c"], "y"), spark)
+    fit = iterative.IterativeLeastSquares().fit_rows(df, ["a", "b", "c"], "y")
+    assert fit.coefs == pytest.approx(direct.coefs, rel=1e-8) and fit.intercept == pytest.approx(direct.intercept, rel=1e-8)
+    assert fit.predict(df).where("fitted is null").count() == (pdf.index % 9 == 0).sum()
+
+
+def test_conjugate_gradients_on_more_features_than_rows_and_on_nothing(spark):
+    df, x, y = wide_table(spark, 30, 12)
+    fit = iterative.IterativeLeastSquares().fit_rows(df, [f"x{j}" for j in range(30)], "y")
+    score = evaluate.score_models(df, [fit], "y").agg(F.sum("rss")).first()[0]
+    assert score < 1e-10 * ((y - y.mean()) ** 2).sum()  # the rows can be met exactly
+    with pytest.raises(ValueError):
+        iterative.conjugate_gradient(df.limit(0), ["x0"], "y")
+    with pytest.warns(UserWarning, match="ended after"):
+        assert not iterative.conjugate_gradient(df, [f"x{j}" for j in range(30)], "y", max_passes=4).converged
+
+
 # ---------------------------------------------------------------- long series
 
 
