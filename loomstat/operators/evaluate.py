@@ -94,15 +94,12 @@ def model_table(spark: SparkSession, models: Sequence[Regression],
 def model_records(metrics: DataFrame, models: DataFrame) -> DataFrame:
     """The 15-field record of each model. ``metrics`` holds a row per model and
     split, ``models`` a row per model."""
-    measures = ["n", "rss", "mse", "rmse", "mae", "r2"]
-    sides = {
-        s: metrics.where(F.col("split") == s).select("model", *[F.col(c).alias(f"{s}_{c}") for c in measures])
-        for s in ("train", "test")
-    }
+    measures = ("n", "rss", "mse", "rmse", "mae", "r2")
+    sides = metrics.groupBy("model").agg(*[
+        F.any_value(F.when(F.col("split") == s, F.col(c)), True).alias(f"{s}_{c}") for s in ("train", "test") for c in measures])
     k, n = F.col("num_features_retained"), F.col("train_n")
     return (
-        models.join(sides["train"], "model", "left")
-        .join(sides["test"], "model", "left")
+        models.join(sides, "model", "left")
         .withColumn("adjusted_r2", adjusted_r2(F.col("test_r2"), F.col("test_n"), k))
         .withColumn("aic", rss_aic(n, F.col("train_rss"), k))
         .withColumn("bic", rss_bic(n, F.col("train_rss"), k))
@@ -110,20 +107,21 @@ def model_records(metrics: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+# The headings of the comparison table.
+HEADINGS = {
+    "model_name": "Modelo", "train_r2": "Train R2", "test_r2": "Test R2", "adjusted_r2": "Test R2 Adj", "test_rmse": "Test RMSE (kg/ADt)",
+    "test_mae": "Test MAE (kg/ADt)", "aic": "AIC", "bic": "BIC", "num_features_retained": "N Variables",
+    "params": "Hiperparametros / Regularizacion",
+}
+
+
 def comparison_table(records: DataFrame) -> DataFrame:
     """Ten columns, best test R2 first, models without a score last."""
-    return records.select(
-        F.col("model_name").alias("Modelo"),
-        F.col("train_r2").alias("Train R2"),
-        F.col("test_r2").alias("Test R2"),
-        F.col("adjusted_r2").alias("Test R2 Adj"),
-        F.col("test_rmse").alias("Test RMSE (kg/ADt)"),
-        F.col("test_mae").alias("Test MAE (kg/ADt)"),
-        F.coalesce("aic", F.lit(float("nan"))).alias("AIC"),
-        F.coalesce("bic", F.lit(float("nan"))).alias("BIC"),
-        F.col("num_features_retained").alias("N Variables"),
-        format_params(F.col("optimal_hyperparameters")).alias("Hiperparametros / Regularizacion"),
-    ).orderBy(F.desc_nulls_last("Test R2"))
+    shown = {
+        "aic": F.coalesce("aic", F.lit(float("nan"))), "bic": F.coalesce("bic", F.lit(float("nan"))),
+        "params": format_params(F.col("optimal_hyperparameters")),
+    }
+    return records.select(*[shown.get(c, F.col(c)).alias(h) for c, h in HEADINGS.items()]).orderBy(F.desc_nulls_last(HEADINGS["test_r2"]))
 
 
 def chart_rows(records: DataFrame) -> DataFrame:

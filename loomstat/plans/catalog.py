@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.config import Settings
 from loomstat.functions.exprs import format_params, log_grid_values, q, rounded
 from loomstat.operators import clean, diagnostics, domain, evaluate, gram, iterative, models, ordering, profile, split
-from loomstat.plans.regression import Prepared, feature_roles, prepare, run, stage
+from loomstat.plans.regression import Prepared, default_suite, feature_roles, least_squares_checks, local_copy, prepare, run, stage
 from loomstat.session import local_rows, scratch_path
 from loomstat.sources import landing, tables
 
@@ -28,8 +28,10 @@ QUERIES: dict[str, Query] = {}
 LINE = Settings(target="charge", leakage=("disc_price",), disabled=("price_copy",), design_limit=17.5)
 WIDE = Settings(target="charge", leakage=("disc_price",), disabled=(), design_limit=50_000.0)
 FEATURES = ["price", "discount", "tax", "qty"]
-NESTED = {"m1": FEATURES[:1], "m2": FEATURES[:2], "m3": FEATURES[:3], "m4": FEATURES}
 ORDER = ["ts", "key"]
+COMPARED = ["model", "train_r2", "test_r2", "test_r2_adj", "test_rmse", "test_mae", "aic", "bic", "n_features", "params"]
+COMPARED_DIGITS = {"train_r2": 8, "test_r2": 8, "test_r2_adj": 8, "test_rmse": 4, "test_mae": 4, "aic": 2, "bic": 2}
+SHRUNK = {"weak": 0.5, "middle": 1000.0, "strong": 5000.0}
 SPIKE = 1e17
 SENSORS = ["Flujo CLO2 Etapa D0", "Cons. Específico  O2 EOP", "Nivel Etapa D1"]
 PLAIN = ["flujo", "cons", "nivel"]
@@ -146,16 +148,10 @@ def roundtrip_io(spark, sf):
 
 @query
 def report_json(spark, sf):
-    records = nested_records(spark, sf)
-    path = landing.export_json(records.select("model_name", "num_features_retained", "test_r2", "aic", "optimal_hyperparameters"),
-                               scratch_path(spark, "report"))
-    back = spark.read.schema(
-        "model_name string, num_features_retained int, test_r2 double, aic double, optimal_hyperparameters map<string,string>"
-    ).json(path)
-    return shown(
-        back.select("model_name", "num_features_retained", "test_r2", F.element_at("optimal_hyperparameters", "features").alias("features")),
-        test_r2=8,
-    )
+    """All fifteen fields of the five models, written as nested JSON and read back."""
+    records = suite_records(spark, sf, checks=True)
+    path = landing.export_json(records.select(*evaluate.RECORD_FIELDS), scratch_path(spark, "report"))
+    return recorded(spark.read.schema(records.select(*evaluate.RECORD_FIELDS).schema).json(path))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -447,9 +443,7 @@ def vif(spark, sf):
 
 @query
 def condition_number(spark, sf):
-    settings = Settings(target="charge", leakage=(), disabled=("price_copy", "discount", "tax", "qty"))
-    p = prepare(tables.line_table(spark, sf), settings, "key", ["ts"])
-    m = p.moments(False)
+    m = line_prepared(spark, sf).moments(False)
     rows = [(len(m.features), int(m.n), gram.condition_number(m))]
     return shown(local_rows(spark, rows, "n_features int, n bigint, condition_number double"), condition_number=6)
 
@@ -485,8 +479,9 @@ def ols_coefficients(spark, sf):
 
 @query
 def ols_pvalues(spark, sf):
-    p, m, _ = line_ols(spark, sf)
-    return shown(diagnostics.coefficient_table(m, spark).select("feature", "p_value"), p_value=8)
+    """Nine features, of which most are noise, so that the probabilities spread."""
+    m = nine_prepared(spark, sf).moments()
+    return shown(diagnostics.coefficient_table(m, spark).select("feature", "t_value", "p_value"), t_value=4, p_value=8)
 
 
 @query
@@ -494,18 +489,22 @@ def ols_summary(spark, sf):
     p, m, ols = line_ols(spark, sf)
     rss = evaluate.score_models(p.train, [ols], p.label).first()["rss"]
     s = diagnostics.ols_summary(m, spark, rss)
-    keys = ("f_statistic", "r2", "r2_adj", "aic_loglik", "bic_loglik")
+    keys = ("f_statistic", "f_pvalue", "r2", "r2_adj", "aic_loglik", "bic_loglik")
     out = local_rows(spark, [(int(s["n"]), *[s[k] for k in keys])], "n bigint, " + ", ".join(f"{k} double" for k in keys))
-    return shown(out, f_statistic=2, r2=9, r2_adj=9, aic_loglik=3, bic_loglik=3)
+    return shown(out, f_statistic=2, f_pvalue=8, r2=9, r2_adj=9, aic_loglik=3, bic_loglik=3)
 
 
 ITERATED = Settings(target="charge", leakage=("disc_price",), disabled=("price_copy",))
 
 
+def nine_prepared(spark, sf) -> Prepared:
+    return prepare(tables.feature_table(spark, sf), ITERATED, "key", ["ts"])
+
+
 @query
 def ols_iterative(spark, sf):
     """Nine features by conjugate gradients, without their matrix."""
-    p = prepare(tables.feature_table(spark, sf), ITERATED, "key", ["ts"])
+    p = nine_prepared(spark, sf)
     fit = iterative.IterativeLeastSquares().fit_rows(p.train, p.features, p.label)
     out = fit.coefficients(spark).select("feature", "coef")
     return shown(out.unionByName(local_rows(spark, [("(intercept)", fit.intercept)], "feature string, coef double")), coef=5)
@@ -514,7 +513,7 @@ def ols_iterative(spark, sf):
 @query
 def ridge_iterative(spark, sf):
     """Three penalties solved together, in the same passes."""
-    p = prepare(tables.feature_table(spark, sf), ITERATED, "key", ["ts"])
+    p = nine_prepared(spark, sf)
     alphas = [1.0, 100.0, 10_000.0]
     got = iterative.conjugate_gradient(p.train, p.features, p.label, alphas)
     rows = [(k, f, float(b)) for k, fit in enumerate(got.coefs) for f, b in zip(p.features, fit)]
@@ -562,10 +561,7 @@ def durbin_watson(spark, sf):
 
 @query
 def breusch_pagan(spark, sf):
-    p = line_prepared(spark, sf)
-    ols = models.OrdinaryLeastSquares().fit(p.moments().restricted(["price", "discount"]), spark)
-    out = diagnostics.breusch_pagan(ols.residuals(p.train, p.label), ["price", "discount"])
-    return shown(out, lm=4, p_value=8)
+    return shown(diagnostics.breusch_pagan(line_residuals(spark, sf), FEATURES), lm=4, p_value=8)
 
 
 @query
@@ -691,55 +687,75 @@ def ridge_loo(spark, sf):
 # ---------------------------------------------------------------- comparison
 
 
-def nested_models(spark, sf) -> tuple[Prepared, list[models.Regression], DataFrame]:
-    """Least squares on one to four features: models of different size whose
-    scores any SQL engine can recompute."""
+def suite_fits(spark, sf) -> tuple[Prepared, list[models.Regression], DataFrame]:
+    """The five models of the default suite, fitted and scored."""
     p = line_prepared(spark, sf)
-    m = p.moments()
-    fitted = []
-    for key, features in NESTED.items():
-        ols = models.OrdinaryLeastSquares(name=f"OLS {len(features)}")
-        ols.key = key
-        ols.parameters = lambda f=features: {"features": len(f), "criterio": "MCO"}
-        fitted.append(ols.fit(m.restricted(features), spark))
-    return p, fitted, evaluate.score_models(p.scaled, fitted, p.label)
+    fitted, _ = evaluate.fit_tolerant(default_suite(LINE), p.moments(), spark)
+    return p, fitted, local_copy(evaluate.score_models(p.scaled, fitted, p.label))
+
+
+def suite_records(spark, sf, checks: bool = False) -> DataFrame:
+    p, fitted, metrics = suite_fits(spark, sf)
+    found = {}
+    if checks:
+        rss = metrics.where("model = 'ols' and split = 'train'").first()["rss"]
+        found["ols"] = least_squares_checks(p, fitted[0].residuals(p.train, p.label), rss, ORDER)
+    return local_copy(evaluate.model_records(metrics, evaluate.model_table(spark, fitted, found)))
+
+
+def recorded(records: DataFrame) -> DataFrame:
+    """All fields of a record; the maps as text, numbers of the tests to six digits."""
+    tests = F.transform(F.array_sort(F.map_entries("additional_diagnostics")), lambda e: F.format_string("%s=%.5e", e["key"], e["value"]))
+    out = records.select(*evaluate.RECORD_FIELDS[:-2], parameters_shown(format_params(F.col("optimal_hyperparameters"))).alias("params"),
+                         F.concat_ws(", ", tests).alias("diagnostics"))
+    sides = {f"{side}_{m}": d for side in ("train", "test") for m, d in (("mse", 1), ("rmse", 4), ("mae", 4), ("r2", 8))}
+    return shown(out, **sides, adjusted_r2=8, aic=2, bic=2)
 
 
-def nested_records(spark, sf) -> DataFrame:
-    _, fitted, scores = nested_models(spark, sf)
-    return evaluate.model_records(scores, evaluate.model_table(spark, fitted))
+def parameters_shown(text: Column) -> Column:
+    """A criterion of some 10^6 is shown to one decimal, as far as two engines agree for certain."""
+    return F.regexp_replace(text, r"(aic_final=[0-9]+\.[0-9])[0-9]*", "$1")
 
 
 @query
 def model_record(spark, sf):
-    out = nested_records(spark, sf).select(
-        "model_name", "train_rmse", "train_mae", "train_r2", "test_rmse", "test_mae", "test_r2", "adjusted_r2", "aic", "bic",
-        "num_features_retained",
-    )
-    return shown(out, train_rmse=5, train_mae=5, train_r2=9, test_rmse=5, test_mae=5, test_r2=9, adjusted_r2=9, aic=3, bic=3)
+    return recorded(suite_records(spark, sf, checks=True))
 
 
 @query
 def comparison(spark, sf):
-    out = evaluate.comparison_table(nested_records(spark, sf)).toDF(
-        "model", "train_r2", "test_r2", "test_r2_adj", "test_rmse", "test_mae", "aic", "bic", "n_features", "params"
-    )
-    return shown(out, train_r2=9, test_r2=9, test_r2_adj=9, test_rmse=5, test_mae=5, aic=3, bic=3)
+    out = evaluate.comparison_table(suite_records(spark, sf)).toDF(*COMPARED)
+    return shown(out.withColumn("params", parameters_shown(F.col("params"))), **COMPARED_DIGITS)
 
 
 @query
 def comparison_chart(spark, sf):
-    return shown(evaluate.chart_rows(nested_records(spark, sf)), test_r2=9, test_rmse=5)
+    return shown(evaluate.chart_rows(suite_records(spark, sf)), test_r2=8, test_rmse=4)
 
 
 @query
 def select_best(spark, sf):
-    return shown(evaluate.select_best(nested_records(spark, sf)).select("model_name", "test_r2", "num_features_retained"), test_r2=9)
+    return shown(evaluate.select_best(suite_records(spark, sf)).select("model_name", "test_r2", "num_features_retained"), test_r2=8)
 
 
 @query
 def select_highest(spark, sf):
-    return shown(evaluate.select_highest(nested_records(spark, sf)).select("model_name", "test_r2"), test_r2=9)
+    return shown(evaluate.select_highest(suite_records(spark, sf)).select("model_name", "test_r2"), test_r2=8)
+
+
+@query
+def suite_predictions(spark, sf):
+    """Predictions of all five models, row by row."""
+    p, fitted, _ = suite_fits(spark, sf)
+    names = [f"fitted_{m.key}" for m in fitted]
+    return shown(models.predictions(p.scaled, fitted, names).select("key", "split", *names), **{c: 1 for c in names})
+
+
+@query
+def suite_coefficients(spark, sf):
+    """Coefficients of all five models; features a model left out are absent."""
+    _, fitted, _ = suite_fits(spark, sf)
+    return shown(models.all_coefficients(fitted, spark), coef=3)
 
 
 @query
@@ -753,7 +769,7 @@ def failed_model_row(spark, sf):
         def fit(self, m, spark):
             raise ArithmeticError("singular")
 
-    fitted, failed = evaluate.fit_tolerant([models.OrdinaryLeastSquares(name="OLS 4"), Broken()], m, spark)
+    fitted, failed = evaluate.fit_tolerant([models.OrdinaryLeastSquares(), Broken()], m, spark)
     records = evaluate.model_records(evaluate.score_models(p.scaled, fitted, p.label), evaluate.model_table(spark, fitted))
     out = evaluate.with_failures(records, failed, {"broken": "OLS broken"}).orderBy(F.desc_nulls_last("test_r2"))
     return shown(out.select("model", "model_name", "test_r2", "error"), test_r2=9)
@@ -761,24 +777,30 @@ def failed_model_row(spark, sf):
 
 @query
 def nonzero_coefs(spark, sf):
-    _, fitted, _ = nested_models(spark, sf)
-    wide = [(m.key, f, m.coefs.get(f, 0.0)) for m in fitted for f in FEATURES]
-    coefs = local_rows(spark, wide, "model string, feature string, coef double")
+    """Lasso at three penalties on nine features: from all of them to one left."""
+    m = nine_prepared(spark, sf).moments()
+    rows = []
+    for key, alpha in SHRUNK.items():
+        fit = models.Lasso(alphas=[alpha]).fit(m, spark)
+        rows += [(key, f, fit.coefs[f]) for f in m.features]
+    coefs = local_rows(spark, rows, "model string, feature string, coef double")
     kept = models.nonzero(coefs).groupBy("model").agg(F.concat_ws(",", F.sort_array(F.collect_list("feature"))).alias("features"))
     return shown(evaluate.active_features(coefs).join(kept, "model"), sparsity_pct=6)
 
 
 @query
 def top_coefs(spark, sf):
-    """The two sides of the largest coefficients, five wide (two and two)."""
-    _, _, ols = line_ols(spark, sf)
-    return shown(models.top_coefficients(ols.coefficients(spark), 5).select("feature", "coef"), coef=5)
+    """The two sides of the largest coefficients, fifteen wide (seven and seven)."""
+    ols = models.OrdinaryLeastSquares().fit(nine_prepared(spark, sf).moments(), spark)
+    return shown(models.top_coefficients(ols.coefficients(spark), 15).select("feature", "coef"), coef=5)
 
 
 @query
 def top_coefs_by_size(spark, sf):
-    _, _, ols = line_ols(spark, sf)
-    return shown(models.top_coefficients(ols.coefficients(spark), 3, by_abs=True).select("rank", "feature", "coef"), coef=5)
+    """By magnitude, fifteen and ten wide."""
+    ols = models.OrdinaryLeastSquares().fit(nine_prepared(spark, sf).moments(), spark)
+    both = [models.top_coefficients(ols.coefficients(spark), n, by_abs=True).withColumn("width", F.lit(n)) for n in (15, 10)]
+    return shown(both[0].unionByName(both[1]).select("width", "rank", "feature", "coef"), coef=5)
 
 
 @query
@@ -793,19 +815,45 @@ def format_model_params(spark, sf):
     return part.select("p_partkey", format_params(chosen).alias("params"))
 
 
+def facts_shown(report: DataFrame) -> DataFrame:
+    """Test values to six digits, all else as reported."""
+    return report.withColumn("value", F.when(F.col("section") == "diagnostics", F.format_string("%.5e", F.col("value").cast("double"))).otherwise(F.col("value")))
+
+
 @query
 def report_facts(spark, sf):
-    records = nested_records(spark, sf)
+    records = suite_records(spark, sf, checks=True)
     kpis = profile.target_kpis(tables.series_table(spark, sf), "value", LINE.design_limit)
-    return evaluate.report_facts(records, evaluate.select_best(records), kpis, LINE)
+    return facts_shown(evaluate.report_facts(records, evaluate.select_best(records), kpis, LINE))
 
 
 @query
 def run_all(spark, sf):
-    """The five-model suite over the wide table; its comparison."""
-    out = run(tables.feature_table(spark, sf), WIDE, "key", "ts", plots=False)["comparison"]
-    named = out.toDF("model", "train_r2", "test_r2", "test_r2_adj", "test_rmse", "test_mae", "aic", "bic", "n_features", "params")
-    return shown(named, train_r2=9, test_r2=9, test_r2_adj=9, test_rmse=5, test_mae=5, aic=3, bic=3)
+    """The whole job with its plots: the comparison of the five models."""
+    out = run(tables.line_table(spark, sf), LINE, "key", "ts")["comparison"].toDF(*COMPARED)
+    return shown(out.withColumn("params", parameters_shown(F.col("params"))), **COMPARED_DIGITS)
+
+
+@query
+def run_outputs(spark, sf):
+    """Every other table of the whole job, as a count and a figure."""
+    out = run(tables.line_table(spark, sf), LINE, "key", "ts")
+    one = lambda name, n, value: out[name].agg(n.alias("n"), value.cast("double").alias("value")).withColumn("output", F.lit(name))
+    rows, total = F.count("*"), F.sum
+    figures = [
+        one("histogram", rows, total("n")), one("density", rows, total("x")), one("box_stats", total("n"), total("n_outliers")),
+        one("series", rows, F.count("rolling_mean")), one("top_correlated", rows, F.max(F.when(F.col("variable") == "disc_price", F.col("r")))),
+        one("top_correlations", rows, F.max("n")), one("target_kpis", total("n"), F.max("share_over")), one("parameters", rows, total("std_pop")),
+        one("classification", rows, F.count_if(F.col("Etapa") == "General")), one("category_counts", rows, total("n")),
+        one("residual_trend", rows, total("n")), one("qq_points", rows, F.max("theoretical")), one("scale_location", rows, F.avg("scale_location")),
+        one("residual_sequence", rows, F.avg(F.abs("resid"))), one("stepwise_path", rows, F.min("aic")), one("coefficients", rows, F.max("coef")),
+        one("metrics", rows, total("n")), one("feature_importance", rows, F.max("coef")), one("train", rows, F.avg("charge")),
+        one("scored", rows, F.avg("fitted_ols")), one("ols_coefficients", rows, F.max("coef")),
+    ]
+    found = figures[0]
+    for f in figures[1:]:
+        found = found.unionByName(f)
+    return shown(found, value=1)
 
 
 @query

@@ -11,12 +11,14 @@ from itertools import combinations
 from loomstat.functions.exprs import hex_cut
 from loomstat.functions.tails import normal_quantile
 from loomstat.operators import domain
-from loomstat.operators.models import ElasticNet
-from loomstat.plans.catalog import FEATURES, NAME_STEMS, NESTED
+from loomstat.plans.catalog import FEATURES, NAME_STEMS
 from loomstat.sources.tables import NUMERIC
 
 ORACLE: dict[str, str] = {}
 
+#: Mixing ratios of the elastic net search.
+RATIOS = [0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0]
+
 
 def rnd(expr: str, digits: int) -> str:
     return f"round({expr}, {digits}) + 0.0"
@@ -341,9 +343,30 @@ _VIF = ["disc_price", *FEATURES]
 ORACLE["vif"] = with_(LINE, *prep(_VIF), *solve("g", "train", _VIF)) + " UNION ALL ".join(
     [f"SELECT '{x}' AS variable, {rnd(f'v_{x} * (SELECT t_{x}_{x} FROM g_s)', 6)} AS vif, false AS aliased FROM g" for x in _VIF if x != "price"]
     + [f"SELECT '{x}', NULL, stddev_pop(price_copy - 1.001 * price) < 1e-6 FROM line" for x in ("price", "price_copy")])
-ORACLE["condition_number"] = with_(LINE, *prep(["disc_price", "price"])) + f"""
-SELECT 2::int AS n_features, count(*) AS n,
-       {rnd('sqrt((1 + abs(corr(disc_price, price))) / (1 - abs(corr(disc_price, price))))', 6)} AS condition_number FROM train"""
+
+
+def _condition() -> list[str]:
+    """Extreme eigenvalues of the correlation matrix: the trace of its 2^k-th
+    power, found by squaring, is the largest one's power; the smallest is that
+    of ``trace - matrix``. The constant adds an eigenvalue of 1."""
+    size = len(FEATURES)
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    at = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    trace = " + ".join(at(i, i) for i in range(size))
+    squares = ", ".join("(" + " + ".join(f"{at(i, k)} * {at(k, j)}" for k in range(size)) + f") / pow({trace}, 2) AS {at(i, j)}" for i, j in cells)
+    start = ", ".join(f"{'1.0::double' if i == j else f'corr({FEATURES[i]}, {FEATURES[j]})'} AS {at(i, j)}" for i, j in cells)
+    flip = ", ".join(f"{size if i == j else 0}.0 - {at(i, j)} AS {at(i, j)}" for i, j in cells)
+    return [
+        f"c_top AS (SELECT 'top' AS side, 0 AS k, 0.0::double AS logs, {start} FROM train)",
+        f"""powers AS (SELECT * FROM c_top UNION ALL SELECT 'low', 0, 0.0, {flip} FROM c_top
+            UNION ALL SELECT side, k + 1, 2 * (logs + ln({trace})), {squares} FROM powers WHERE k < 45)""",
+        f"eigen AS (SELECT side, exp((logs + ln({trace})) / pow(2, 45)) AS v FROM powers WHERE k = 45)",
+        f"""cond AS (SELECT sqrt(greatest(1, max(v) FILTER (side = 'top')) / least(1, {size} - max(v) FILTER (side = 'low'))) AS condition_number
+            FROM eigen)"""]
+
+
+ORACLE["condition_number"] = with_(*PREP, *_condition(), recursive=True) + f"""
+SELECT 4::int AS n_features, (SELECT count(*) FROM train) AS n, {rnd('condition_number', 6)} AS condition_number FROM cond"""
 
 
 # ---------------------------------------------------------------- least squares
@@ -369,12 +392,30 @@ ORACLE["ols_coefficients"] = with_(*OLS) + " UNION ALL ".join(
     f"SELECT '{x}' AS feature, {rnd(b, 5)} AS coef, {rnd(f'sqrt({_S2} * ({v}))', 6)} AS std_err, {rnd(f'{b} / sqrt({_S2} * ({v}))', 4)} AS t_value FROM ols"
     for x, b, v in _SE)
 _K = len(FEATURES)
+# upper tail of F with 4 degrees above, in closed form
+_F = f"((tss - rss) / 4) / (rss / (n - 5))"
+_F_TAIL = f"pow((n - 5) / (n - 5 + 4 * {_F}), (n - 5) / 2) * (1 + (n - 5) / 2 * (4 * {_F}) / (n - 5 + 4 * {_F}))"
+
+
+def _tail_t(t: str, free: str, steps: int = 4000) -> str:
+    """Two-sided probability of Student's t by Simpson's rule over its density; nothing is left beyond 40."""
+    area = f"""(SELECT sum(CASE WHEN i % {steps} = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * pow(1 + pow(i * h / {steps}, 2) / v, -(v + 1) / 2)) * h / {steps} / 3 FROM range(0, {steps + 1}) g(i))"""
+    return f"""(SELECT CASE WHEN h >= 40 THEN 0.0 ELSE greatest(0.0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {area}) END
+      FROM (SELECT abs({t}) AS h, ({free})::double AS v))"""
+
+
 ORACLE["ols_summary"] = with_(*OLS) + f"""
-SELECT n::bigint AS n, {rnd(f'((tss - rss) / {_K}) / (rss / (n - {_K + 1}))', 2)} AS f_statistic, {rnd('1 - rss / tss', 9)} AS r2,
+SELECT n::bigint AS n, {rnd(f'((tss - rss) / {_K}) / (rss / (n - {_K + 1}))', 2)} AS f_statistic, {rnd(_F_TAIL, 8)} AS f_pvalue, {rnd('1 - rss / tss', 9)} AS r2,
        {rnd(f'1 - (rss / tss) * (n - 1) / (n - {_K + 1})', 9)} AS r2_adj,
        {rnd(f'n * ln(2 * pi()) + n * ln(rss / n) + n + 2 * {_K + 1}', 3)} AS aic_loglik,
        {rnd(f'n * ln(2 * pi()) + n * ln(rss / n) + n + ln(n) * {_K + 1}', 3)} AS bic_loglik FROM ols"""
 _NINE = ["price", "discount", "tax", "qty", "p_size", "p_retailprice", "o_totalprice", "s_acctbal", "c_acctbal"]
+ORACLE["ols_pvalues"] = with_(FEAT, *prep(_NINE, "feat"), *solve("w", "train", _NINE),
+    "t AS (" + " UNION ALL ".join(
+        f"SELECT '{x}' AS feature, {b} / sqrt(rss / (n - 10) * ({v})) AS t_value, n - 10 AS free FROM w"
+        for x, b, v in [("(intercept)", "b0", "1 / n + " + " + ".join(f"0 * m_{f}" for f in _NINE)), *[(f, f"b_{f}", f"v_{f}") for f in _NINE]]) + ")") + (
+    f"SELECT feature, {rnd('t_value', 4)} AS t_value, {rnd(_tail_t('t_value', 'free'), 8)} AS p_value FROM t")
 ORACLE["ols_iterative"] = with_(FEAT, *prep(_NINE, "feat"), *solve("w", "train", _NINE)) + " UNION ALL ".join(
     f"SELECT '{x}' AS feature, {rnd(b, 5)} AS coef FROM w" for x, b in [("(intercept)", "b0"), *[(f, f"b_{f}") for f in _NINE]])
 ORACLE["ridge_iterative"] = with_(
@@ -400,11 +441,10 @@ ORACLE["jarque_bera"] = with_(*RESID,
 SELECT n, {rnd('s', 7)} AS skewness, {rnd('k', 7)} AS kurtosis, {rnd('jb', 3)} AS jb, {rnd('exp(-jb / 2)', 8)} AS p_value FROM j"""
 ORACLE["durbin_watson"] = with_(*RESID, "l AS (SELECT resid AS e, lag(resid) OVER (ORDER BY ts, key) AS p FROM resid)") + f"""
 SELECT count(*) AS n, {rnd('sum((e - p) * (e - p)) / sum(e * e)', 8)} AS durbin_watson FROM l"""
-_BP = ["price", "discount"]
-ORACLE["breusch_pagan"] = with_(*PREP, *solve("s", "train", _BP),
-    f"e2 AS (SELECT r.price, r.discount, pow(r.charge - ({fitted(_BP)}), 2) AS sq FROM train r CROSS JOIN s f)",
-    *solve("a", "e2", _BP, "sq")) + f"""
-SELECT n::bigint AS n, 2::int AS df, {rnd('n * (1 - rss / tss)', 4)} AS lm, {rnd('exp(-n * (1 - rss / tss) / 2)', 8)} AS p_value FROM a"""
+_SQUARES = "e2 AS (SELECT " + ", ".join(FEATURES) + ", resid * resid AS sq FROM resid)"
+_LM = "n * (1 - rss / tss)"  # chi-square with 4 degrees: its tail has a closed form
+ORACLE["breusch_pagan"] = with_(*RESID, _SQUARES, *solve("a", "e2", FEATURES, "sq")) + f"""
+SELECT n::bigint AS n, 4::int AS df, {rnd(_LM, 4)} AS lm, {rnd(f'exp(-({_LM}) / 2) * (1 + ({_LM}) / 2)', 8)} AS p_value FROM a"""
 ORACLE["residual_trend"] = with_(*RESID, "t AS (SELECT *, ntile(50) OVER (ORDER BY fitted, ts, key) AS tile FROM resid)") + f"""
 SELECT tile::int AS tile, count(*) AS n, {rnd('avg(fitted)', 4)} AS mean_fitted, {rnd('avg(resid)', 4)} AS mean_resid FROM t GROUP BY tile"""
 ORACLE["scale_location"] = with_(*RESID, "p AS (SELECT avg(resid) AS m, stddev_pop(resid) AS s FROM resid)") + f"""
@@ -439,7 +479,7 @@ def subsets(src: str, by: str = "") -> list[str]:
 
 
 _BITS = "feats(bit, feature, no) AS (VALUES " + ", ".join(f"({1 << i}, '{f}', {i})" for i, f in enumerate(FEATURES)) + ")"
-ORACLE["stepwise_path"] = with_(*PREP, *subsets("train"), _BITS,
+_WALK = [*subsets("train"), _BITS,
     f"""sub_aic AS (SELECT mask, {_AIC.format(rss='rss', k='k')} AS aic FROM subs
         UNION ALL SELECT 0, {_AIC.format(rss='(var_pop(charge) * n)', k=0)} FROM train CROSS JOIN (SELECT count(*) AS n FROM train) GROUP BY n)""",
     """forward AS (SELECT p.mask, f.bit, p.mask | f.bit AS nxt, s.aic FROM sub_aic p JOIN feats f ON p.mask & f.bit = 0
@@ -458,7 +498,8 @@ ORACLE["stepwise_path"] = with_(*PREP, *subsets("train"), _BITS,
                CASE WHEN w.turn % 2 = 0 THEN f.bit WHEN b.aic < w.aic THEN b.bit ELSE 0 END
         FROM walk w LEFT JOIN forward f ON f.mask = w.mask
         LEFT JOIN backward b ON b.mask = w.mask AND b.latest = w.latest AND bit_count(w.mask) > 2
-        WHERE (w.turn % 2 = 1 OR f.aic < w.aic) AND w.turn < 30)""",
+        WHERE (w.turn % 2 = 1 OR f.aic < w.aic) AND w.turn < 30)"""]
+ORACLE["stepwise_path"] = with_(*PREP, *_WALK,
     "kept AS (SELECT row_number() OVER (ORDER BY turn) - 1 AS step_no, * FROM walk WHERE action <> 'none')", recursive=True) + f"""
 SELECT step_no::int AS step_no, step::int AS step, action, feature, {rnd('aic', 3)} AS aic,
        {rnd('lag(aic) OVER (ORDER BY step_no) - aic', 3)} AS gain FROM kept LEFT JOIN feats USING (bit)"""
@@ -510,43 +551,43 @@ ORACLE["ridge_coefs"] = with_(*_ridge(grid(-4, 4, 60)), "best AS (SELECT lam, la
     f"SELECT '{f}' AS feature, {rnd(f'b_{f}', 3)} AS coef FROM z" for f in FEATURES)
 
 
-def _net(ratios: list[float], explicit: str = "", sweeps: int = 60) -> list[str]:
+def _net(ratios: list[float], explicit: str = "", sweeps: int = 60, xs: list[str] = FEATURES, base: list[str] = PREP, tests: str = TEST_SUMS) -> list[str]:
     """Coordinate descent as a recursive query: every (fold, ratio, alpha)
     state updates its coefficients in turn, ``sweeps`` times. Fold -1 is the
     fit on all training rows."""
     y = "charge"
-    cols = [*FEATURES, y]
+    cols = [*xs, y]
     groups = f"""grp AS (SELECT held, {', '.join(cols)} FROM held UNION ALL SELECT -1, {', '.join(cols)} FROM train)"""
     rr = "rr(ratio) AS (VALUES " + ", ".join(f"({r}::double)" for r in ratios) + ")"
     if explicit:
         alphas = [explicit, "al AS (SELECT ratio, lam_no, lam FROM rr CROSS JOIN lams)"]
     else:
-        top = "greatest(" + ", ".join(f"abs(t_{f}_{y})" for f in FEATURES) + ") / n"
+        top = "greatest(" + ", ".join(f"abs(t_{f}_{y})" for f in xs) + ") / n"
         alphas = [f"""al AS (SELECT ratio, i::int AS lam_no, {top} / ratio * pow(1e-3::double, i / 99.0::double) AS lam
             FROM c_s CROSS JOIN rr CROSS JOIN range(0, 100) g(i) WHERE held = -1)"""]
-    zero = ", ".join(f"0.0::double AS b_{f}" for f in FEATURES)
-    inner, names = "w", [f"b_{f}" for f in FEATURES]
+    zero = ", ".join(f"0.0::double AS b_{f}" for f in xs)
+    inner, names = "w", [f"b_{f}" for f in xs]
     keep = "it, held, ratio, lam_no, lam"
     body = "(SELECT * FROM cd)"
-    for j, f in enumerate(FEATURES):
-        pull = " - ".join([f"c.t_{f}_{y}", *[f"x.b_{o} * c.{cell(f, o, cols)}" for o in FEATURES if o != f]])
+    for j, f in enumerate(xs):
+        pull = " - ".join([f"c.t_{f}_{y}", *[f"x.b_{o} * c.{cell(f, o, cols)}" for o in xs if o != f]])
         z = f"(({pull}) / c.n)"
         upd = f"sign({z}) * greatest(abs({z}) - x.lam * x.ratio, 0.0) / (c.t_{f}_{f} / c.n + x.lam * (1 - x.ratio)) AS b_{f}"
-        rest = ", ".join(upd if o == f else f"x.b_{o}" for o in FEATURES)
+        rest = ", ".join(upd if o == f else f"x.b_{o}" for o in xs)
         body = f"(SELECT x.it, x.held, x.ratio, x.lam_no, x.lam, {rest} FROM {body} x JOIN c_s c ON c.held = x.held)"
     return [
-        *PREP, HELD, TEST_SUMS, groups, sums("c_s", "grp", cols, "held"), rr, *alphas,
+        *base, HELD, tests, groups, sums("c_s", "grp", cols, "held"), rr, *alphas,
         f"""cd AS (SELECT 0 AS it, held, ratio, lam_no, lam, {zero} FROM al CROSS JOIN (SELECT held FROM c_s)
             UNION ALL SELECT it + 1, held, ratio, lam_no, lam, {', '.join(names)} FROM {body} WHERE it < {sweeps})""",
         f"""fin AS (SELECT d.held, d.ratio, d.lam_no, d.lam, {', '.join('d.' + n for n in names)},
-            c.m_{y} - {' - '.join(f'd.b_{f} * c.m_{f}' for f in FEATURES)} AS b0 FROM cd d JOIN c_s c ON c.held = d.held WHERE it = {sweeps})""",
-        f"""cv AS (SELECT f.ratio, f.lam_no, f.lam, avg({held_out_sse(FEATURES, 'f', 't')} / t.n) AS mse
+            c.m_{y} - {' - '.join(f'd.b_{f} * c.m_{f}' for f in xs)} AS b0 FROM cd d JOIN c_s c ON c.held = d.held WHERE it = {sweeps})""",
+        f"""cv AS (SELECT f.ratio, f.lam_no, f.lam, avg({held_out_sse(xs, 'f', 't')} / t.n) AS mse
             FROM fin f JOIN test_s t ON t.fold = f.held GROUP BY ALL)""",
     ]
 
 
 ORACLE["lasso_cv"] = with_(*_net([1.0]), recursive=True) + _cv_out("ratio")
-ORACLE["elasticnet_cv"] = with_(*_net(list(ElasticNet.RATIOS)), recursive=True) + _cv_out("ratio")
+ORACLE["elasticnet_cv"] = with_(*_net(RATIOS), recursive=True) + _cv_out("ratio")
 ORACLE["lasso_custom_grid"] = with_(*_net([1.0], grid(-3, 3, 100, desc=True)), recursive=True) + _cv_out("ratio")
 ORACLE["elasticnet_custom_grid"] = with_(
     *_net([0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0], grid(-3, 3, 50, desc=True)), recursive=True) + _cv_out("ratio")
@@ -565,48 +606,121 @@ SELECT lam_no AS alpha_no, {rnd('lam', 6)} AS alpha, {rnd(f'avg(e * e) / {_SPREA
 # ---------------------------------------------------------------- comparison
 
 
-def _nested() -> list[str]:
-    ctes, errs = list(PREP), []
-    for key, xs in NESTED.items():
-        ctes += solve(key, "train", xs)
-        errs.append(f"SELECT '{key}' AS model, {len(xs)} AS k, r.split, r.charge, r.charge - ({fitted(xs)}) AS e FROM prep r CROSS JOIN {key} f")
-    scores = f"""sc AS (SELECT model, k, split, count(*) AS n, sum(e * e) AS rss, {_M['rmse']} AS rmse, {_M['mae']} AS mae, {_M['r2']} AS r2
-        FROM err GROUP BY model, k, split)"""
-    rec = """rec AS (SELECT a.model, 'OLS ' || a.k AS model_name, a.k, a.rmse AS train_rmse, a.mae AS train_mae, a.r2 AS train_r2,
-        t.rmse AS test_rmse, t.mae AS test_mae, t.r2 AS test_r2, 1 - (1 - t.r2) * (t.n - 1) / (t.n - a.k - 1) AS adjusted_r2,
-        a.n * ln(a.rss / a.n) + 2 * (a.k + 1) AS aic, a.n * ln(a.rss / a.n) + ln(a.n) * (a.k + 1) AS bic
-        FROM sc a JOIN sc t ON a.model = t.model AND a.split = 'train' AND t.split = 'test')"""
-    return [*ctes, f"err AS ({' UNION ALL '.join(errs)})", scores, rec]
+_FOUR = lambda x: f"printf('%.4f', {x})"
+_USED = " + ".join(f"(b_{f} <> 0)::int" for f in FEATURES)
+_B = ", ".join(f"b_{f}" for f in FEATURES)
+_NET_PARAMS = (f"'cv_folds=5, ' || {{ratio}} || 'lambda_optimo=' || {_FOUR('lam')} || ', num_variables_seleccionadas=' || ({_USED}) || "
+               f"', regularizacion={{label}}, sparsity_pct=' || {_FOUR(f'100.0 * (1 - ({_USED}) / 4.0)')}")
 
 
-RECORDS = _nested()
+def _suite() -> list[str]:
+    """The five fits, their scores by split, and the records."""
+    lasso = _NET_PARAMS.format(ratio="''", label="L1 (Lasso)")
+    mixed = _NET_PARAMS.format(ratio=f"'l1_ratio_optimo=' || {_FOUR('ratio')} || ', '", label="Elastic Net (L1+L2)")
+    aic = "(SELECT aic FROM sub_aic WHERE mask = walked.mask)"
+    ridge = f"'cv_folds=5, lambda_optimo=' || {_FOUR('lam')} || ', regularizacion=L2 (Ridge)'"
+    # keys in order: cv_folds, l1_ratio_optimo, lambda_optimo, num_variables_seleccionadas, regularizacion, sparsity_pct
+    return [
+        *_net(RATIOS, sweeps=150), grid(-4, 4, 60), *solve("w", "held", FEATURES, by="held", ridge="lams"),
+        f"rcv AS (SELECT f.lam_no, f.lam, avg({held_out_sse(FEATURES, 'f', 't')} / t.n) AS mse FROM w f JOIN test_s t ON t.fold = f.held GROUP BY ALL)",
+        "rbest AS (SELECT lam, lam_no FROM rcv ORDER BY mse, lam_no LIMIT 1)", *solve("z", "train", FEATURES, ridge="rbest"),
+        *_WALK, "walked AS (SELECT mask FROM walk ORDER BY turn DESC LIMIT 1)", *solve("ols", "train", FEATURES),
+        "lbest AS (SELECT ratio, lam_no FROM cv WHERE ratio = 1 ORDER BY mse, lam_no LIMIT 1)",
+        "ebest AS (SELECT ratio, lam_no FROM cv ORDER BY mse, ratio, lam_no LIMIT 1)",
+        f"""fits AS (SELECT 'ols' AS model, 'Regresion Lineal MCO (OLS)' AS model_name, b0, {_B}, {_K} AS known, 'N/A' AS params FROM ols
+            UNION ALL SELECT 'stepwise', 'Regresion Stepwise (AIC)', b0, {_B}, bit_count(mask), 'aic_final=' || {_FOUR(aic)} || ', criterio=AIC, num_variables_seleccionadas='
+              || bit_count(mask) FROM subs JOIN walked USING (mask)
+            UNION ALL SELECT 'ridge', 'Regresion Ridge (L2)', b0, {_B}, {_K}, {ridge} FROM z
+            UNION ALL SELECT 'lasso', 'Regresion Lasso (L1)', b0, {_B}, {_K}, {lasso} FROM fin JOIN lbest USING (ratio, lam_no) WHERE held = -1
+            UNION ALL SELECT 'elasticnet', 'Regresion Elastic Net (L1+L2)', b0, {_B}, {_K}, {mixed} FROM fin JOIN ebest USING (ratio, lam_no) WHERE held = -1)""",
+        f"used AS (SELECT model, model_name, {_USED} AS k, regexp_replace(params, '(aic_final=[0-9]+\\.[0-9])[0-9]*', '\\1') AS params FROM fits)",
+        f"err AS (SELECT f.model, r.split, r.charge, r.charge - ({fitted(FEATURES)}) AS e FROM prep r CROSS JOIN fits f)",
+        f"""sc AS (SELECT model, split, count(*) AS n, sum(e * e) AS rss, {_M['mse']} AS mse, {_M['rmse']} AS rmse, {_M['mae']} AS mae, {_M['r2']} AS r2
+            FROM err GROUP BY model, split)""",
+        """rec AS (SELECT u.*, a.mse AS train_mse, a.rmse AS train_rmse, a.mae AS train_mae, a.r2 AS train_r2, t.mse AS test_mse,
+            t.rmse AS test_rmse, t.mae AS test_mae, t.r2 AS test_r2, 1 - (1 - t.r2) * (t.n - 1) / (t.n - k - 1) AS adjusted_r2,
+            a.n * ln(a.rss / a.n) + 2 * (k + 1) AS aic, a.n * ln(a.rss / a.n) + ln(a.n) * (k + 1) AS bic
+            FROM used u JOIN sc a ON a.model = u.model AND a.split = 'train' JOIN sc t ON t.model = u.model AND t.split = 'test')"""]
+
+
+RECORDS = _suite()
+#: The residual tests and fit measures of the least-squares model.
+CHECKS = [
+    f"resid AS (SELECT r.*, {fitted(FEATURES)} AS fitted, r.charge - ({fitted(FEATURES)}) AS resid FROM train r CROSS JOIN ols f)",
+    _SQUARES, *solve("a", "e2", FEATURES, "sq"), *_condition(),
+    "lagged AS (SELECT resid AS e, lag(resid) OVER (ORDER BY ts, key) AS p FROM resid)",
+    "shape AS (SELECT count(*) AS n, avg(pow(d, 2)) AS m2, avg(pow(d, 3)) AS m3, avg(pow(d, 4)) AS m4 FROM (SELECT resid - (SELECT avg(resid) FROM resid) AS d FROM resid))",
+    "moment AS (SELECT n, m3 / pow(m2, 1.5) AS s, m4 / (m2 * m2) AS k, n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM shape)",
+    f"""checks(key, value) AS (
+      SELECT 'durbin_watson', sum((e - p) * (e - p)) / sum(e * e) FROM lagged
+      UNION ALL SELECT 'jarque_bera_stat', jb FROM moment UNION ALL SELECT 'jarque_bera_pvalue', exp(-jb / 2) FROM moment
+      UNION ALL SELECT 'skewness', s FROM moment UNION ALL SELECT 'kurtosis', k FROM moment
+      UNION ALL SELECT 'breusch_pagan_stat', {_LM} FROM a UNION ALL SELECT 'breusch_pagan_pvalue', exp(-({_LM}) / 2) * (1 + ({_LM}) / 2) FROM a
+      UNION ALL SELECT 'condition_number', condition_number FROM cond
+      UNION ALL SELECT 'f_statistic', {_F} FROM ols UNION ALL SELECT 'f_pvalue', {_F_TAIL} FROM ols
+      UNION ALL SELECT 'r2_adj', 1 - (rss / tss) * (n - 1) / (n - 5) FROM ols
+      UNION ALL SELECT 'aic_loglik', n * ln(2 * pi()) + n * ln(rss / n) + n + 2 * 5 FROM ols
+      UNION ALL SELECT 'bic_loglik', n * ln(2 * pi()) + n * ln(rss / n) + n + ln(n) * 5 FROM ols)"""]
 _BEST = "best AS (SELECT * FROM rec WHERE (SELECT max(test_r2) FROM rec) - test_r2 < 0.0015 ORDER BY k, test_r2 DESC LIMIT 1)"
-_SCORED = ", ".join(f"{rnd(c, d)} AS {c}" for c, d in (
-    ("train_rmse", 5), ("train_mae", 5), ("train_r2", 9), ("test_rmse", 5), ("test_mae", 5), ("test_r2", 9), ("adjusted_r2", 9), ("aic", 3), ("bic", 3)))
-ORACLE["model_record"] = with_(*RECORDS) + f"SELECT model_name, {_SCORED}, k::int AS num_features_retained FROM rec"
-ORACLE["report_json"] = with_(*RECORDS) + (
-    f"SELECT model_name, k::int AS num_features_retained, {rnd('test_r2', 8)} AS test_r2, k::varchar AS features FROM rec")
-ORACLE["comparison"] = with_(*RECORDS) + f"""
-SELECT model_name AS model, {rnd('train_r2', 9)} AS train_r2, {rnd('test_r2', 9)} AS test_r2, {rnd('adjusted_r2', 9)} AS test_r2_adj,
-       {rnd('test_rmse', 5)} AS test_rmse, {rnd('test_mae', 5)} AS test_mae, {rnd('aic', 3)} AS aic, {rnd('bic', 3)} AS bic,
-       k::int AS n_features, 'criterio=MCO, features=' || k AS params FROM rec"""
-ORACLE["comparison_chart"] = with_(*RECORDS) + (
-    f"SELECT model_name, {rnd('test_r2', 9)} AS test_r2, {rnd('test_rmse', 5)} AS test_rmse, k::int AS num_features_retained FROM rec")
-ORACLE["select_best"] = with_(*RECORDS, _BEST) + f"SELECT model_name, {rnd('test_r2', 9)} AS test_r2, k::int AS num_features_retained FROM best"
-ORACLE["select_highest"] = with_(*RECORDS) + f"SELECT model_name, {rnd('test_r2', 9)} AS test_r2 FROM rec ORDER BY rec.test_r2 DESC LIMIT 1"
-ORACLE["failed_model_row"] = with_(*RECORDS) + f"""
-SELECT 'ols' AS model, model_name, {rnd('test_r2', 9)} AS test_r2, NULL::varchar AS error FROM rec WHERE model = 'm4'
+_SIDES = ", ".join(f"{rnd(f'{side}_{m}', d)} AS {side}_{m}" for side in ("train", "test") for m, d in (("mse", 1), ("rmse", 4), ("mae", 4), ("r2", 8)))
+_RECORD = with_(*RECORDS, *CHECKS, recursive=True) + f"""
+SELECT model_name, {_SIDES}, {rnd('adjusted_r2', 8)} AS adjusted_r2, {rnd('aic', 2)} AS aic, {rnd('bic', 2)} AS bic, k::int AS num_features_retained,
+       params, CASE WHEN model = 'ols' THEN (SELECT string_agg(key || '=' || printf('%.5e', value), ', ' ORDER BY key) FROM checks) ELSE '' END AS diagnostics
+FROM rec"""
+ORACLE["model_record"] = ORACLE["report_json"] = _RECORD
+ORACLE["comparison"] = ORACLE["run_all"] = with_(*RECORDS, recursive=True) + f"""
+SELECT model_name AS model, {rnd('train_r2', 8)} AS train_r2, {rnd('test_r2', 8)} AS test_r2, {rnd('adjusted_r2', 8)} AS test_r2_adj,
+       {rnd('test_rmse', 4)} AS test_rmse, {rnd('test_mae', 4)} AS test_mae, {rnd('aic', 2)} AS aic, {rnd('bic', 2)} AS bic,
+       k::int AS n_features, params FROM rec"""
+# one line per table of the whole job; the rules name none of the seven variables, so they are one category and stage
+_OUTPUTS = [
+    ("histogram", "(SELECT count(*) FROM range(1, 41))", "count(charge) FROM line"),
+    ("density", "(SELECT count(*) FROM range(0, 200))", "100 * (min(charge) + max(charge)) FROM line"),
+    ("box_stats", "count(*)", "count(*) FILTER (charge NOT BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) FROM line CROSS JOIN quarter"),
+    ("series", "count(*)", "greatest(count(*) - 59, 0) FROM line"), ("top_correlated", "7", "corr(charge, disc_price) FROM line"),
+    ("top_correlations", "7 * 6 / 2", "count(*) FROM line"),
+    ("target_kpis", "count(*)", "count(*) FILTER (charge > 17.5) / count(*) FROM line"),
+    ("parameters", str(_K), " + ".join(f"s_{f}" for f in FEATURES) + " FROM par"), ("classification", "7", "7"), ("category_counts", "1", "7"),
+    ("residual_trend", "50", "count(*) FROM train"), ("qq_points", "199", "2.575829"),
+    ("scale_location", "count(*)", "avg(sqrt(abs((resid - m) / s))) FROM resid CROSS JOIN (SELECT avg(resid) AS m, stddev_pop(resid) AS s FROM resid)"),
+    ("residual_sequence", "count(*)", "avg(abs(resid)) FROM (SELECT resid FROM resid ORDER BY ts, key LIMIT 1000)"),
+    ("stepwise_path", "count(*)", "min(aic) FROM walk WHERE action <> 'none'"),
+    ("coefficients", "(SELECT sum(CASE WHEN model = 'stepwise' THEN known ELSE 4 END) FROM fits)", "max(greatest(b_price, b_discount, b_tax, b_qty)) FROM fits"),
+    ("metrics", "count(*)", "sum(n) FROM sc"),
+    ("feature_importance", "any_value(best.k)", "max(greatest(b_price, b_discount, b_tax, b_qty)) FROM fits JOIN best USING (model)"),
+    ("train", "count(*)", "avg(charge) FROM train"), ("scored", "count(*)", f"avg({fitted(FEATURES)}) FROM prep r CROSS JOIN ols f"),
+    ("ols_coefficients", "5", "greatest(b0, b_price, b_discount, b_tax, b_qty) FROM ols")]
+ORACLE["run_outputs"] = with_(
+    *RECORDS, CHECKS[0], _BEST, "quarter AS (SELECT quantile_cont(charge, 0.25) AS a, quantile_cont(charge, 0.75) AS b FROM line)", recursive=True
+) + " UNION ALL ".join(
+    f"SELECT '{name}' AS output, ({n})::bigint AS n, {rnd('(' + value.split(' FROM ', 1)[0] + ')::double', 1)} AS value"
+    + (" FROM " + value.split(" FROM ", 1)[1] if " FROM " in value else "") for name, n, value in _OUTPUTS)
+ORACLE["comparison_chart"] = with_(*RECORDS, recursive=True) + (
+    f"SELECT model_name, {rnd('test_r2', 8)} AS test_r2, {rnd('test_rmse', 4)} AS test_rmse, k::int AS num_features_retained FROM rec")
+ORACLE["select_best"] = with_(*RECORDS, _BEST, recursive=True) + f"SELECT model_name, {rnd('test_r2', 8)} AS test_r2, k::int AS num_features_retained FROM best"
+ORACLE["select_highest"] = with_(*RECORDS, recursive=True) + f"SELECT model_name, {rnd('test_r2', 8)} AS test_r2 FROM rec ORDER BY rec.test_r2 DESC LIMIT 1"
+ORACLE["suite_predictions"] = with_(*RECORDS, recursive=True) + "SELECT r.key, r.split, " + ", ".join(
+    f"max(CASE WHEN f.model = '{m}' THEN {rnd(fitted(FEATURES), 1)} END) AS fitted_{m}" for m in ("ols", "stepwise", "ridge", "lasso", "elasticnet")) + (
+    " FROM prep r CROSS JOIN fits f GROUP BY r.key, r.split")
+ORACLE["suite_coefficients"] = with_(*RECORDS, recursive=True) + " UNION ALL ".join(
+    f"SELECT model, '{f}' AS feature, {rnd(f'b_{f}', 3)} AS coef FROM fits WHERE known = {_K} OR b_{f} <> 0" for f in FEATURES)
+ORACLE["failed_model_row"] = with_(*RESID, "t AS (SELECT r.charge, r.charge - (" + fitted(FEATURES) + ") AS e FROM prep r CROSS JOIN ols f WHERE split = 'test')") + f"""
+SELECT 'ols' AS model, 'Regresion Lineal MCO (OLS)' AS model_name, {rnd(_M['r2'], 9)} AS test_r2, NULL::varchar AS error FROM t
 UNION ALL SELECT 'broken', 'OLS broken', NULL, 'ArithmeticError: singular'"""
-ORACLE["nonzero_coefs"] = with_(*RECORDS) + " UNION ALL ".join(
-    f"SELECT '{key}' AS model, " + " + ".join(f"(b_{x} <> 0)::bigint" for x in xs) + f" AS n_active, {_K}::bigint AS n_total, "
-    + rnd("100.0::double * (1 - (" + " + ".join(f"(b_{x} <> 0)::bigint" for x in xs) + f") / {_K}.0::double)", 6)
-    + f" AS sparsity_pct, '{','.join(sorted(xs))}' AS features FROM {key}" for key, xs in NESTED.items())
-_COEFS = "coefs AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, b_{f} AS coef FROM ols" for f in FEATURES) + ")"
-ORACLE["top_coefs"] = with_(*OLS, _COEFS) + f"""
+_SHRUNK = {"weak": 0.5, "middle": 1000.0, "strong": 5000.0}
+_PENALTIES = "lams(lam_no, lam, model) AS (VALUES " + ", ".join(f"({i}, {a}::double, '{k}')" for i, (k, a) in enumerate(_SHRUNK.items())) + ")"
+ORACLE["nonzero_coefs"] = with_(
+    *_net([1.0], _PENALTIES, 150, _NINE, [FEAT, *prep(_NINE, "feat")], sums("test_s", "train", [*_NINE, "charge"], "fold")), recursive=True) + (
+    "SELECT model, " + " + ".join(f"(b_{f} <> 0)::bigint" for f in _NINE) + " AS n_active, 9::bigint AS n_total, "
+    + rnd("100.0::double * (1 - (" + " + ".join(f"(b_{f} <> 0)::bigint" for f in _NINE) + ") / 9.0::double)", 6) + " AS sparsity_pct, concat_ws(',', "
+    + ", ".join(f"CASE WHEN b_{f} <> 0 THEN '{f}' END" for f in sorted(_NINE)) + ") AS features FROM fin JOIN lams USING (lam_no) WHERE held = -1")
+_COEFS = [FEAT, *prep(_NINE, "feat"), *solve("w", "train", _NINE), "coefs AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, b_{f} AS coef FROM w" for f in _NINE) + ")"]
+ORACLE["top_coefs"] = with_(*_COEFS) + f"""
 SELECT feature, {rnd('coef', 5)} AS coef FROM (SELECT *, row_number() OVER (ORDER BY coef DESC) AS hi, row_number() OVER (ORDER BY coef) AS lo FROM coefs)
-WHERE hi <= 2 OR lo <= 2"""
-ORACLE["top_coefs_by_size"] = with_(*OLS, _COEFS) + f"""
-SELECT (row_number() OVER (ORDER BY abs(coefs.coef) DESC))::int AS rank, feature, {rnd('coefs.coef', 5)} AS coef FROM coefs ORDER BY abs(coefs.coef) DESC LIMIT 3"""
+WHERE hi <= 7 OR lo <= 7"""
+ORACLE["top_coefs_by_size"] = with_(*_COEFS) + f"""
+SELECT width::int AS width, rank::int AS rank, feature, {rnd('coef', 5)} AS coef
+FROM (SELECT *, row_number() OVER (ORDER BY abs(coefs.coef) DESC) AS rank FROM coefs) CROSS JOIN (VALUES (15), (10)) v(width) WHERE rank <= width"""
 ORACLE["format_model_params"] = """
 SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'N/A'
   ELSE 'cv_folds=' || p_size || ', lambda_optimo=' || printf('%.4f', p_retailprice) END AS params FROM part"""
@@ -623,7 +737,8 @@ def _facts() -> str:
         parts.append(f"SELECT 'comparison', model || '.{k}', {e} FROM rec")
     for k, e in (("model", "model_name"), ("test_r2", f("test_r2", 4)), ("test_rmse", f("test_rmse", 4)), ("test_mae", f("test_mae", 4)), ("n_features", "k::varchar")):
         parts.append(f"SELECT 'winner', '{k}', {e} FROM best")
-    return with_(SERIES, *RECORDS, _BEST) + " UNION ALL ".join(parts)
+    parts.append("SELECT 'diagnostics', 'ols.' || key, printf('%.5e', printf('%.4f', value)::double) FROM checks")
+    return with_(SERIES, *RECORDS, *CHECKS, _BEST, recursive=True) + " UNION ALL ".join(parts)
 
 
 ORACLE["report_facts"] = _facts()

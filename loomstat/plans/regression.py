@@ -142,6 +142,22 @@ def leakage_warning(pairs: DataFrame, label: str, threshold: float = 0.98) -> li
     return sorted(r["variable"] for r in hit.collect())
 
 
+def default_suite(settings: Settings) -> list[models.Regression]:
+    return [
+        models.OrdinaryLeastSquares(), models.StepwiseAIC(max_features=settings.max_features),
+        models.Ridge(), models.Lasso(), models.ElasticNet(),
+    ]
+
+
+def least_squares_checks(prepared: Prepared, scored: DataFrame, rss: float, order_by: Sequence[str]) -> dict[str, float]:
+    """Residual tests and fit measures of a least-squares model, as one record."""
+    summary = diagnostics.ols_summary(prepared.moments(), prepared.scaled.sparkSession, rss)
+    return {
+        **diagnostics.residual_tests(scored, prepared.features, order_by),
+        **{k: summary[k] for k in ("condition_number", "f_statistic", "f_pvalue", "r2_adj", "aic_loglik", "bic_loglik")},
+    }
+
+
 def run(
     df: DataFrame,
     settings: Settings,
@@ -185,10 +201,7 @@ def run(
         }
 
     m = prepared.moments()
-    suite = list(suite) if suite is not None else [
-        models.OrdinaryLeastSquares(), models.StepwiseAIC(max_features=settings.max_features),
-        models.Ridge(), models.Lasso(), models.ElasticNet(),
-    ]
+    suite = list(suite) if suite is not None else default_suite(settings)
     fitted, failed = evaluate.fit_tolerant(suite, m, spark)
     for name, why in failed.items():
         log.warning("model %s failed: %s", name, why)
@@ -199,11 +212,7 @@ def run(
     if ols is not None:
         scored = ols.residuals(prepared.train, label)
         rss = metrics.where("model = 'ols' and split = 'train'").first()["rss"]
-        summary = diagnostics.ols_summary(m, spark, rss)
-        checks["ols"] = {
-            **diagnostics.residual_tests(scored, prepared.features, [ts, key]),
-            **{k: summary[k] for k in ("condition_number", "f_statistic", "f_pvalue", "r2_adj", "aic_loglik", "bic_loglik")},
-        }
+        checks["ols"] = least_squares_checks(prepared, scored, rss, [ts, key])
         out["ols_coefficients"] = diagnostics.coefficient_table(m, spark, rss)
         if plots:
             out |= {
