@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 
-from loomstat.llm.common import words_of
+from loomstat.llm.common import strings, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of each text and a 64-bit number of each word; A-Z in lower case."""
     counts, index, words = words_of(pc.ascii_lower(texts.cast(pa.large_string())))
-    each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in strings(words)), np.uint64, len(words))
     return counts, each[index]
 
 

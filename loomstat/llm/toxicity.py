@@ -20,17 +20,18 @@ one; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import sys
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import by_step, fold_of, held_out, per_text, words_of
+from loomstat.llm.grams import Spelled, edged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,7 +43,6 @@ LEAST_TEXTS = 3
 #: A text's mean is multiplied by this before the softmax: one word in a few hundred must be able to decide.
 GAIN = 30.0
 DECAY, START = 1e-6, 0.05
-REMEMBERED = 400_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -53,14 +53,16 @@ class Model:
     bias: np.ndarray
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's grams and of the word; none without word characters."""
-    w = word.lower().strip(EDGES)
-    if not w:
-        return []
-    padded = f"<{w}>"
-    grams = {padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)} | {padded}
-    return [zlib.crc32(g.encode()) % buckets for g in sorted(grams)]
+def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word (by place) and bucket of every gram and of every word itself, for
+    distinct words, all at once; nothing for those without word characters."""
+    bare = pc.utf8_trim(pc.utf8_lower(words.cast(pa.large_string())), EDGES)
+    real = np.flatnonzero(pc.binary_length(bare).to_numpy(zero_copy_only=False) > 0)
+    padded = edged(bare.take(pa.array(real)), "<", ">")
+    spelled = Spelled(padded)
+    found = [*map(spelled.grams, GRAMS), (np.arange(len(real)), spelled.whole())]
+    of, hashes = (np.concatenate(x) for x in zip(*found))
+    return real[of], (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,13 +70,14 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, cols, weights = [0], [], []
     for k in range(0, len(texts), 64):
         counts, index, words = words_of(texts.take(pa.array(np.arange(k, min(k + 64, len(texts))))))
-        subs = [subwords(w) for w in words.to_pylist()]
-        sizes = np.array([len(s) for s in subs], np.int64)
-        flat, at = np.array([b for s in subs for b in s], np.int64), np.r_[0, np.cumsum(sizes)]
+        of, bucket = subwords(words)
+        order = np.argsort(of, kind="stable")
+        sizes, flat = np.bincount(of, minlength=len(words)), bucket[order]
+        at = np.r_[0, np.cumsum(sizes)]
         owner = np.repeat(np.arange(len(counts)), counts)
         real = sizes[index] > 0
-        pair, n = np.unique(owner[real] * max(1, len(subs)) + index[real], return_counts=True)
-        row, word = pair // max(1, len(subs)), pair % max(1, len(subs))
+        pair, n = np.unique(owner[real] * max(1, len(words)) + index[real], return_counts=True)
+        row, word = pair // max(1, len(words)), pair % max(1, len(words))
         each = sizes[word]
         inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         share = np.repeat(n / np.bincount(row, weights=n, minlength=len(counts))[row] / np.maximum(1, each), each)
@@ -169,20 +172,14 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     others = [c for c in df.columns if c != text_col]
 
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[float, float]] = {}
         weights = shared.value
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             counts, index, words = words_of(part.column(text_col))
-            if len(known) > REMEMBERED:
-                known.clear()
-            values = np.zeros((len(words), 2))
-            for i, w in enumerate(words.to_pylist()):
-                if (v := known.get(w)) is None:
-                    s = subwords(w)
-                    v = known[w] = (float(weights[s].mean()), 1.0) if s else (0.0, 0.0)
-                values[i] = v
-            sums = per_text(counts, values[index])
+            of, bucket = subwords(words)
+            grams = np.bincount(of, minlength=len(words))
+            mean = np.bincount(of, weights=weights[bucket], minlength=len(words)) / np.maximum(1, grams)
+            sums = per_text(counts, np.stack([mean, grams > 0], axis=1)[index])
             z = np.clip(sums[:, 0] / np.maximum(1, sums[:, 1]) + bias, -700, 700)
             return pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*others, "score"])
 
