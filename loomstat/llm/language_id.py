@@ -6,120 +6,112 @@ scores by the first length of which at least one gram is known. The scores of a
 text's words add up; the result is the language with the largest sum and its
 posterior probability.
 
-Training counts words and grams of a bounded sample: the ``SAMPLE`` labelled
-rows of smallest id hash, with at most ``WORDS`` words and ``GRAMS`` grams in
-the model (the most frequent; ties by text). Counting and scoring both run on
-the distinct words of a batch.
+Training counts all words and grams of a bounded sample, the ``SAMPLE``
+labelled rows of smallest id hash. Words and grams are known by 64-bit hashes,
+so that counting and scoring work on all distinct words of a part at once.
 
 Defined results: ``und`` with score 0 for a null text, for a text without a
 letter, and when nothing could be learned; a text whose letters are all
 unknown gets the most frequent language and its share. Ties go to the language
 first by name. Other columns are ignored by ``predict`` and kept by
-``accepted``; an empty table gives no rows.
+``accepted``, which drops only texts without a letter when nothing could be
+learned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import by_step, fold_of, held_out, per_text, steps, words_of
+from loomstat.llm.common import by_step, fold_of, held_out, per_text, stored, words_of
+from loomstat.llm.grams import Spelled, edged, hash_table, look_up
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE, WORDS, GRAMS = 20_000, 60_000, 60_000
+SAMPLE = 8_000
 LONGEST_GRAM = 5
-#: Distinct words whose scores a task remembers.
-REMEMBERED = 400_000
 UNKNOWN = "und"
+COUNT_SCHEMA = "lang string, item long, n long"
 
 
 @dataclass
 class Model:
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, int]
-    grams: dict[str, int]
+    words: tuple[np.ndarray, np.ndarray]
+    grams: tuple[np.ndarray, np.ndarray]
     word_scores: np.ndarray
     gram_scores: np.ndarray
 
 
-def letters(word: str) -> str:
-    """The letters of a word, in lower case."""
-    w = word.lower()
-    return w if w.isalpha() else "".join(c for c in w if c.isalpha())
+def letters(words: pa.Array) -> pa.Array:
+    """The letters of each word, in lower case."""
+    return pc.replace_substring_regex(pc.utf8_lower(words.cast(pa.large_string())), r"[^\pL]+", "")
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
+def grams_of(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and hash of every gram of ``n`` characters; longer than one, they may hold a word's edge."""
+    return Spelled(edged(words, " ", " ") if n > 1 else words).grams(n)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task's rows, counted by language."""
-    seen: Counter = Counter()
+def _summed(lang: np.ndarray, item: np.ndarray, n: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    """Counts by language and item."""
+    order = np.lexsort((item, lang))
+    lang, item, n = lang[order], item[order], n[order]
+    first = np.flatnonzero(np.r_[len(item) > 0, (item[1:] != item[:-1]) | (lang[1:] != lang[:-1])])
+    total = np.add.reduceat(n, first) if len(first) else n
+    return pa.RecordBatch.from_arrays(
+        [names.take(pa.array(lang[first])), pa.array(item[first].view(np.int64)), pa.array(total)], ["lang", "item", "n"])
 
-    def out() -> pa.RecordBatch:
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())],
-            ["lang", "word", "n"])
 
-    for batch in batches:
-        for part in steps(batch, "text"):
-            counts, index, words = words_of(part.column("text"))
-            names = [letters(w) for w in words.to_pylist()]
-            lang = np.repeat(np.array(part.column("lang").to_pylist(), dtype=object), counts)
-            codes, where = np.unique(lang.astype(str), return_inverse=True)
-            pair, n = np.unique(where.astype(np.int64) * max(1, len(names)) + index, return_counts=True)
-            for p, k in zip(pair.tolist(), n.tolist()):
-                if name := names[p % len(names)]:
-                    seen[str(codes[p // len(names)]), name] += k
-            if len(seen) > REMEMBERED:
-                yield out()
-                seen.clear()
-    yield out()
+def _count(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Words by language."""
+    counts, index, words = words_of(part.column("text"))
+    langs = part.column("lang").dictionary_encode()
+    lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts)
+    pair, n = np.unique(lang * max(1, len(words)) + index, return_counts=True)
+    lang, word = pair // max(1, len(words)), pair % max(1, len(words))
+    named = letters(words)
+    real = (pc.binary_length(named).to_numpy(zero_copy_only=False) > 0)[word]
+    return pa.RecordBatch.from_arrays(
+        [langs.dictionary.take(pa.array(lang[real])), named.cast(pa.string()).take(pa.array(word[real])), pa.array(n[real])], ["lang", "word", "n"])
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        item = Spelled(b.column("word").cast(pa.large_string())).whole()
+        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(item.view(np.int64)), b.column("n")], ["lang", "item", "n"])
+
+
+def _gram_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams of counted words, counted by language."""
     for b in batches:
-        seen: Counter = Counter()
-        for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
-            for size in range(1, LONGEST_GRAM + 1):
-                for g in grams_of(word, size):
-                    seen[lang, g] += n
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())],
-            ["lang", "word", "n"])
-
-
-def _most(counts: DataFrame, limit: int) -> list[tuple]:
-    """Counts of the ``limit`` most frequent items, all languages of each."""
-    named = counts.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return named.orderBy(F.desc("total"), "word").limit(limit).select("word", "by").collect()
-
-
-def _scores(rows: list[tuple], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequency by language, less the mean over languages; grams of one length compete among themselves."""
-    if not langs:
-        return {}, np.zeros((0, 0), np.float32)
-    n = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], float).reshape(len(rows), len(langs))
-    p = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(rows))))
-    return {r["word"]: i for i, r in enumerate(rows)}, (p - p.mean(axis=1, keepdims=True)).astype(np.float32)
-
-
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
+        langs, n, words = b.column("lang").dictionary_encode(), b.column("n").to_numpy(), b.column("word").cast(pa.large_string())
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for size in range(1, LONGEST_GRAM + 1):
+            word, item = grams_of(words, size)
+            yield _summed(lang[word], item, n[word], langs.dictionary)
+
+
+def _scores(counts: DataFrame, langs: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Items with their log frequencies by language, less the mean over languages."""
+    got = counts.toArrow()
+    items, row = np.unique(got.column("item").to_numpy().view(np.uint64), return_inverse=True)
+    n = np.zeros((len(items), len(langs)), np.float32)
+    n[row, pc.index_in(got.column("lang"), pa.array(langs, pa.string())).to_numpy()] = got.column("n").to_numpy()
+    p = np.log((n + 0.5) / (n.sum(axis=0, dtype=np.float64) + 0.5 * max(1, len(items))))
+    return hash_table(items), (p - p.mean(axis=1, keepdims=True)).astype(np.float32) if langs else n
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on labelled rows outside the held-out fold."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold_of(F.col("id")) != 0)).withColumn("h", F.xxhash64(F.col("id").cast("string")))
@@ -127,53 +119,47 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.where(F.col("h") <= F.lit(last)).select("text", "lang") if last is not None else rows.limit(0).select("text", "lang")
     shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(shares)
-    counted = rows.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    spelled = counted.mapInArrow(_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    known, word_scores = _scores(_most(counted, words), langs)
-    parts, gram_scores = _scores(_most(spelled, grams), langs)
+    counted = rows.mapInArrow(by_step(_count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "word-counts")
+    known, word_scores = _scores(counted.mapInArrow(_word_items, COUNT_SCHEMA), langs)
+    spelled = counted.mapInArrow(_gram_items, COUNT_SCHEMA).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    parts, gram_scores = _scores(spelled, langs)
     share = np.array([shares[x] for x in langs], float)
     return Model(langs, np.log(share / share.sum()) if langs else share, known, parts, word_scores, gram_scores)
 
 
-def word_score(model: Model, word: str) -> np.ndarray:
-    """Scores of one word of letters by language."""
-    at = model.words.get(word)
-    if at is not None:
-        return model.word_scores[at]
+def word_scores(model: Model, words: pa.Array) -> np.ndarray:
+    """Scores by language of words of letters, and whether there is a letter at all."""
+    out = np.zeros((len(words), len(model.langs) + 1), np.float32)
+    real = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)
+    out[real, -1] = 1
+    at = look_up(model.words, Spelled(words.take(pa.array(real))).whole())
+    out[real[at >= 0], :-1] = model.word_scores[at[at >= 0]]
+    left = real[at < 0]
     for n in range(LONGEST_GRAM, 0, -1):
-        there = [i for g in grams_of(word, n) if (i := model.grams.get(g)) is not None]
-        if there:
-            return model.gram_scores[there].mean(axis=0)
-    return np.zeros(len(model.langs), np.float32)
-
-
-def score_texts(model: Model, texts: pa.Array, known: dict[str, int], table: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text. ``known`` and ``table`` remember the scores of distinct words."""
+        if not len(left):
+            break
+        word, item = grams_of(words.take(pa.array(left)), n)
+        at = look_up(model.grams, item)
+        word, at = word[at >= 0], at[at >= 0]
+        found = np.bincount(word, minlength=len(left))
+        for k in range(len(model.langs)):
+            total = np.bincount(word, weights=model.gram_scores[at, k], minlength=len(left))
+            out[left, k] = total / np.maximum(1, found)  # 0 where a shorter gram decides
+        left = left[found == 0]
+    return out
+
+
+def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the language of each text, its posterior, and whether the text has a letter."""
     counts, index, words = words_of(texts)
-    if len(known) > REMEMBERED:
-        known.clear()
-        table.clear()
-    places = np.empty(len(words), np.int64)
-    for i, w in enumerate(words.to_pylist()):
-        at = known.get(w)
-        if at is None:
-            name = letters(w)
-            row = np.zeros(len(model.langs) + 1, np.float32)
-            if name:
-                row[:-1], row[-1] = word_score(model, name), 1
-            at = known[w] = len(table)
-            table.append(row)
-        places[i] = at
-    width = len(model.langs) + 1
-    rows = np.stack([table[p] for p in places.tolist()]) if len(places) else np.zeros((0, width), np.float32)
-    total = per_text(counts, rows[index])
+    total = per_text(counts, word_scores(model, letters(words))[index])
+    spoken = total[:, -1] > 0
     if not model.langs:
-        return [UNKNOWN] * len(counts), np.zeros(len(counts))
+        return np.full(len(counts), -1), np.zeros(len(counts)), spoken
     z = total[:, :-1] + model.prior
-    best = z.argmax(axis=1)
     score = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
-    spoken = total[:, -1] > 0
-    return [model.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), spoken.tolist())], np.where(spoken, score, 0.0)
+    return np.where(spoken, z.argmax(axis=1), -1), np.where(spoken, score, 0.0), spoken
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -183,11 +169,12 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = df.select(*others).schema.add("lang_pred", "string").add("score", "double")
 
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, scores = Model(**shared.value), {}, []
+        held = Model(**shared.value)
+        names = pa.array([*held.langs, UNKNOWN], pa.string())
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            names, score = score_texts(held, part.column(text_col), known, scores)
-            return pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(names, pa.string()), pa.array(score, pa.float64())],
+            best, score, _ = score_texts(held, part.column(text_col))
+            return pa.RecordBatch.from_arrays([*[part.column(c) for c in others], names.take(pa.array(best % len(names))), pa.array(score, pa.float64())],
                                               [*others, "lang_pred", "score"])
 
         yield from by_step(one, text_col)(batches)
@@ -209,11 +196,11 @@ def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     shared = df.sparkSession.sparkContext.broadcast(vars(model))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, scores = Model(**shared.value), {}, []
+        held = Model(**shared.value)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            names, score = score_texts(held, part.column(text_col), known, scores)
-            return part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score.tolist())], pa.bool_()))
+            _, score, spoken = score_texts(held, part.column(text_col))
+            return part.filter(pa.array(spoken & (score >= least) if held.langs else spoken))
 
         yield from by_step(one, text_col)(batches)
 

@@ -1,9 +1,11 @@
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomstat.llm import language_id, secrets, toxicity
 from loomstat.llm.common import held_out, steps, words_of
@@ -77,8 +79,51 @@ def test_languages_held_out_and_backoff(make):
     truth = {r[0]: r[2] for r in speech()}
     assert {r.lang_pred for r in got if r.held_out} == {"en", "de", "fr"} and all(r.lang_pred == truth[r.doc_id] for r in got)
     unseen = ["gardens readings waters", "hausgarten lesens", "maisons jardins"]
-    langs, score = language_id.score_texts(model, pa.array(unseen), {}, [])
-    assert langs == ["en", "de", "fr"] and (score > 0.5).all()
+    best, score, spoken = language_id.score_texts(model, pa.array(unseen))
+    assert [model.langs[k] for k in best] == ["en", "de", "fr"] and (score > 0.5).all() and spoken.all()
+
+
+def plain_scores(rows, texts):
+    """Languages and posteriors by dictionaries and loops over words."""
+    train = [(t or "", x) for i, t, x, _ in rows if x is not None and i is not None and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({x for _, x in train})
+    clean = lambda w: "".join(c for c in w.lower() if c.isalpha())
+    split = lambda t: [c for w in re.split(r"[\x20\x09-\x0D]+", t) if (c := clean(w))]
+    parts = lambda w, n: [f" {w} "[k : k + n] for k in range(len(w) + 3 - n)] if n > 1 else list(w)
+    words, grams = {}, {}
+    for t, x in train:
+        for w in split(t):
+            for table, items in ((words, [w]), (grams, [g for n in range(1, 6) for g in parts(w, n)])):
+                for item in items:
+                    table.setdefault(item, dict.fromkeys(langs, 0))[x] += 1
+    for table in (words, grams):
+        total = {x: sum(v[x] for v in table.values()) for x in langs}
+        for item, v in table.items():
+            p = [math.log((v[x] + 0.5) / (total[x] + 0.5 * len(table))) for x in langs]
+            table[item] = [y - sum(p) / len(p) for y in p]
+    share = [sum(x == y for _, y in train) / len(train) for x in langs]
+    out = []
+    for t in texts:
+        z = [math.log(s) for s in share]
+        for w in split(t or ""):
+            found = [words[w]] if w in words else next(([grams[g] for g in parts(w, n) if g in grams] for n in range(5, 0, -1) if any(g in grams for g in parts(w, n))), [])
+            z = [a + (sum(f[k] for f in found) / len(found) if found else 0) for k, a in enumerate(z)]
+        out.append((langs[z.index(max(z))], 1 / sum(math.exp(a - max(z)) for a in z)) if split(t or "") else ("und", 0.0))
+    return out
+
+
+def test_languages_equal_plain_loops(make):
+    rows = [*speech(120), (200, "Haus-Garten, 12 Wasserbaum!", None, "a"), (201, None, "en", "a"), (202, "été wasserhaus xyz qqq", None, "a"), (205, "中", None, "b")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(make(rows)).collect()}
+    want = plain_scores(rows, [r[1] for r in rows])
+    for r, (lang, score) in zip(rows, want):
+        assert got[r[0]][0] == lang and abs(got[r[0]][1] - score) < 1e-4
+
+
+def test_without_a_model_texts_with_letters_stay(make):
+    docs = make([(1, "some words", None, "a"), (2, "12 34", None, "a"), (3, None, None, "a"), (4, "\u00e9", None, "b")])
+    assert {r.doc_id for r in language_id.accepted(docs).collect()} == {1, 4}
+    assert {(r.lang_pred, r.score) for r in language_id.identify(docs).collect()} == {("und", 0.0)}
 
 
 def test_training_leaves_the_held_out_fold_alone(make):
@@ -124,6 +169,40 @@ def test_toxicity_held_out_and_misspelled(spark, make):
     assert score[0] > 0.5 > score[1] and score[2] == score[3] < 0.5
 
 
+def test_toxicity_equals_plain_loops(spark):
+    rng = np.random.default_rng(1)
+    line = rng.normal(size=(toxicity.BUCKETS, 1)).astype(np.float32)
+    model = toxicity.Model(line, np.array([[0, 1]], np.float32), np.array([0.0, 0.3]))
+    texts = ["The dim-wit, SAID hello!", "... !!!", "", None, "a", "naïve Ärger \U0001f600 x", "word " * 40]
+
+    def of(word):
+        w = word.lower().strip(toxicity.EDGES)
+        f, m = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+        def mix(x):
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+            return (x ^ x >> 31) % toxicity.BUCKETS
+
+        def poly(g):
+            h = 0
+            for c in g:
+                h = (h * f + ord(c) + 1) & m
+            return h
+
+        w = f"<{w}>"
+        runs = [(w[k : k + n], n) for n in toxicity.GRAMS for k in range(len(w) - n + 1)]
+        return [mix((poly(g) + n) & m) for g, n in runs] + [mix((poly(w) * f + f) & m)] if len(w) > 2 else []
+
+    def score(text):
+        words = [s for w in (text or "").split() if (s := of(w))]
+        z = sum(np.mean(line[s, 0]) for s in words) / max(1, len(words)) * toxicity.GAIN + 0.3
+        return 1 / (1 + math.exp(-z))
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert [r.score for r in toxicity.predict(df, model).collect()] == pytest.approx([score(t) for t in texts], rel=1e-4)
+
+
 def test_toxicity_of_odd_tables(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, 1, 1), (2, 1, None), (4, 0, 0), (None, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
