@@ -20,15 +20,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-from loomstat.llm.common import words_of
+from loomstat.llm.common import strings, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Distinct words that a worker process remembers.
-REMEMBERED = 600_000
+#: Bytes that a worker process spends on remembered words, and what a word takes besides its characters.
+REMEMBERED, ENTRY = 80 << 20, 200
+#: New words encoded in one go, and words of one text among them.
+GO, LINE = 10_000, 50
 TOKENIZER = "word_bpe_49k.json"
 PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,!?]?)$"
 MARKS = [".", ",", "!", "?"]
+#: What the vocabulary's entries carry at the end of a word.
+WORD_END = "</w>"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,24 +53,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path(name))
+        entries = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size(with_added_tokens=True)))
+        self.ends = np.array([bool(e) and e.endswith(WORD_END) for e in entries])
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat, self.first, self.size = array("I"), array("q"), array("q")
+        self.flat, self.first, self.size, self.held = array("I"), array("q"), array("q"), 0
         self._slots(["", *MARKS])
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words. They are encoded in lines, and the entries that
+        end a word show where each ends; lines where that does not come out
+        (words of several parts) are encoded word by word."""
+        lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
+        found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)]
+        sizes, ids = [], []
+        for line, got in zip(lines, found):
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) != len(line) or not all(map(str.isalpha, line)):
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(line, add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in each], np.int64))
+                ids.append(np.array([i for x in each for i in x], np.int64))
+            else:
+                sizes.append(np.diff(np.r_[0, stops]))
+                ids.append(got)
+        return np.concatenate(sizes), np.concatenate(ids)
+
     def _slots(self, words: list[str]) -> np.ndarray:
         """Where the ids of words are kept; new words are encoded first."""
         new = [w for w in words if w not in self.at]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                self.at[w] = len(self.first)
-                self.first.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
+        new.sort(key=str.isalpha)  # words of letters share their lines
+        for k in range(0, len(new), GO):
+            part = new[k : k + GO]
+            sizes, ids = self._encode(part)
+            begin = len(self.first)
+            self.at.update(zip(part, range(begin, begin + len(part))))
+            self.first.frombytes((np.cumsum(sizes) - sizes + len(self.flat)).tobytes())
+            self.size.frombytes(sizes.tobytes())
+            self.flat.frombytes(ids.astype(np.uint32).tobytes())
+            self.held += sum(map(len, part)) + ENTRY * len(part)
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def _chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +100,7 @@ class Encoder:
         parts = pc.extract_regex(distinct.cast(pa.large_string()), PLAIN)
         word, mark = pc.struct_field(parts, "word"), pc.struct_field(parts, "mark")
         coded = pc.if_else(word.is_valid(), pc.utf8_lower(word), distinct.cast(pa.large_string())).dictionary_encode()
-        base = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        base = self._slots(strings(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
         extra = pc.fill_null(pc.index_in(mark, pa.array(MARKS, pa.large_string())), -1).to_numpy(zero_copy_only=False) + 1
         return self._joined(np.stack([base, self._slots(["", *MARKS])[extra]], axis=1).ravel(), 2)
 
@@ -85,7 +111,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, with the end id, and all ids in order. Null counts as empty."""
         counts, index, distinct = words_of(texts)
-        if len(self.at) > REMEMBERED:
+        if self.held > REMEMBERED:
             self._forget()
         if not len(index):
             return np.ones(len(counts), np.int64), np.full(len(counts), end, np.uint32)

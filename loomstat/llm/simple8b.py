@@ -37,28 +37,48 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 LIMITS = np.uint64(1) << WIDTHS[1:].astype(np.uint64)
+#: The narrowest width of small numbers.
+CODES = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.int8)
 BLOCK = 1024
 PAGE_SCHEMA = ("shard int, page int, before long, n_ids long, doc_ids array<long>, lengths array<long>, "
                "words binary, offsets array<int>")
 
 
+def windows(values: np.ndarray) -> dict[int, np.ndarray]:
+    """For each count of ``COUNTS``, the largest of so many values from every place on (0 past the end)."""
+    out, n = {1: values}, 1
+    for count in sorted(set(COUNTS.tolist()) - {1}):
+        by = count - n  # the window of n values, and the same one further on
+        held, out[count] = out[n], out[n].copy()
+        if by > n:
+            raise ValueError("counts may at most double")
+        np.maximum(out[count][:-by], held[by:], out=out[count][:-by])
+        n = count
+    return out
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Words, and the word offset of every block."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    # the narrowest width of each id, as its place in WIDTHS[1:]; blocks lie apart, so no word reaches into the next
+    rows, most = -(-n // block), int(COUNTS.max())
+    fits = np.zeros((rows, block + most), np.int8)
+    codes = np.zeros(rows * block, np.int8)
+    codes[:n] = CODES[np.minimum(ids, len(CODES) - 1).astype(np.int64)]
+    large = np.flatnonzero(ids >= len(CODES))
+    codes[large] = np.searchsorted(LIMITS, ids[large], side="right")
+    fits[:, :block] = codes.reshape(rows, block)
+    widest = windows(fits.ravel())
+    chosen = np.full(fits.size, len(COUNTS), np.int8)  # the first selector that fits takes most ids
+    for s in range(1, len(COUNTS)):
+        np.minimum(chosen, np.where(widest[int(COUNTS[s])] < s, np.int8(s), np.int8(len(COUNTS))), out=chosen)
+    chosen = chosen.reshape(rows, -1)[:, :block].ravel()[:n] % len(COUNTS)  # none fits: an escape
+    step = COUNTS[chosen].astype(np.int32)
     place = np.arange(n, dtype=np.int32)
-    fits = np.searchsorted(LIMITS, ids, side="right").astype(np.int8)  # the narrowest width, as its place in WIDTHS[1:]
-    left = np.minimum((place // block + 1) * block, n) - place  # ids to the end of the block
-    step, chosen = np.zeros(n, np.int32), np.zeros(n, np.int8)
-    for s in range(1 + int(fits.min()), len(COUNTS)):
-        wide = np.where(fits >= s, place, np.int32(n))
-        run = np.minimum.accumulate(wide[::-1])[::-1] - place  # ids from here that fit this width
-        taken = np.minimum(np.int32(COUNTS[s]), left)
-        better = (run >= taken) & (taken > step)
-        step[better], chosen[better] = taken[better], s
-    step[step == 0] = 1  # escapes
+    step = np.minimum(step, np.minimum((place // block + 1) * block, n) - place)
     heads, at = [], np.arange(0, n, block)
     while len(at):  # all blocks advance together, a word a turn
         heads.append(at)
@@ -68,14 +88,15 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     sel = chosen[starts]
     slot = np.arange(len(starts)) + np.r_[0, np.cumsum(sel == 0)[:-1]]
     words = np.zeros(len(starts) + int((sel == 0).sum()), np.uint64)
+    padded = np.r_[ids, np.zeros(most, np.uint64)]
     for s in range(1, len(COUNTS)):
         mine = np.flatnonzero(sel == s)
         if len(mine):
-            k = np.arange(COUNTS[s])
-            where = starts[mine][:, None] + k
-            inside = k < step[starts[mine]][:, None]
-            bits = np.where(inside, ids[np.minimum(where, n - 1)], np.uint64(0)) << (k * WIDTHS[s]).astype(np.uint64)
-            words[slot[mine]] = np.bitwise_or.reduce(bits, axis=1) | np.uint64(s << 60)
+            begin, held = starts[mine], step[starts[mine]]
+            packed = np.full(len(mine), s << 60, np.uint64)
+            for k in range(int(held.max())):
+                packed |= np.where(k < held, padded[begin + k], np.uint64(0)) << np.uint64(k * int(WIDTHS[s]))
+            words[slot[mine]] = packed
     escaped = np.flatnonzero(sel == 0)
     words[slot[escaped] + 1] = ids[starts[escaped]]
     return words, slot[starts % block == 0]
