@@ -40,26 +40,47 @@ CODES = 128
 PRIOR = 4.0
 
 
+#: Matches of a text are walked in runs of this length, so that lists grow by runs, not by single matches.
+RUN = 64
+NO_SPANS = "cast(array() as array<struct<start:bigint,kind:int,end:bigint,token:string>>)"
+
+
 def _found(text: Column, pattern: str, kind: int, measured: int = 0, least: int = 0) -> Column:
-    """``array<struct(start, kind, end)>`` of the leftmost non-overlapping
-    matches: what splitting leaves between them tells where they lie."""
-    nothing = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
+    """``array<struct(start, kind, end, token)>`` of the leftmost
+    non-overlapping matches: what splitting leaves between them tells where
+    they lie. Places are running sums: first over runs of matches, then inside each run."""
+    def spans(rows: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda k: F.slice(rows, k * RUN + 1, RUN))
+        length = lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, r: n + r["gap"] + F.coalesce(r["len"], F.lit(0).cast("long")))
+        begins = F.aggregate(
+            runs, F.array(F.lit(0).cast("long")), lambda at, run: F.concat(at, F.array(F.element_at(at, -1) + length(run))))
+
+        def walk(run: Column, begin: Column) -> Column:
+            start = F.struct(begin.alias("at"), F.expr(NO_SPANS).alias("out"))
+
+            def step(acc: Column, row: Column) -> Column:
+                first = acc["at"] + row["gap"]
+                end = first + F.coalesce(row["len"], F.lit(0).cast("long"))
+                span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), row["token"].alias("token"))
+                return F.struct(end.alias("at"), F.when(row["key"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(run, start, step, lambda acc: acc["out"])
+
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), F.slice(begins, F.lit(1), F.size(runs)).alias("begin")), lambda r: walk(r["run"], r["begin"])))
+
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measure = F.regexp_extract_all(text, F.lit(pattern), F.lit(measured)) if measured else hits
     rows = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long")).alias("gap"),
+        F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long")).alias("gap"), hits.alias("token"),
         F.transform(hits, lambda m: F.length(m).cast("long")).alias("len"),
         F.transform(measure, lambda m: F.length(m).cast("long")).alias("key"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
+    # the lambda binds the rows once
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(rows), spans), 1)).otherwise(F.expr(NO_SPANS))
 
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["gap"]
-        end = begin + F.coalesce(row["len"], F.lit(0).cast("long"))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(row["key"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(nothing)
+def _placed(spans: Column) -> Column:
+    """The spans without their texts."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def _codes(token: Column) -> Column:
@@ -112,10 +133,8 @@ def _random_tokens(text: Column, ratios: list[float], margin: float) -> Column:
     """Spans of tokens that the chains take for random; they hold a letter."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
     score = lambda t: F.aggregate(_pairs(t), F.lit(0.0), lambda s, p: s + F.get(table, p)) / (F.length(t) - 1)
-    spans = F.transform(_found(text, TOKEN, KINDS.index("random")), lambda s: F.struct(
-        s.alias("span"), F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("token")))
-    judged = F.filter(spans, lambda s: s["token"].rlike("[A-Za-z]") & (score(s["token"]) > margin))
-    return F.transform(judged, lambda s: s["span"])
+    spans = _found(text, TOKEN, KINDS.index("random"))
+    return _placed(F.filter(spans, lambda s: s["token"].rlike("[A-Za-z]") & (score(s["token"]) > margin)))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None,
@@ -124,7 +143,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios:
     base spans and all spans. Random tokens that touch a base span add none."""
     ratios = train(df, id_col, text_col) if ratios is None else ratios
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.sort_array(F.concat(_found(text, ASSIGN, 0, measured=2, least=ASSIGN_LEAST), _found(text, ACCESS, 1), _found(text, HEX, 2)))
+    base = F.sort_array(_placed(F.concat(_found(text, ASSIGN, 0, measured=2, least=ASSIGN_LEAST), _found(text, ACCESS, 1), _found(text, HEX, 2))))
     rows = df.select(F.col(id_col).alias(id_col), text.alias("__text"), base.alias("base"))
     more = F.filter(_random_tokens(F.col("__text"), ratios, margin), lambda s: ~F.exists(
         F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))

@@ -221,3 +221,16 @@ def test_words_of_bounded_parts():
             assert [names[j] for j in index[bounds[k]:bounds[k + 1]]] == re.findall(r"[^\x20\x09-\x0D]+", texts[at] or "")
             at += 1
     assert at == len(texts)
+
+
+def test_long_texts_with_many_tokens_are_scanned_in_proportion(make):
+    """Positions in a text of many tokens, over several runs of matches, equal a plain scan."""
+    rng = np.random.default_rng(6)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), int(n))) for n in rng.integers(20, 30, 700)]
+    text = " ".join(f"é word{k} {h} secret={'x' * (k % 9)}" for k, h in enumerate(hexes))
+    got = secrets.digest(secrets.scan(make([(1, text, "en", "a")]))).first()
+    spans = [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    assigned = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    assert (got.n_hex, got.n_assign) == (len(spans), len(assigned)) and got.n_hex > 200 and got.n_assign > 100
+    base = sorted([*spans, *assigned], key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+    assert got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
