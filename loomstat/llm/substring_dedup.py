@@ -52,7 +52,7 @@ REACH, RUN_WORDS = 5, 16
 BREAK = "\x1e"
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 LINE, PIECE = 0, 1
-UNIT_SCHEMA = "id long, kind int, first int, last int, key long, n long, bits binary, bands array<long>"
+UNIT_SCHEMA = "id long, hash long, kind int, first int, last int, key long, n long, bits binary, bands array<long>"
 
 
 def bands_for(percent: int = PERCENT, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -126,7 +126,7 @@ def units(texts: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                ids = part.column("id").to_numpy()
+                ids, hashes = (part.column(c).to_numpy() for c in ("id", "hash"))
                 owner, first, sizes, _ = lines_of(part.column("text"))
                 sets = line_sets(part.column("text"))
                 if sets:
@@ -138,20 +138,21 @@ def units(texts: DataFrame) -> DataFrame:
                 m, who, begin, length, key = len(sets), *pieces_of(part.column("text"))
                 k = len(key)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.r_[ids[owner], ids[who]]), pa.array(np.repeat(np.array([LINE, PIECE], np.int32), [m, k])),
+                    pa.array(np.r_[ids[owner], ids[who]]), pa.array(np.r_[hashes[owner], hashes[who]]), pa.array(np.repeat(np.array([LINE, PIECE], np.int32), [m, k])),
                     pa.array(np.r_[first, begin].astype(np.int32)), pa.array(np.r_[first + sizes, begin + length].astype(np.int32)),
                     pa.array(np.r_[np.array([node_of(s) for s in sets], np.int64), key.view(np.int64)]),
                     pa.array([*[len(s) for s in sets], *[None] * k], pa.int64()), pa.array([*[bitmap(s).tobytes() for s in sets], *[None] * k], pa.binary()),
                     pa.array([*band.view(np.int64).tolist(), *[None] * k], pa.list_(pa.int64()))],
-                    ["id", "kind", "first", "last", "key", "n", "bits", "bands"])
+                    ["id", "hash", "kind", "first", "last", "key", "n", "bits", "bands"])
 
     return texts.mapInArrow(cut, UNIT_SCHEMA)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, kind, first_word, last_word, cluster_id, keep_id, removed`` of
-    every place of a paragraph that two documents share."""
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    """``doc_id, kind, first_word, last_word, cluster_id, keep_id, removed, text_hash``
+    of every place of a paragraph that two documents share. The hash tells
+    different texts of one id apart, which are judged each by itself."""
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")).where("id is not null")
     found = stored(units(texts), "units")
     lines, cut = found.where(F.col("kind") == LINE), found.where(F.col("kind") == PIECE)
     nodes = stored(
@@ -164,20 +165,20 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     piece_keys = cut.groupBy("key").agg(F.min("id").alias("keep_id"), F.max("id").alias("max_id"), F.count("*").alias("rows")).where("keep_id < max_id")
     keys = stored(line_keys.select("key", F.lit(LINE).alias("kind"), "rows", "cluster_id", "keep_id").unionByName(
         piece_keys.select("key", F.lit(PIECE).alias("kind"), "rows", F.col("key").alias("cluster_id"), "keep_id")), "repeated")
-    places = bloom.split(found.select("id", "kind", "first", "last", "key"), F.col("key"), keys, "key", keys.count(), "maybe").where("maybe").drop("maybe")
+    places = bloom.split(found.select("id", "hash", "kind", "first", "last", "key"), F.col("key"), keys, "key", keys.count(), "maybe").where("maybe").drop("maybe")
     both = hot_join(places, keys.withColumnRenamed("kind", "key_kind"), "key", "rows", found.count()).where("kind = key_kind").drop("key_kind", "rows").distinct()
 
     # pieces count in runs of enough words; a document's places are bounded by its words
-    order = Window.partitionBy("id", "kind").orderBy("first", "last")
+    order = Window.partitionBy("id", "hash", "kind").orderBy("first", "last")
     joins = F.coalesce((F.col("first") == F.lag("last").over(order)), F.lit(False)) & (F.col("kind") == PIECE)
     runs = both.withColumn("run", F.sum(F.when(joins, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    length = F.sum(F.col("last") - F.col("first")).over(Window.partitionBy("id", "kind", "run"))
+    length = F.sum(F.col("last") - F.col("first")).over(Window.partitionBy("id", "hash", "kind", "run"))
     kept = runs.withColumn("length", length).where((F.col("kind") == LINE) | (F.col("length") >= RUN_WORDS)).drop("length", "run")
     # of the places in the keeping document, the first one stays
-    first = F.row_number().over(Window.partitionBy("id", "cluster_id").orderBy("first", "last"))
+    first = F.row_number().over(Window.partitionBy("id", "hash", "cluster_id").orderBy("first", "last"))
     return kept.withColumn("removed", (F.col("id") != F.col("keep_id")) | (first > 1)).select(
         F.col("id").alias(id_col), F.when(F.col("kind") == LINE, "line").otherwise("passage").alias("kind"),
-        F.col("first").alias("first_word"), F.col("last").alias("last_word"), "cluster_id", "keep_id", "removed")
+        F.col("first").alias("first_word"), F.col("last").alias("last_word"), "cluster_id", "keep_id", "removed", F.col("hash").alias("text_hash"))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -198,10 +199,10 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the removable places cut out of its texts; rows without any
     are passed on as they are."""
-    spans = repeats(df, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("__id")).agg(
+    spans = repeats(df, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.collect_list(F.struct("first_word", "last_word")).alias("__spans"))  # bounded by the words of one document
     names, schema = list(df.columns), df.schema
-    joined = df.join(spans, F.col(id_col).cast("long") == F.col("__id"), "left")
+    joined = df.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
