@@ -7,9 +7,8 @@ equations, recursive queries walk coordinate descent and the stepwise search.
 from __future__ import annotations
 
 from itertools import combinations
+from statistics import NormalDist
 
-from loomstat.functions.exprs import hex_cut
-from loomstat.functions.tails import normal_quantile
 from loomstat.operators import domain
 from loomstat.plans.catalog import FEATURES, NAME_STEMS
 from loomstat.sources.tables import NUMERIC
@@ -61,9 +60,10 @@ TYPED = f"""typed AS (
 
 
 _DIGEST = "md5('2022:' || key)"
-SPLIT = f"CASE WHEN substr({_DIGEST}, 1, 8) < '{hex_cut(0.2)}' THEN 'test' ELSE 'train' END"
-FOLD = "(CASE " + " ".join(
-    f"WHEN substr({_DIGEST}, 9, 8) < '{hex_cut(i / 5)}' THEN {i - 1}" for i in range(1, 5)) + " ELSE 4 END)"
+# fifths of the range of an eight-digit word, rounded
+_FIFTHS = ["33333333", "66666666", "9999999a", "cccccccd"]
+SPLIT = f"CASE WHEN substr({_DIGEST}, 1, 8) < '{_FIFTHS[0]}' THEN 'test' ELSE 'train' END"
+FOLD = "(CASE " + " ".join(f"WHEN substr({_DIGEST}, 9, 8) < '{cut}' THEN {i}" for i, cut in enumerate(_FIFTHS)) + " ELSE 4 END)"
 
 
 def prep(features=FEATURES, src: str = "line") -> list[str]:
@@ -191,8 +191,9 @@ ORACLE["numeric_coerce"] = with_(RAW, TYPED) + "SELECT row_idx, flujo, cons, niv
 ORACLE["dropna_all"] = with_(RAW, TYPED) + "SELECT row_idx, flujo, nivel FROM typed WHERE flujo IS NOT NULL OR nivel IS NOT NULL"
 ORACLE["null_counts"] = with_(FEAT) + "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, count(*) - count({c}) AS n_null FROM feat" for c in ["key", "ts", "charge", *NUMERIC]) + ") WHERE n_null > 0"
-ORACLE["null_assert"] = with_(LINE) + """
-SELECT 'before' AS stage, (count(*) - count(qty))::bigint AS n_missing FROM line UNION ALL SELECT 'after', 0 FROM line LIMIT 2"""
+ORACLE["null_assert"] = with_(*PREP) + f"""
+SELECT 'before' AS stage, (count(*) - count(qty))::bigint AS n_missing FROM line
+UNION ALL SELECT 'after', {' + '.join(f'count(*) - count({c})' for c in ['key', 'charge', *FEATURES])} FROM prep"""
 _SPREAD = "spread AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, count({c}) AS n, min({c}) AS lo, max({c}) AS hi, stddev_samp({c}) AS std, var_samp({c}) AS var, count(DISTINCT {c}) AS k FROM feat"
     for c in [*NUMERIC, "charge"]) + ")"
@@ -452,7 +453,7 @@ SELECT key, {rnd('sqrt(abs((resid - m) / s))', 5)} AS scale_location FROM resid
 _QQ = [(i, i / 200) for i in range(1, 200)]
 ORACLE["qq_points"] = with_(*RESID, "p AS (SELECT avg(resid) AS m, stddev_pop(resid) AS s FROM resid)",
     f"qs AS (SELECT unnest(quantile_cont(resid, {[p for _, p in _QQ]})) AS v, unnest(range(1, 200)) AS point FROM resid)",
-    "normal(point, theoretical) AS (VALUES " + ", ".join(f"({i}, {normal_quantile(p)!r}::double)" for i, p in _QQ) + ")") + f"""
+    "normal(point, theoretical) AS (VALUES " + ", ".join(f"({i}, {NormalDist().inv_cdf(p)!r}::double)" for i, p in _QQ) + ")") + f"""
 SELECT point::int AS point, {rnd('point / 200', 6)} AS prob, {rnd('theoretical', 8)} AS theoretical, {rnd('(v - m) / s', 6)} AS sample
 FROM qs JOIN normal USING (point) CROSS JOIN p"""
 ORACLE["residual_sequence"] = with_(*RESID) + f"SELECT ts, key, {rnd('resid', 2)} AS resid FROM resid ORDER BY ts, key LIMIT 1000"
