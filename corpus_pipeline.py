@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: Trained models, shingle links and token ids are beyond SQL; the tests compare run() with a brute-force version.
+#: Trained models, shingle links and token ids are beyond SQL; tests/llm/test_pipeline.py compares run() and every stage with plain Python.
 ORACLE_SQL = None
 
 
