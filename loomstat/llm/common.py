@@ -6,6 +6,7 @@ pandas, Arrow and the named libraries but not this package.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters of text that one kernel step works on at a time.
 STEP_CHARS = 2_000_000
+#: Bytes of a batch between Spark and Python while an intermediate table is written.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +37,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     planner knows their real size."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))  # rows that carry long arrays come to Python a few at a time
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +59,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give freed memory back: a worker process outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of ``column``
     (one longer text makes a part of its own): memory stays bounded however
@@ -63,7 +80,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_CHARS) -> Iterat
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
         # a copy: string kernels of some Arrow versions misread slices that begin inside a buffer
         yield batch.take(pa.array(np.arange(a, b)))
-    pa.default_memory_pool().release_unused()  # a worker outlives its tasks: what one frees is for the next process
+    release()
 
 
 def by_step(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text") -> Callable:

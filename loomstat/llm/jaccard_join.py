@@ -12,14 +12,15 @@ threshold, exactly (sets are held as 64-bit shingle numbers).
    documents share rarely make a tile. It decides only the work, not the links.
 3. A tile's nodes meet as bitmaps of hashed shingles: set bits of one without
    the other bound the overlap from above. What passes is a candidate.
-4. First the candidates that span a tile's groups are verified by intersecting
-   the sorted arrays, and linked nodes are merged; then every candidate
-   between different groups, after wider bitmaps have thinned them out.
-   Candidates inside a group change nothing.
+4. Candidates are verified by intersecting the sorted arrays and linked nodes
+   are merged, in rounds, since candidates inside a group change nothing: first
+   the pairs that join the tiles of each node's first shingle, then those that
+   join the components left in any tile, then, after wider bitmaps, one pair of
+   any two components of a tile, and at last every pair still apart.
 5. A tile of more than ``LARGE`` members (or a small share of all, see
    ``large_tiles``) is dealt to blocks by node hash, which meet as tiles of their
-   own. For step 4's first half, one member in ``SHARED`` of a block's size is in
-   every block, so groups join across blocks; for the second, members outside the tile's main
+   own. Where pairs join components, one member in ``SHARED`` of a block's size is in
+   every block, so groups join across blocks; afterwards, members outside the tile's main
    group are dealt too, and each of their blocks meets each block of the tile.
 
 Defined results: a null text counts as empty; a set without shingles links with
@@ -34,6 +35,7 @@ gives no rows.
 from __future__ import annotations
 
 import sys
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm import bloom
-from loomstat.llm.common import hot_join, steps, stored
+from loomstat.llm.common import hot_join, release, steps, stored
 from loomstat.llm.components import components
 from loomstat.llm.shingles import mixed, shingle_sets
 
@@ -58,6 +60,8 @@ HEAVY_BITS = 20
 HEAVY_COUNT, HEAVY_TIMES = 16, 8
 #: Bits a shingle where groups are compared with each other.
 WIDE = 16
+#: First shingles of a node that are tried before all others.
+EARLY = 1
 #: Members from which a tile is dealt to blocks of that size, and the size divided by the members that all its blocks share.
 LARGE, SHARED = 4096, 64
 #: Tiles that can be large number this at most, so they are broadcast; hash buckets in which ``tiles`` looks for them.
@@ -158,6 +162,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
             ready, held = [*held, batch.slice(0, cut)], [batch.slice(cut)]
         if sum(b.num_rows for b in ready):
             yield pa.Table.from_batches(ready).combine_chunks()
+            release()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -250,10 +255,41 @@ def crossed(live: DataFrame, large: DataFrame, size: int = LARGE) -> DataFrame:
     return plain.select("tile", "node", "own", "component", F.lit(0).alias("side")).unionByName(pairs)
 
 
-def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
+def _spans(n: np.ndarray, own: np.ndarray, comp: np.ndarray, flat: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a tile's members, in order of their nodes, that join its
+    components: breadth first from the smallest node, so that the tiles of one
+    group name the same pairs. A component is reached once and comes whole."""
+    code, comp = np.unique(comp, return_inverse=True)
+    by_comp = np.argsort(comp, kind="stable")
+    first = np.searchsorted(comp[by_comp], np.arange(len(code) + 1))
+    left, pairs = np.ones(len(n), bool), []
+    for i in range(len(n)):
+        if not left[i]:
+            continue
+        reached = by_comp[first[comp[i]] : first[comp[i] + 1]]
+        left[reached] = False
+        queue = deque(reached.tolist())
+        while queue and left.any():
+            x = queue.popleft()
+            rest = np.flatnonzero(left)
+            if not own[x]:
+                rest = rest[own[rest]]
+            if not len(rest):
+                continue
+            hit = rest[may_link(n[x], flat[x], n[rest], flat[rest], percent)]
+            for c, at in zip(*np.unique(comp[hit], return_index=True)):
+                pairs.append((x, int(hit[at])))
+                reached = by_comp[first[c] : first[c + 1]]
+                left[reached] = False
+                queue.extend(reached.tolist())
+    return pairs
+
+
+def candidates(members: DataFrame, percent: int, spanning: bool, once: bool = False) -> DataFrame:
     """``a, b``: pairs of a tile that the bitmaps leave open, one of them from
-    the tile's own band; either those that span each connected group, or all
-    between nodes of different ``component`` whose ``side`` lets them meet."""
+    the tile's own band; either those that join the tile's ``component``s, or
+    all between nodes of different components whose ``side`` lets them meet, of
+    those the first for any two components with ``once``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
@@ -262,56 +298,47 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             found: list[np.ndarray] = []
             for a, b in zip(first.tolist(), np.r_[first[1:], len(key)].tolist()):
-                if not spanning and (comp[a:b] == comp[a]).all():
+                if (comp[a:b] == comp[a]).all():
                     continue
                 words = min(len(x) for x in bits[a:b])
                 flat = np.stack([folded(x, words) for x in bits[a:b]])
-                at, left, queue = np.arange(a, b), np.ones(b - a, bool), []
+                if spanning:
+                    pairs = np.array(_spans(n[a:b], own[a:b], comp[a:b], flat, percent), np.int64).reshape(-1, 2)
+                    found.append(node[a + pairs].T)
+                    continue
+                at, met = np.arange(a, b), {}
                 for i in range(b - a):
-                    if spanning:  # breadth first: each node meets only those that no group has reached yet
-                        if not left[i]:
-                            continue
-                        left[i] = False
-                        queue = [i]
-                        while queue:
-                            x = queue.pop()
-                            rest = np.flatnonzero(left)
-                            if not own[at[x]]:
-                                rest = rest[own[at[rest]]]
-                            if not len(rest):
-                                continue
-                            hit = rest[may_link(n[at[x]], flat[x], n[at[rest]], flat[rest], percent)]
-                            left[hit] = False
-                            queue += hit.tolist()
-                            found.append(np.stack([np.full(len(hit), node[at[x]]), node[at[hit]]]))
-                    else:
-                        if side[a + i] > 1:
-                            break
-                        rest = np.arange(i + 1, b - a)  # the sides are in order
-                        rest = rest[(comp[at[rest]] != comp[at[i]]) & (own[at[rest]] | own[at[i]]) & (side[at[rest]] != 1)]
-                        rest = rest[(side[at[rest]] != 3) | (node[at[rest]] > node[at[i]])]
-                        if len(rest):
-                            hit = rest[may_link(n[at[i]], flat[i], n[at[rest]], flat[rest], percent)]
-                            found.append(np.stack([np.full(len(hit), node[at[i]]), node[at[hit]]]))
+                    if side[a + i] > 1:
+                        break
+                    rest = np.arange(i + 1, b - a)  # the sides are in order
+                    rest = rest[(comp[at[rest]] != comp[at[i]]) & (own[at[rest]] | own[at[i]]) & (side[at[rest]] != 1)]
+                    rest = rest[(side[at[rest]] != 3) | (node[at[rest]] > node[at[i]])]
+                    known = met.setdefault(int(comp[at[i]]), set())
+                    if known:
+                        rest = rest[~np.isin(comp[at[rest]], list(known))]
+                    if len(rest):
+                        hit = rest[may_link(n[at[i]], flat[i], n[at[rest]], flat[rest], percent)]
+                        if once:
+                            others, head = np.unique(comp[at[hit]], return_index=True)
+                            hit = hit[head]
+                            for other in others.tolist():
+                                known.add(other)
+                                met.setdefault(other, set()).add(int(comp[at[i]]))
+                        found.append(np.stack([np.full(len(hit), node[at[i]]), node[at[hit]]]))
             if found:
                 pairs = np.concatenate(found, axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+                pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    ordered = members.select("tile", "node", "own", "n", "component", "side", "bits").repartition("tile").sortWithinPartitions("tile", "side")
+    ordered = members.select("tile", "node", "own", "n", "component", "side", "bits").repartition("tile").sortWithinPartitions("tile", "side", "node")
     return ordered.mapInArrow(find, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``a, b, linked`` of stored candidate pairs, from the sorted shingle
-    arrays, and the arrays (``node, numbers``), also those of the nodes ``more (need)``.
-
-    The arrays are made again from the texts that hold a candidate, found by
-    the id of one row of each node.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("need"))
-    needed = stored((ends if more is None else ends.unionByName(more)).distinct()
-                    .join(nodes.select("node", "min_id"), F.col("need") == F.col("node")).select("need", F.col("min_id").alias("need_id")), "candidates")
+def shingle_arrays(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets) -> DataFrame:
+    """``node, numbers``: the sorted shingles of the nodes ``wanted (node)``,
+    made again from their texts, which are found by the id of one row of each node."""
+    needed = stored(wanted.join(nodes.select(F.col("node").alias("need"), "min_id"), F.col("node") == F.col("need"))
+                    .select("need", F.col("min_id").alias("need_id")), "candidates")
     ids = needed.select("need_id").distinct()
     if needed.count() <= MAX_BROADCAST:
         ids = F.broadcast(ids)
@@ -322,22 +349,31 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of: Sets
                 sets = sets_of(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "numbers"])
 
+    return stored(
+        texts.join(ids, F.col("id") == F.col("need_id"), "left_semi").select("text").mapInArrow(arrays, "node long, numbers binary")
+        .join(needed.select("need"), F.col("node") == F.col("need"), "left_semi").groupBy("node").agg(F.any_value("numbers").alias("numbers")), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, linked`` of stored candidate pairs, from the sorted shingle arrays."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yes = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                u, v = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 yes.append(bool(linked(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v), percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], ["a", "b", "linked"])
+            release()
 
-    sets = stored(
-        texts.join(ids, F.col("id") == F.col("need_id"), "left_semi").select("text").mapInArrow(arrays, "node long, numbers binary")
-        .join(needed.select("need"), F.col("node") == F.col("need"), "left_semi").groupBy("node").agg(F.any_value("numbers").alias("numbers")), "shingle-sets")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    # only the arrays that are compared move
+    sets = sets.join(F.broadcast(ends) if ends.count() <= MAX_BROADCAST else ends, "node", "left_semi")
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("numbers").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("numbers").alias("y")), "b").select("a", "b", "x", "y")
     )
-    return stored(both.mapInArrow(compare, "a long, b long, linked boolean"), "checked"), sets
+    return stored(both.mapInArrow(compare, "a long, b long, linked boolean"), "checked")
 
 
 def wide_bitmaps(sets: DataFrame) -> DataFrame:
@@ -356,24 +392,41 @@ def cluster(nodes: DataFrame, texts: DataFrame, sets_of: Sets, percent: int, siz
     ``node, min_id, n, bits, prefix, short``: nodes meet where they share a
     prefix number and a size band."""
     met = stored(tiles(nodes, percent, size), "tiles")
+    sets = shingle_arrays(met.select("node").distinct(), nodes, texts, sets_of)
+    narrow, checked = nodes.select("node", "n", "bits"), None
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """The components once ``pairs`` are verified as well."""
+        nonlocal checked
+        fresh = pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        found = verified(stored(fresh, "candidates"), sets, percent)
+        checked = found if checked is None else checked.unionByName(found)
+        return stored(components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+
+    def apart(tiled: DataFrame, groups: DataFrame) -> DataFrame:
+        """Members of the tiles that hold several components."""
+        named = stored(tiled.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "live")
+        several = named.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile")
+        return named.join(several, "tile").select("tile", "node", "own", "component")
+
+    # near copies mostly share their first shingle: few pairs join most of a group
+    early = nodes.withColumns({"prefix": F.slice("prefix", 1, EARLY), "short": F.least("short", F.lit(EARLY))})
+    soon = stored(tiles(early, percent, size), "tiles")
+    dealt = spread(soon, large_tiles(soon, size), size).join(narrow, "node")
+    groups = merged(candidates(dealt.withColumn("component", F.col("node")).withColumn("side", F.lit(0)), percent, True))
     large = large_tiles(met, size)
-    narrow = nodes.select("node", "n", "bits")
-    once = spread(met, large, size).join(narrow, "node").withColumn("component", F.col("node")).withColumn("side", F.lit(0))
-    first = stored(candidates(once, percent, True), "candidates")
-    # members of large tiles may have their candidates in another block: they stay in play
-    dealt = met.join(F.broadcast(large), "tile", "left_semi").select(F.col("node").alias("need"))
-    checked, sets = verified(first, nodes, texts, sets_of, percent, dealt)
-    groups = stored(components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
-    # what is left to compare: nodes with a candidate, in tiles that hold several groups
-    live = stored(met.join(sets.select("node"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "live")
-    several = live.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile")
-    pairs = crossed(live.join(several, "tile").select("tile", "node", "own", "component"), large, size)
-    placed = pairs.join(nodes.select("node", "n"), "node").join(wide_bitmaps(sets), "node")
-    rest = stored(candidates(placed, percent, False).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    if rest.limit(1).count():
-        more, _ = verified(rest, nodes, texts, sets_of, percent)
-        found = checked.unionByName(more).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        groups = stored(components(found), "groups")
+    once = spread(apart(met, groups), large, size).join(narrow, "node").withColumn("side", F.lit(0))
+    spans = stored(candidates(once, percent, True), "candidates")
+    # what is left to compare: nodes with a candidate; members of large tiles may have theirs in another block
+    ends = spans.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.select("node"))
+    open_nodes = stored(ends.unionByName(met.join(F.broadcast(large), "tile", "left_semi").select("node")).distinct(), "open-nodes")
+    groups = merged(spans)
+    wide = stored(wide_bitmaps(sets.join(open_nodes, "node", "left_semi")).join(nodes.select("node", "n"), "node"), "wide-bitmaps")
+    left = met.join(open_nodes, "node", "left_semi")
+    for once in (True, False):  # a first pair of any two components; then every pair that is still apart
+        pairs = stored(candidates(crossed(apart(left, groups), large, size).join(wide, "node"), percent, False, once), "candidates")
+        if pairs.limit(1).count():
+            groups = merged(pairs)
     return groups
 
 
