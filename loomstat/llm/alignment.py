@@ -61,7 +61,9 @@ class Pair:
 
     def __init__(self, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(tokenizer_path(a))
@@ -71,16 +73,27 @@ class Pair:
         size = self.a.get_vocab_size(with_added_tokens=True)
         entries = [self.a.id_to_token(k) or "" for k in range(size)]
         self.bytes_a = [bytes(values[c] for c in e) if all(c in values for c in e) else e.encode() for e in entries]
+        # this vocabulary's ids are its merge ranks: the same ids, four times as fast
+        ranks = {x: k for k, x in enumerate(self.bytes_a) if entries[k] not in self.special()}
+        self.ranked = tiktoken.Encoding(a, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if a == BYTE_TOKENIZER else None
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.sizes = tuple(np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         self.text_a, self.last_a, self.text_b, self.last_b = (
             np.array([str(k) + end for k in range(n)], object) for n, end in ((size, ","), (size, "|"), (len(pieces), ","), (len(pieces), ";")))
 
+    def special(self) -> set[str]:
+        return {t.content for t in self.a.get_added_tokens_decoder().values()}
+
+    def first_ids(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            return [self.ranked.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of each text by either tokenizer; none where a tokenizer loses bytes."""
         whole = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        a = self.first_ids(whole)
         b = self.b.encode(texts, num_threads=1)
         for k, text in enumerate(whole):
             data = text.encode()

@@ -82,3 +82,13 @@ def test_tokens_without_bytes_link_with_all_that_end_there():
     x = al.aligned(sizes, [[0, 1, 2], []], [[1, 2], []])  # ends 1, 3, 3 and 3, 3
     assert sorted(zip(x["link_a"].tolist(), x["link_b"].tolist())) == [(1, 0), (1, 1), (2, 0), (2, 1)]
     assert x["group_a"].tolist() == [3] and x["group_b"].tolist() == [2] and x["group_of"].tolist() == [0]
+
+
+def test_ranks_give_the_ids_of_the_vocabulary_file():
+    pair = al.process_pair(al.BYTE_TOKENIZER, al.PIECE_TOKENIZER)
+    rng = random.Random(11)
+    signs = [chr(c) for c in [*range(1, 127), 0xA0, 0xE9, 0xDF, 0x301, 0x2028, 0x4E2D, 0x1F600, 0x200D]]
+    texts = TEXTS + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 80))) for _ in range(3000)]
+    texts += [" ".join(rng.choice(["it's", "we'LL", "  ", "\n", "0123456", "naïve", "<|endoftext|>"]) for _ in range(20)) for _ in range(300)]
+    want = [e.ids for e in pair.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert pair.ranked is not None and pair.first_ids([" " + t for t in texts]) == want
