@@ -239,18 +239,21 @@ def correlated_columns(pairs: DataFrame, threshold: float = 0.95, keep: Sequence
 
 
 def vif(m: Moments, tolerance: float = 1e-10) -> dict[str, float]:
-    """Uncentred variance inflation ``G_jj / (G_jj - g_j' G_-j^+ g_j)`` of each
-    feature, without a constant: infinite where the other features explain it
-    up to rounding, finite for the rest whatever is aliased among them."""
+    """Uncentred variance inflation of each feature, without a constant:
+    infinite where the other features explain it up to rounding, finite for
+    the rest whatever is aliased among them.
+
+    One factorisation serves all features: the directions without spread name
+    the features of each alias group, and for any other feature the diagonal of
+    the pseudo-inverse is the reciprocal of what the others leave of it."""
     g = m.total[1:-1, 1:-1]
-    d = np.sqrt(np.diag(g))
-    unit = g / np.outer(d, d)  # unit diagonal: the ratio does not change, the inverse gains digits
-    out = {}
-    for j, name in enumerate(m.features):
-        rest = np.delete(np.arange(len(d)), j)
-        left = 1.0 - unit[j, rest] @ np.linalg.pinv(unit[np.ix_(rest, rest)], rcond=tolerance, hermitian=True) @ unit[rest, j]
-        out[name] = 1.0 / left if left > tolerance else float("inf")
-    return out
+    d = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
+    roots, vectors = np.linalg.eigh(g / np.outer(d, d))  # unit diagonal: the ratio does not change, the inverse gains digits
+    live = roots > tolerance * max(roots[-1], 1e-300)
+    aliased = (vectors[:, ~live] ** 2).sum(axis=1) > tolerance
+    inverse = (vectors[:, live] ** 2 / roots[live]).sum(axis=1)
+    inflated = np.where(aliased | (inverse * tolerance >= 1.0), np.inf, inverse)
+    return dict(zip(m.features, map(float, inflated)))
 
 
 def condition_number(m: Moments) -> float:

@@ -198,7 +198,7 @@ class StepwiseAIC(Regression):
         if direction not in ("both", "forward"):
             raise ValueError("direction must be 'both' or 'forward'")
         self.max_features, self.direction = max_features, direction
-        self.history: list[tuple[int, str, float]] = []
+        self.history: list[tuple[int, str, str | None, float]] = []  # step, action, feature, criterion
         self.aic = math.nan
         self.order: list[str] = []
 
@@ -209,7 +209,7 @@ class StepwiseAIC(Regression):
         chosen: list[int] = []
         waiting = list(range(y))
         best = loglik_aic(n, t[y, y], 0)
-        self.history = [(0, "Base (Intercepto)", best)]
+        self.history = [(0, "base", None, best)]
         step = 0
         while waiting and len(chosen) < self.max_features:
             step += 1
@@ -225,7 +225,7 @@ class StepwiseAIC(Regression):
             chosen.append(add)
             waiting.remove(add)
             best = trials[add]
-            self.history.append((step, m.features[add], best))
+            self.history.append((step, "add", m.features[add], best))
             if self.direction == "both" and len(chosen) > 2:
                 # a swept column's diagonal is minus its inverse entry
                 trials = {
@@ -237,7 +237,7 @@ class StepwiseAIC(Regression):
                     chosen.remove(drop)
                     waiting.append(drop)
                     best = trials[drop]
-                    self.history.append((step, f"Eliminada '{m.features[drop]}'", best))
+                    self.history.append((step, "remove", m.features[drop], best))
         self.order = [m.features[j] for j in chosen]
         final = least_squares(m.restricted(self.order))
         self.aic = loglik_aic(final.n, final.rss, len(self.order))
@@ -245,13 +245,8 @@ class StepwiseAIC(Regression):
 
     def path(self, spark: SparkSession) -> DataFrame:
         """``(step_no, step, action, feature, aic, gain)`` of the search."""
-        rows = []
-        for i, (step, what, aic) in enumerate(self.history):
-            gone = what.startswith("Eliminada '")
-            action = "base" if step == 0 else "remove" if gone else "add"
-            feature = None if step == 0 else what[len("Eliminada '"):-1] if gone else what
-            gain = None if i == 0 else self.history[i - 1][2] - aic
-            rows.append((i, step, action, feature, aic, gain))
+        gains = [None, *[a[3] - b[3] for a, b in zip(self.history, self.history[1:])]]
+        rows = [(i, step, action, feature, aic, gain) for i, ((step, action, feature, aic), gain) in enumerate(zip(self.history, gains))]
         return local_rows(spark, rows, "step_no int, step int, action string, feature string, aic double, gain double")
 
     def parameters(self) -> dict[str, object]:
@@ -435,19 +430,20 @@ class RidgeLeaveOneOut(Regression):
         return {"regularizacion": "L2 (Ridge)", "lambda_optimo": self.best_alpha}
 
 
-def _subset_fit(train: np.ndarray, at: list[int]) -> np.ndarray:
-    """Least squares on some columns, as a full-length solution."""
-    idx = [0, *at]
-    full = np.zeros(train.shape[0] - 1)
-    full[idx] = np.linalg.lstsq(train[np.ix_(idx, idx)], train[idx, -1], rcond=1e-12)[0]
-    return full
-
-
-def _fold_score(test: np.ndarray, fit: np.ndarray, scoring: str) -> float:
-    sse, n = kernels.held_out_sse(test, fit), test[0, 0]
-    if scoring == "mse":
-        return -sse / n
-    return 1.0 - sse / (test[-1, -1] - test[0, -1] ** 2 / n)
+def _trial_errors(train: np.ndarray, test: np.ndarray, spread: np.ndarray, chosen: list[int], trials: list[int]) -> np.ndarray:
+    """Squared error on left-out rows of the fits that each trial column would
+    make with the chosen ones. ``train`` is swept by the constant and by them, so a
+    trial's coefficients follow from its own column; one product with the left-out
+    sums scores all trials."""
+    y, held = train.shape[0] - 1, [0, *chosen]
+    at = np.array(trials)
+    usable = train[at, at] > ALIASED * spread[at]
+    slope = np.where(usable, train[at, y] / np.where(usable, train[at, at], 1.0), 0.0)  # an alias adds nothing
+    w = np.zeros((y + 1, len(at)))
+    w[held] = train[held, y][:, None] - train[np.ix_(held, at)] * slope
+    w[at, np.arange(len(at))] = slope
+    w[y] = -1.0
+    return np.maximum((w * (test @ w)).sum(axis=0), 0.0)
 
 
 class ForwardCV(Regression):
@@ -473,20 +469,26 @@ class ForwardCV(Regression):
         return min(int(self.n_features), p)
 
     def fit(self, m: Moments, spark: SparkSession) -> "ForwardCV":
-        trains = {g: m.without(g) for g in m.groups}
+        trains = {g: m.without(g).copy() for g in m.groups}
+        for t in trains.values():
+            _pivot(t, 0)
+        spreads = {g: np.diag(t).copy() for g, t in trains.items()}
         chosen: list[int] = []
         self.scores = []
         while len(chosen) < self._count(len(m.features)):
-            scores = {}
-            for j in range(1, len(m.features) + 1):
-                if j not in chosen:
-                    per_fold = [
-                        _fold_score(m.groups[g], _subset_fit(trains[g], [*chosen, j]), self.scoring) for g in m.groups
-                    ]
-                    scores[j] = sum(per_fold) / len(per_fold)
-            add = max(scores, key=scores.get)
+            trials = [j for j in range(1, len(m.features) + 1) if j not in chosen]
+            scores = np.zeros(len(trials))
+            for g, test in m.groups.items():
+                sse = _trial_errors(trains[g], test, spreads[g], chosen, trials)
+                n = test[0, 0]
+                scores += -sse / n if self.scoring == "mse" else 1.0 - sse / (test[-1, -1] - test[0, -1] ** 2 / n)
+            best = int(np.argmax(scores))
+            add = trials[best]
+            for g, t in trains.items():
+                if t[add, add] > ALIASED * spreads[g][add]:
+                    _pivot(t, add)
             chosen.append(add)
-            self.scores.append(scores[add])
+            self.scores.append(float(scores[best]) / len(m.groups))
         self.order = [m.features[j - 1] for j in chosen]
         kept = [f for f in m.features if f in self.order]
         final = least_squares(m.restricted(kept))

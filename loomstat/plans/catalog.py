@@ -616,6 +616,13 @@ def forward_cv_r2(spark, sf):
     return shown(models.ForwardCV(n_features="auto", scoring="r2").fit(m, spark).path(spark), score=9)
 
 
+@query
+def forward_cv_quarter(spark, sf):
+    """A quarter of the features, as a share."""
+    m = line_prepared(spark, sf).moments()
+    return shown(models.ForwardCV(n_features=0.25, scoring="mse").fit(m, spark).path(spark).withColumn("score", -F.col("score")), score=1)
+
+
 def _cv_result(spark, sf, model: models.Penalised) -> DataFrame:
     m = line_prepared(spark, sf).moments()
     model.fit(m, spark)
@@ -684,6 +691,14 @@ def ridge_loo(spark, sf):
     return shown(out.select("alpha_no", "alpha", (F.col("loo_mse") / spread).alias("loo_share")), alpha=6, loo_share=9)
 
 
+@query
+def ridge_loo_coefs(spark, sf):
+    """The ridge model whose penalty leave-one-out chose."""
+    p = line_prepared(spark, sf)
+    fit = models.RidgeLeaveOneOut(p.train).fit(p.moments(False), spark)
+    return shown(fit.coefficients(spark).select("feature", "coef", F.lit(fit.best_alpha).alias("alpha")), coef=4, alpha=6)
+
+
 # ---------------------------------------------------------------- comparison
 
 

@@ -523,6 +523,7 @@ def _greedy(score: str, best: str, steps: int, shown: str) -> str:
 
 
 ORACLE["forward_cv_select"] = _greedy("cv.mse", "cv.mse", 3, rnd("score", 1))
+ORACLE["forward_cv_quarter"] = _greedy("cv.mse", "cv.mse", 1, rnd("score", 1))
 ORACLE["forward_cv_r2"] = _greedy("cv.r2", "cv.r2 DESC", 2, rnd("score", 9))
 
 
@@ -598,10 +599,14 @@ ORACLE["lasso_coefs"] = with_(*_net([1.0]), "best AS (SELECT ratio, lam_no FROM
 # leave-one-out by the leverage of each row, from the swept inverse of (G + lam I)
 _INV = {(a, b): cell(a, b, [*FEATURES, "charge"]) for a in FEATURES for b in FEATURES}
 _LEV = " + ".join(f"r.{a} * r.{b} * -i.{c}" for (a, b), c in _INV.items())
-ORACLE["ridge_loo"] = with_(*PREP, grid(-6, 6, 13), *solve("w", "train", FEATURES, ridge="lams"),
+_LOO = [*PREP, grid(-6, 6, 13), *solve("w", "train", FEATURES, ridge="lams"),
     f"""loo AS (SELECT f.lam_no, f.lam, (r.charge - ({fitted(FEATURES)})) / (1 - 1 / f.n - ({_LEV})) AS e
-        FROM train r CROSS JOIN w f JOIN w_{len(FEATURES)} i ON i.lam_no = f.lam_no)""") + f"""
+        FROM train r CROSS JOIN w f JOIN w_{len(FEATURES)} i ON i.lam_no = f.lam_no)"""]
+ORACLE["ridge_loo"] = with_(*_LOO) + f"""
 SELECT lam_no AS alpha_no, {rnd('lam', 6)} AS alpha, {rnd(f'avg(e * e) / {_SPREAD_Y}', 9)} AS loo_share FROM loo GROUP BY lam_no, lam"""
+ORACLE["ridge_loo_coefs"] = with_(
+    *_LOO, "chosen AS (SELECT lam, lam_no FROM loo GROUP BY ALL ORDER BY avg(e * e), lam_no LIMIT 1)", *solve("z", "train", FEATURES, ridge="chosen")
+) + " UNION ALL ".join(f"SELECT '{f}' AS feature, {rnd(f'b_{f}', 4)} AS coef, {rnd('lam', 6)} AS alpha FROM z" for f in FEATURES)
 
 
 # ---------------------------------------------------------------- comparison
