@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.config import Settings
-from loomstat.functions.exprs import format_params, log_grid_values, q, rounded
+from loomstat.functions.exprs import format_params, literal_array, log_grid_values, q, rounded
 from loomstat.operators import clean, diagnostics, domain, evaluate, gram, iterative, models, ordering, profile, split
 from loomstat.plans.regression import Prepared, default_suite, feature_roles, least_squares_checks, local_copy, prepare, run, stage
 from loomstat.session import local_rows, scratch_path
@@ -167,6 +167,25 @@ def numeric_coerce(spark, sf):
     return typed_export(spark, sf)
 
 
+def quarantined(spark, sf):
+    raw = tables.raw_export(spark, sf).where("row_idx >= 2").select(F.col("row_idx").alias("line"), *[q(c).alias(p) for c, p in zip(SENSORS, PLAIN)])
+    return landing.quarantine(raw, PLAIN, ["line"], scratch_path(spark, "quarantine"))
+
+
+@query
+def quarantined_cells(spark, sf):
+    """Cells of the export that hold no reading, with the reason."""
+    return quarantined(spark, sf)[1]
+
+
+@query
+def quarantine_counts(spark, sf):
+    """What was observed while the export was typed, beside a count of the typed readings."""
+    typed, _, seen = quarantined(spark, sf)
+    return typed.agg(F.lit(seen["rows"]).cast("bigint").alias("n_rows"), F.lit(seen["rejected"]).cast("bigint").alias("n_rejected"),
+                     *[F.count(c).alias(f"n_{c}") for c in PLAIN])
+
+
 @query
 def dropna_all(spark, sf):
     return clean.drop_empty_rows(typed_export(spark, sf).select("row_idx", "flujo", "nivel"), ["flujo", "nivel"])
@@ -416,9 +435,10 @@ def _mean_products(spark, sf, by: str | None) -> DataFrame:
     p = line_prepared(spark, sf)
     y_scale = p.label_mean
     unit = p.train.withColumn("charge", F.col("charge") / F.lit(y_scale))
-    cells = gram.gram_frame(unit, [*FEATURES, "charge"], by)
-    n = cells.where("col_i = '(intercept)' and col_j = '(intercept)'").select("grp", F.col("value").alias("n"))
-    out = cells.join(n, "grp").select("grp", "col_i", "col_j", F.col("n").cast("bigint").alias("n"), (F.col("value") / F.col("n")).alias("mean_product"))
+    groups = p.moments(by is not None).groups  # the numbers of rows are known
+    sizes = literal_array([groups[g][0, 0] if g in groups else 0.0 for g in range(max(groups) + 1)], "array<double>")
+    cells = gram.gram_frame(unit, [*FEATURES, "charge"], by).withColumn("n", F.get(sizes, F.col("grp")))
+    out = cells.select("grp", "col_i", "col_j", F.col("n").cast("bigint").alias("n"), (F.col("value") / F.col("n")).alias("mean_product"))
     return shown(out, mean_product=8)
 
 

@@ -188,6 +188,12 @@ ORACLE["roundtrip_io"] = with_(SERIES) + f"""
 SELECT store, event_type, count(*) AS n, count(reading) AS n_reading, {rnd('avg(value)', 8)} AS mean_value, max(ts) AS last_ts
 FROM series CROSS JOIN (VALUES ('parquet'), ('csv')) s(store) GROUP BY store, event_type"""
 ORACLE["numeric_coerce"] = with_(RAW, TYPED) + "SELECT row_idx, flujo, cons, nivel FROM typed"
+_CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT row_idx AS line, '{c}' AS col, {c}_text AS text FROM raw" for c in ("flujo", "cons", "nivel")) + ")"
+_REJECTED = "rejected AS (SELECT * FROM cells WHERE text IS NOT NULL AND nullif(try_cast(text AS double), 'NaN'::double) IS NULL)"
+ORACLE["quarantined_cells"] = with_(RAW, _CELLS, _REJECTED) + """
+SELECT line, col AS "column", text AS value, CASE WHEN try_cast(text AS double) IS NULL THEN 'unreadable' ELSE 'not a number' END AS reason FROM rejected"""
+ORACLE["quarantine_counts"] = with_(RAW, TYPED, _CELLS, _REJECTED) + """
+SELECT count(*) AS n_rows, (SELECT count(*) FROM rejected) AS n_rejected, count(flujo) AS n_flujo, count(cons) AS n_cons, count(nivel) AS n_nivel FROM typed"""
 ORACLE["dropna_all"] = with_(RAW, TYPED) + "SELECT row_idx, flujo, nivel FROM typed WHERE flujo IS NOT NULL OR nivel IS NOT NULL"
 ORACLE["null_counts"] = with_(FEAT) + "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, count(*) - count({c}) AS n_null FROM feat" for c in ["key", "ts", "charge", *NUMERIC]) + ") WHERE n_null > 0"

@@ -6,12 +6,12 @@ import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.functions import kernels
-from loomstat.functions.exprs import q
+from loomstat.functions.exprs import q, to_number
 from loomstat.session import local_rows
 
 log = logging.getLogger(__name__)
@@ -136,6 +136,28 @@ def load_export(spark: SparkSession, sources: Sequence[str], cache: str, ts_col:
     )
 
 
+def quarantine(df: DataFrame, columns: Sequence[str], keep: Sequence[str], path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Typed rows, rejected cells and their numbers from one scan of raw text.
+
+    Text columns become numbers; a cell that holds something but no finite
+    reading is null in the typed rows and appears among the rejected ones as
+    ``keep, column, value, reason``. Both are written together, so a later pass
+    over either reads files; the counts are observed while they are written.
+    """
+    cells = []
+    for c in columns:
+        text, number = q(c), q(c).try_cast("double")
+        reason = F.when(number.isNull(), "unreadable").when(F.isnan(number), "not a number")
+        cells.append(F.when(text.isNotNull() & reason.isNotNull(), F.struct(F.lit(c).alias("column"), text.alias("value"), reason.alias("reason"))))
+    marked = df.select(*[q(c) for c in keep], *[to_number(q(c)).alias(c) for c in columns],
+                       F.filter(F.array(*cells), lambda x: x.isNotNull()).alias("_rejected"))
+    seen = Observation()
+    marked = marked.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_rejected")), F.lit(0)).alias("rejected"))
+    write_parquet(marked, path)
+    back = df.sparkSession.read.schema(marked.schema).parquet(path)
+    return back.drop("_rejected"), back.select(*[q(c) for c in keep], F.inline("_rejected")), dict(seen.get)
+
+
 def export_json(records: DataFrame, path: str) -> str:
     """Nested records as JSON lines; absent values are written as null."""
     records.write.mode("overwrite").option("ignoreNullFields", False).json(path)

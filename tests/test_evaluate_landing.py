@@ -134,3 +134,16 @@ def test_json_keeps_absent_values(spark):
     landing.export_json(df, path)
     lines = [json.loads(line) for f in Path(path).glob("part-*") for line in f.read_text().splitlines()]
     assert lines == [{"model_name": "m", "aic": None, "optimal_hyperparameters": {"k": "v"}}]
+
+
+def test_quarantine_parts_readings_from_cells_that_hold_none(spark, tmp_path):
+    from loomstat.sources import landing
+
+    rows = [(1, "2.5", " 7 ", "x"), (2, "abc", None, "y"), (3, "NaN", "1,5", "z"), (4, None, "", "w"), (5, "1e3", "-0", "v")]
+    df = spark.createDataFrame(rows, "line int, a string, `b c` string, extra string")
+    typed, rejected, seen = landing.quarantine(df, ["a", "b c"], ["line"], str(tmp_path / "q"))
+    assert {(r.line, r.a, r["b c"]) for r in typed.collect()} == {(1, 2.5, 7.0), (2, None, None), (3, None, None), (4, None, None), (5, 1000.0, 0.0)}
+    want = {(2, "a", "abc", "unreadable"), (3, "a", "NaN", "not a number"), (3, "b c", "1,5", "unreadable"), (4, "b c", "", "unreadable")}
+    assert {tuple(r) for r in rejected.collect()} == want and seen == {"rows": 5, "rejected": 4}
+    nothing = landing.quarantine(df.limit(0), ["a"], ["line"], str(tmp_path / "none"))
+    assert nothing[0].count() == nothing[1].count() == 0 and nothing[2] == {"rows": 0, "rejected": 0}
