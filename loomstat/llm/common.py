@@ -83,12 +83,12 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_CHARS) -> Iterat
     release()
 
 
-def by_step(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text") -> Callable:
+def by_step(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", limit: int = STEP_CHARS) -> Callable:
     """A ``mapInArrow`` function that applies ``fn`` to bounded parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, column):
+            for part in steps(batch, column, limit):
                 yield fn(part)
 
     return run

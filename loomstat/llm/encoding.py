@@ -24,7 +24,7 @@ from loomstat.llm.common import strings, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Bytes that a worker process spends on remembered words, and what a word takes besides its characters.
+#: Bytes that a worker process may spend on remembered words, and what a word takes besides its characters.
 REMEMBERED, ENTRY = 80 << 20, 200
 #: New words encoded in one go, and words of one text among them.
 GO, LINE = 10_000, 50
@@ -48,7 +48,8 @@ class Encoder:
     where the task runs.
     """
 
-    def __init__(self, name: str = TOKENIZER, path: str | None = None):
+    def __init__(self, name: str = TOKENIZER, path: str | None = None, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,7 +112,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, with the end id, and all ids in order. Null counts as empty."""
         counts, index, distinct = words_of(texts)
-        if self.held > REMEMBERED:
+        if self.held > self.remembered:
             self._forget()
         if not len(index):
             return np.ones(len(counts), np.int64), np.full(len(counts), end, np.uint32)
@@ -122,12 +123,12 @@ class Encoder:
         return np.diff(np.r_[0, text_ends]) + 1, np.insert(ids, text_ends, np.uint32(end))
 
 
-def process_encoder(name: str = TOKENIZER, path: str | None = None) -> Encoder:
+def process_encoder(name: str = TOKENIZER, path: str | None = None, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this worker process: tasks that follow each other in one
     process share the words already encoded."""
     memo = sys.modules.setdefault("_encoders_of_process", types.ModuleType("_encoders_of_process")).__dict__
     if (name, path) not in memo:
-        memo[name, path] = Encoder(name, path)
+        memo[name, path] = Encoder(name, path, remembered)
     return memo[name, path]
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm import bloom
-from loomstat.llm.common import hot_join, release, steps, stored
+from loomstat.llm.common import by_step, hot_join, release, steps, stored
 from loomstat.llm.components import components
 from loomstat.llm.shingles import mixed, shingle_sets
 
@@ -60,6 +60,8 @@ HEAVY_BITS = 20
 HEAVY_COUNT, HEAVY_TIMES = 16, 8
 #: Bits a shingle where groups are compared with each other.
 WIDE = 16
+#: Characters cut into shingles at a time.
+STEP = 1_000_000
 #: First shingles of a node that are tried before all others.
 EARLY = 1
 #: Members from which a tile is dealt to blocks of that size, and the size divided by the members that all its blocks share.
@@ -100,7 +102,7 @@ def heavy_buckets(texts: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << HEAVY_BITS, np.int64)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 sets = shingle_sets(part.column("text"), width)
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(total))
         heavy = np.flatnonzero(total >= max(HEAVY_COUNT, HEAVY_TIMES * total.mean()))
@@ -122,27 +124,24 @@ def signatures(texts: DataFrame, width: int, percent: int, heavy: np.ndarray) ->
     order, ``short`` of which suffice against larger sets."""
     shared = texts.sparkSession.sparkContext.broadcast(heavy)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        for batch in batches:
-            for part in steps(batch, "text"):
-                sets = shingle_sets(part.column("text"), width)
-                prefixes, shorts = [], []
-                for s in sets:
-                    n = len(s)
-                    long = n - -(-percent * n // 100) + 1 if n else 0
-                    shorts.append(n - -(-2 * percent * n // (100 + percent)) + 1 if n else 0)
-                    order = np.argsort(rank[(s >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)], kind="stable")
-                    prefixes.append(s[order[:long]].view(np.int64))
-                ends = np.r_[0, np.cumsum([len(p) for p in prefixes])]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("id"), part.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))),
-                    pa.array(shorts, pa.int32())], ["id", "hash", "n", "node", "bits", "prefix", "short"])
+    def sign(part: pa.RecordBatch) -> pa.RecordBatch:
+        rank, sets = shared.value, shingle_sets(part.column("text"), width)
+        prefixes, shorts = [], []
+        for s in sets:
+            n = len(s)
+            long = n - -(-percent * n // 100) + 1 if n else 0
+            shorts.append(n - -(-2 * percent * n // (100 + percent)) + 1 if n else 0)
+            order = np.argsort(rank[(s >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)], kind="stable")
+            prefixes.append(s[order[:long]].view(np.int64))
+        ends = np.r_[0, np.cumsum([len(p) for p in prefixes])]
+        return pa.RecordBatch.from_arrays([
+            part.column("id"), part.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
+            pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))),
+            pa.array(shorts, pa.int32())], ["id", "hash", "n", "node", "bits", "prefix", "short"])
 
     return texts.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(
-        sign, "id long, hash long, n long, node long, bits binary, prefix array<long>, short int")
+        by_step(sign, limit=STEP), "id long, hash long, n long, node long, bits binary, prefix array<long>, short int")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -343,14 +342,12 @@ def shingle_arrays(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, sets_o
     if needed.count() <= MAX_BROADCAST:
         ids = F.broadcast(ids)
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, "text"):
-                sets = sets_of(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "numbers"])
+    def arrays(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = sets_of(part.column("text"))
+        return pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "numbers"])
 
     return stored(
-        texts.join(ids, F.col("id") == F.col("need_id"), "left_semi").select("text").mapInArrow(arrays, "node long, numbers binary")
+        texts.join(ids, F.col("id") == F.col("need_id"), "left_semi").select("text").mapInArrow(by_step(arrays, limit=STEP), "node long, numbers binary")
         .join(needed.select("need"), F.col("node") == F.col("need"), "left_semi").groupBy("node").agg(F.any_value("numbers").alias("numbers")), "shingle-sets")
 
 

@@ -23,12 +23,14 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import steps, stored
+from loomstat.llm.common import by_step, stored
 from loomstat.llm.encoding import TOKENIZER, checksum, process_encoder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 4096
+#: Bytes of remembered words of a worker, and characters encoded at a time: packing follows other stages in the same executors.
+REMEMBERED, STEP = 24 << 20, 1_000_000
 #: Pieces packed by one task.
 PIECES = 200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,21 +88,19 @@ def pieces(df: DataFrame, end: int, id_col: str = "doc_id", text_col: str = "tex
            tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = process_encoder(tokenizer, tokenizer_path)
-        for batch in batches:
-            for part in steps(batch, "text"):
-                lengths, ids = encoder.encode(part.column("text"), end)
-                many = -(-lengths // capacity)
-                owner = np.repeat(np.arange(len(lengths)), many)
-                number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                size = np.minimum(capacity, lengths[owner] - number * capacity)
-                stops = np.cumsum(size)
-                sums = [checksum(ids[b - k : b]) for b, k in zip(stops.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(number * capacity), pa.array(size), pa.array(sums, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"])
-
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        lengths, ids = process_encoder(tokenizer, tokenizer_path, REMEMBERED).encode(part.column("text"), end)
+        many = -(-lengths // capacity)
+        owner = np.repeat(np.arange(len(lengths)), many)
+        number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        size = np.minimum(capacity, lengths[owner] - number * capacity)
+        stops = np.cumsum(size)
+        sums = [checksum(ids[b - k : b]) for b, k in zip(stops.tolist(), size.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [part.column("id").take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(number * capacity), pa.array(size), pa.array(sums, pa.int64())],
+            ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    cut = by_step(one, limit=STEP)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
 
