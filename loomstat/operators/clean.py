@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.functions.exprs import nan_to_null, q, to_number
-from loomstat.operators.quantile import exact_quantiles, long_values
+from loomstat.operators.quantile import column_sums, exact_quantiles
 from loomstat.session import local_rows
 
 # ---------------------------------------------------------------- types
@@ -76,10 +76,8 @@ def column_spread(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(variable, n, lo, hi, std, var)`` of each column in one pass; a column
     without any value has ``n = 0``."""
     names = local_rows(df.sparkSession, list(enumerate(cols)), "pos int, variable string")
-    stats = long_values(df, cols).groupBy("pos").agg(
-        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.stddev_samp("value").alias("std"), F.var_samp("value").alias("var"),
-    )
+    stats = column_sums(df, cols, lambda v: [
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var")])
     return names.join(stats, "pos", "left").select(
         "variable", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "lo", "hi", "std", "var"
     )
@@ -165,10 +163,8 @@ def spread_by(df: DataFrame, cols: Sequence[str], flag: Column) -> tuple[dict[st
     """Column spreads of the flagged rows and of the others, in one pass; their
     sum is the whole table's."""
     marked = df.select(F.coalesce(flag, F.lit(False)).alias("_flag"), *[q(c) for c in cols])
-    stats = long_values(marked, cols, "_flag").groupBy("_flag", "pos").agg(
-        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"),
-        (F.var_pop("value") * F.count("*")).alias("m2"),
-    )
+    stats = column_sums(marked, cols, lambda v: [
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")], ["_flag"])
     got = {(r["_flag"], r["pos"]): Spread(r["n"], r["lo"], r["hi"], r["mean"], r["m2"]) for r in stats.collect()}
     side = lambda f: {c: got.get((f, i), Spread()) for i, c in enumerate(cols)}
     return side(True), side(False)
@@ -193,7 +189,7 @@ def impute(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:
 
 def fit_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation of each column, in one pass."""
-    stats = long_values(df, cols).groupBy("pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    stats = column_sums(df, cols, lambda v: [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")])
     got = {r["pos"]: (r["mean"], r["std"]) for r in stats.collect()}
     return {c: got.get(i, (0.0, 0.0)) for i, c in enumerate(cols)}
 

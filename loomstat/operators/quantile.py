@@ -10,17 +10,19 @@ few enough rows, their order is taken exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstat.functions.exprs import q
+from loomstat.functions.exprs import nan_to_null, q
 from loomstat.session import local_rows
 
 BINS = 4096
 DIRECT_ROWS = 200_000
+#: Up to this many columns ``column_sums`` aggregates side by side.
+SIDE_BY_SIDE = 12
 _FLOAT_MAX = 1.7976931348623157e308
 
 
@@ -44,6 +46,18 @@ def long_values(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
     return rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def column_sums(df: DataFrame, cols: Sequence[str], sums: Callable[[Column], list[Column]], by: Sequence[str] = ()) -> DataFrame:
+    """``(by, pos, n, sums)`` of each column with any value, from one pass: side
+    by side for a few columns, else from a row per value."""
+    counted = lambda v: [F.count(v).alias("n"), *sums(v)]
+    if len(cols) > SIDE_BY_SIDE:
+        return long_values(df, cols, *by).groupBy(*by, "pos").agg(*counted(F.col("value")))
+    each = [F.struct(F.lit(i).alias("pos"), *counted(nan_to_null(q(c).cast("double")))) for i, c in enumerate(cols)]
+    if not each:
+        each = [F.struct(F.lit(0).alias("pos"), *counted(F.lit(None).cast("double")))]
+    return df.groupBy(*by).agg(F.array(*each).alias("_sums")).select(*by, F.inline("_sums")).where("n > 0")
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -61,7 +75,7 @@ def exact_quantiles(
         return {}
     values = long_values(df, cols)
     if spans is None:
-        ends = values.groupBy("pos").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        ends = column_sums(df, cols, lambda v: [F.min(v).alias("lo"), F.max(v).alias("hi")])
         live = [_Bracket(i, r["pos"], r["lo"], r["hi"], 0, r["n"]) for i, r in enumerate(ends.collect())]
     else:
         live = [_Bracket(i, i, spans[c][1], spans[c][2], 0, spans[c][0]) for i, c in enumerate(cols) if spans[c][0]]

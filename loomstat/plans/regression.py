@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomstat.config import Settings
 from loomstat.functions.exprs import nan_to_null, q
 from loomstat.operators import clean, diagnostics, domain, evaluate, gram, models, profile, split
-from loomstat.operators.ordering import rolling_mean
+from loomstat.operators.ordering import PLACE, placed, rolling_mean, sorted_rows
 from loomstat.session import local_rows, scratch_path
 from loomstat.sources.landing import write_parquet
 
@@ -169,16 +169,17 @@ def run(
 ) -> dict[str, DataFrame]:
     """The whole job: classify, explore, prepare, fit, score, compare, report.
 
-    The table is stored once with its split. Passes over it: column profile,
-    medians, cross products, one scoring scan for all models, and the residual
-    tests of the first model.
+    The table is stored once with its split, in time order, so that every
+    ordered step has the place of a row instead of its time and key. Passes over
+    it: column profile, medians, cross products, one scoring scan for all models,
+    and the residual tests of the first model.
     """
     spark = df.sparkSession
-    wide = stage(mark_rows(df, settings, key), "run")
-    df = wide.drop("split", "fold")
+    wide = placed(stage(mark_rows(sorted_rows(df, [ts, key]), settings, key), "run"))
+    df = wide.drop("split", "fold", PLACE)
     variables = local_rows(spark, [(c,) for c in df.columns if c not in (key, ts)], "variable string")
     classification = domain.classify(variables, tags)
-    prepared = prepare(wide, settings, key, [ts], store=False, marked=True)
+    prepared = prepare(wide, settings, key, [ts, PLACE], store=False, marked=True)
     label = prepared.label
     out: dict[str, DataFrame] = {
         "classification": classification,
@@ -187,7 +188,7 @@ def run(
         "parameters": prepared.params(),
     }
     if plots:
-        pairs = gram.corr_matrix(df)
+        pairs = stage(gram.corr_matrix(df), "pairs")
         suspects = [c for c in leakage_warning(pairs, label) if c not in settings.leakage]
         if suspects:
             log.warning("nearly the target itself, check for leakage: %s", suspects)
@@ -195,7 +196,7 @@ def run(
             "histogram": profile.histogram(df, label),
             "density": profile.kde(df, label),
             "box_stats": profile.box_stats(df, label),
-            "series": rolling_mean(df.select(q(key), q(ts), q(label)), label, [ts, key]),
+            "series": rolling_mean(wide.select(q(key), q(ts), q(label), PLACE), label, [PLACE], places=True).drop(PLACE),
             "top_correlated": gram.top_correlated(pairs, label),
             "top_correlations": gram.top_submatrix(pairs, label),
         }
@@ -212,7 +213,7 @@ def run(
     if ols is not None:
         scored = ols.residuals(prepared.train, label)
         rss = metrics.where("model = 'ols' and split = 'train'").first()["rss"]
-        checks["ols"] = least_squares_checks(prepared, scored, rss, [ts, key])
+        checks["ols"] = least_squares_checks(prepared, scored, rss, [PLACE])
         out["ols_coefficients"] = diagnostics.coefficient_table(m, spark, rss)
         if plots:
             out |= {
@@ -238,8 +239,8 @@ def run(
         "best": best,
         "feature_importance": models.top_coefficients(coefs.where(F.col("model") == winner)),
         "report": evaluate.report_facts(records, best, out["target_kpis"], settings),
-        "train": prepared.train,
-        "scored": models.predictions(prepared.scaled, fitted, [f"fitted_{f.key}" for f in fitted]),
+        "train": prepared.train.drop(PLACE),
+        "scored": models.predictions(prepared.scaled, fitted, [f"fitted_{f.key}" for f in fitted]).drop(PLACE),
     }
     return out
 

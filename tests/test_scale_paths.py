@@ -208,3 +208,49 @@ def test_exact_split_with_hot_and_missing_keys(spark, ratio):
         out = split.exact_split(df, "key", ratio, tie_break=tie, direct_rows=10)
         assert out.count() == 900 and out.where("split = 'test'").count() == math.ceil(round(ratio * 900, 9))
     assert split.exact_split(df.limit(0), "key").count() == 0
+
+
+def test_evenly_spread_keys_are_cut_without_bounds(spark):
+    df = spark.createDataFrame([(float(i % 997), i) for i in range(20_000)] + [(None, -1), (float("nan"), -2), (float("inf"), -3), (float("-inf"), -4)], "v double, i int")
+    even = ordering.cut_order(df, ["v", "i"], 500)
+    assert not even.bounds and sum(even.sizes) == 20_004 and max(even.sizes) <= 4 * 20_004 / (len(even.sizes) - 1)
+    got = [r._position for r in ordering.numbered(df, ["v", "i"], chunk_rows=500).orderBy("v", "i").collect()]
+    assert got == list(range(20_004))
+    hot = df.withColumn("v", F.when(F.col("i") % 3 > 0, 5.0).otherwise(F.col("v")))
+    assert ordering.cut_order(hot, ["v", "i"], 500).bounds  # one value of two thirds: bounds over all keys
+
+
+def test_tiles_move_only_the_cells_in_which_one_ends(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "cut_order", lambda df, by, cut=ordering.cut_order: cut(df, by, 500))
+    # rows that are equal in all keys lie across the ends of tiles
+    df = spark.range(20_000).selectExpr("cast(id div 3 as double) as v", "id % 2 as k")
+    out = ordering.ntile(df, ["v", "k"], 7)
+    sizes = {r["tile"]: r["count"] for r in out.groupBy("tile").count().collect()}
+    assert sizes == {t: 2858 if t <= 20_000 % 7 else 2857 for t in range(1, 8)}
+    ends = out.groupBy("tile").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("tile").collect()
+    assert all(a["hi"] <= b["lo"] for a, b in zip(ends, ends[1:]))
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_sorted_once_know_their_places(spark, tmp_path):
+    df = spark.range(5_000).selectExpr("id", "case when id % 5 > 0 then id % 3 end as t", "cast(id % 11 as double) as v").repartition(6)
+    ordering.sorted_rows(df, ["t", "id"], 300).write.parquet(str(tmp_path / "sorted"))
+    rows = ordering.placed(spark.read.parquet(str(tmp_path / "sorted")))
+    got = [r["_place"] for r in rows.orderBy("t", "id").collect()]
+    assert got == list(range(5_000))
+    by_place = ordering.rolling_mean(rows, "v", ["_place"], 50, 5, chunk_rows=200, places=True).drop("_place")
+    by_keys = ordering.rolling_mean(df, "v", ["t", "id"], 50, 5, chunk_rows=200)
+    assert {tuple(r) for r in by_place.select(*by_keys.columns).collect()} == {tuple(r) for r in by_keys.collect()}
+    # the end of a block is summed backwards: no frame is opened anew for each of its rows
+    assert "unboundedfollowing" not in by_place._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_column_sums_are_the_same_side_by_side_and_by_value(spark, monkeypatch):
+    from loomstat.operators import quantile
+
+    df = spark.createDataFrame([(i % 2, float(i), None if i % 3 else float("nan"), None if i % 4 else i) for i in range(40)], "g int, a double, b double, c int")
+    sums = lambda: {tuple(r) for r in quantile.column_sums(df, ["a", "b", "c"], lambda v: [F.min(v), F.max(v), F.avg(v)], ["g"]).collect()}
+    side = sums()
+    monkeypatch.setattr(quantile, "SIDE_BY_SIDE", 0)
+    assert side == sums() and {r[1] for r in side} == {0, 2}
+    assert quantile.column_sums(df, [], lambda v: [F.min(v)]).count() == 0
