@@ -132,16 +132,35 @@ def score_sums(weights: np.ndarray, used: np.ndarray, intercepts: np.ndarray, sh
     return run
 
 
+def whole_rows(x: np.ndarray) -> np.ndarray:
+    """The rows without a missing reading."""
+    gone = np.isnan(x).any(axis=1)
+    return x[~gone] if gone.any() else x
+
+
+def complete_lists(columns: int):
+    """The rows of ``x`` without a missing reading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                there = ~np.isnan(matrix(b.column("x"), columns)).any(axis=1)
+                yield b if there.all() else b.filter(pa.array(there))
+
+    return run
+
+
 def normal_product(shipped):
-    """One task's part of ``X'(X V)``, or of ``X'y`` without directions ``V``.
-    ``shipped`` holds the centre and unit of every column, the label last, and ``V``."""
+    """One task's part of ``X'(X V)``, or of ``X'y`` without directions ``V``,
+    over the rows without a missing reading. ``shipped`` holds the centre and
+    unit of every column, the label last, and ``V``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, units, v = shipped.value
         total = None
         for b in batches:
             if b.num_rows:
-                z = (matrix(b.column("x"), len(centre)) - centre) / units
+                z = (whole_rows(matrix(b.column("x"), len(centre))) - centre) / units
                 x = z[:, :-1]
                 part = x.T @ (z[:, -1:] if v is None else x @ v)
                 total = part if total is None else total + part

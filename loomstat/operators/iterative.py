@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions import kernels
-from loomstat.functions.exprs import nan_to_null, q
+from loomstat.functions.exprs import q
 from loomstat.operators.clean import fit_scale
 from loomstat.operators.models import Regression
 
@@ -61,16 +61,20 @@ def conjugate_gradient(df: DataFrame, features: Sequence[str], label: str, alpha
     further gain is possible in its precision; the worst residual is returned.
     """
     cols, p = [*features, label], len(features)
-    there = df.where(F.array_position(F.array(*[nan_to_null(q(c).cast("double")).isNull() for c in cols]), True) == 0)
-    scale = fit_scale(there, cols)
+    # tasks leave incomplete rows out: of a condition on all columns the optimizer keeps a copy for
+    # every subset of those that are computed, which filled the driver's memory at nine features
+    rows = df.select(F.array(*[q(c).cast("double") for c in cols]).alias("x"))
+    there = rows.mapInArrow(kernels.complete_lists(len(cols)), "x array<double>")
+    names = [f"x{i}" for i in range(len(cols))]
+    scale = list(fit_scale(there.select(*[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(names)]), names).values())
     n = there.count()
     if n == 0:
         raise ValueError("no complete rows to fit on")
-    mean = np.array([scale[f][0] for f in features])
+    mean = np.array([m for m, _ in scale[:-1]])
     # a column without spread takes no part
-    spread = np.array([scale[f][1] if scale[f][1] and scale[f][1] > 1e-12 * max(abs(scale[f][0]), 1e-300) else math.inf for f in features])
-    centre, y_mean = np.append(mean, scale[label][0]), scale[label][0]
-    rows = there.select(F.array(*[q(c).cast("double") for c in cols]).alias("x"))
+    spread = np.array([s if s and s > 1e-12 * max(abs(m), 1e-300) else math.inf for m, s in scale[:-1]])
+    y_mean = scale[-1][0]
+    centre = np.append(mean, y_mean)
     spark, a = df.sparkSession, np.asarray(alphas, float)
     units = np.append(spread, 1.0)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomstat.operators import evaluate, gram, iterative, models, ordering, split
+from loomstat.operators import clean, evaluate, gram, iterative, models, ordering, split
 
 
 def plan_of(df) -> str:
@@ -154,6 +154,37 @@ def test_conjugate_gradients_on_more_features_than_rows_and_on_nothing(spark):
         assert not iterative.conjugate_gradient(df, [f"x{j}" for j in range(30)], "y", max_passes=4).converged
 
 
+def constraints_in_scale(monkeypatch) -> list[int]:
+    """To be filled with the number of constraints that the optimizer derives for what the scale is fitted on."""
+    seen = []
+
+    def watched(df, cols):
+        seen.append(df._jdf.queryExecution().optimizedPlan().validConstraints().size())
+        return clean.fit_scale(df, cols)
+
+    monkeypatch.setattr(iterative, "fit_scale", watched)
+    return seen
+
+
+def computed_columns(spark, path, p, n=300):
+    """A stored table with gaps whose features are standardised by expressions, as ``prepare`` leaves them."""
+    df, x, y = wide_table(spark, p, n, gaps=True)
+    df.write.parquet(path)
+    names = [f"x{j}" for j in range(p)]
+    return clean.standardise(spark.read.parquet(path), {c: (0.25, 2.0) for c in names}), names, (x - 0.25) / 2.0, y
+
+
+def test_least_squares_by_passes_plan_no_subsets_of_computed_columns(spark, tmp_path, monkeypatch):
+    seen = constraints_in_scale(monkeypatch)
+    df, names, x, y = computed_columns(spark, str(tmp_path / "rows"), 5)
+    fit = iterative.IterativeLeastSquares().fit_rows(df, names, "y")
+    assert len(seen) == 1 and seen[0] <= len(names) + 1  # one condition on all columns made 2^5 of itself and more
+    there = ~np.isnan(x).any(axis=1)
+    assert 0 < there.sum() < len(y)
+    want, *_ = np.linalg.lstsq(np.column_stack([np.ones(there.sum()), x[there]]), y[there], rcond=None)
+    assert [fit.intercept, *fit.coefs.values()] == pytest.approx(want, rel=1e-8)
+
+
 # ---------------------------------------------------------------- long series
 
 
