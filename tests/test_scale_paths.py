@@ -185,6 +185,24 @@ def test_least_squares_by_passes_plan_no_subsets_of_computed_columns(spark, tmp_
     assert [fit.intercept, *fit.coefs.values()] == pytest.approx(want, rel=1e-8)
 
 
+def test_ridge_by_passes_plans_no_subsets_of_computed_columns(spark, tmp_path, monkeypatch):
+    seen = constraints_in_scale(monkeypatch)
+    df, names, x, y = computed_columns(spark, str(tmp_path / "rows"), 13)
+    alphas = [1.0, 100.0, 10_000.0]
+    got = iterative.conjugate_gradient(df, names, "y", alphas)
+    assert len(seen) == 1 and seen[0] <= len(names) + 1
+    there = ~np.isnan(x).any(axis=1)
+    x, y = x[there], y[there]
+    std = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / std
+    for a, b, b0 in zip(alphas, got.coefs, got.intercepts):
+        want = np.linalg.solve(z.T @ z + a * np.eye(len(names)), z.T @ (y - y.mean())) / std
+        np.testing.assert_allclose(b, want, rtol=1e-8, atol=1e-10)
+        assert b0 == pytest.approx(y.mean() - x.mean(axis=0) @ want, rel=1e-8)
+    with pytest.raises(ValueError, match="no complete rows"):
+        iterative.conjugate_gradient(df.withColumn("x1", F.lit(None).cast("double")), names, "y", alphas)
+
+
 # ---------------------------------------------------------------- long series
 
 
